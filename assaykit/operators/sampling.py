@@ -114,7 +114,8 @@ def ordered_acceptance(
     inside a bucket).
     """
     present = available.select(key).distinct().withColumn("__hit", F.lit(1))
-    tried = with_hash_order(candidates.join(present, key, "left"), seed, [key]).withColumn(
+    # another seed than the one that drew the candidates: selection must not decide the order
+    tried = with_hash_order(candidates.join(present, key, "left"), f"{seed}-order", [key]).withColumn(
         "hit", F.coalesce(F.col("__hit"), F.lit(0))
     ).drop("__hit")
 
@@ -189,7 +190,8 @@ def random_per_query(
     """
     indexed = dense_index(pool.select(pool_id, *carry), seed, [pool_id], out="__idx")
     size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
-    picks = queries.select(query_id, F.posexplode(draw_indices(size, k, seed, query_id)).alias("__i", "__idx"))
+    draws = draw_indices(F.col("__n"), k, seed, query_id)
+    picks = queries.withColumn("__n", size).select(query_id, F.posexplode(draws).alias("__i", "__idx"))
     return picks.join(indexed, "__idx").select(
         query_id, (F.col("__i") + 1).alias("rank"), pool_id, *carry
     )

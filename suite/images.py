@@ -1 +1,89 @@
-"""To be filled."""
+"""Pixel operators on vectors read as 8 x 8 grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assaykit.functions.pixels import window_level
+from assaykit.operators import images as I
+from suite import register
+from suite.derived import table
+
+PIXELS = "transform(embedding, x -> cast(floor(least(greatest((cast(x AS double) + 0.5D) * 255D, 0D), 255D)) AS int))"
+_PIXELS_SQL = "list_transform(embedding, lambda x: floor(least(greatest((x::DOUBLE + 0.5::DOUBLE) * 255::DOUBLE, 0::DOUBLE), 255::DOUBLE))::INT)"
+IMAGES_SQL = f"SELECT vec_id, label, {_PIXELS_SQL} AS pixels FROM embeddings"
+
+
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.expr(PIXELS).alias("pixels"))
+
+
+def _text(c: str) -> F.Column:
+    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+
+
+@register(
+    "window_level",
+    "SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda x: floor(least(greatest((x::DOUBLE * 1000::DOUBLE + 20::DOUBLE) * (255::DOUBLE / 120::DOUBLE), 0::DOUBLE), 255::DOUBLE))::INT), ',')) AS pixels_md5 FROM embeddings",
+)
+def window(spark: SparkSession, sf: str) -> DataFrame:
+    """Level 40, width 120 on values scaled to a raw intensity range."""
+    raw = F.transform("embedding", lambda x: x.cast("double") * 1000.0)
+    out = table(spark, sf, "embeddings").withColumn("pixels", window_level(raw))
+    return out.select("vec_id", _text("pixels").alias("pixels_md5"))
+
+
+@register("image_histogram", f"SELECT vec_id, bin, count(*) AS n FROM (SELECT vec_id, unnest(pixels) AS bin FROM ({IMAGES_SQL})) GROUP BY vec_id, bin")
+def image_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-image counts from the array form; empty bins left out to compare."""
+    h = I.histograms(images(spark, sf))
+    return h.select("vec_id", F.posexplode("hist").alias("bin", "n")).filter(F.col("n") > 0)
+
+
+@register("image_histogram_rows", f"SELECT vec_id, bin, count(*) AS n FROM (SELECT vec_id, unnest(pixels) AS bin FROM ({IMAGES_SQL})) GROUP BY vec_id, bin")
+def image_histogram_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return I.histogram_rows(images(spark, sf), "vec_id")
+
+
+_TOTALS = f"""px AS (SELECT unnest(pixels) AS bin FROM ({IMAGES_SQL})),
+totals AS (SELECT b.b AS bin, coalesce(n, 0) AS total FROM range(256) b(b) LEFT JOIN (SELECT bin, count(*) AS n FROM px GROUP BY bin) c ON b.b = c.bin)"""
+
+
+@register(
+    "aggregate_histogram",
+    f"WITH {_TOTALS} SELECT bin, total, (SELECT count(*) FROM embeddings) AS n_images, round(total / (SELECT count(*) FROM embeddings), 6) AS mean FROM totals",
+)
+def aggregate_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return I.aggregate_histogram(images(spark, sf)).withColumn("mean", F.round("mean", 6))
+
+
+def _match_sql(reference: str) -> str:
+    """Cumulative share of each image read off the reference curve by interpolation."""
+    return f"""WITH img AS ({IMAGES_SQL}),
+    refpx AS (SELECT unnest(pixels) AS bin FROM img WHERE {reference}),
+    tot AS (SELECT b.b AS bin, coalesce(n, 0) AS total FROM range(256) b(b) LEFT JOIN (SELECT bin, count(*) AS n FROM refpx GROUP BY bin) c ON b.b = c.bin),
+    curve AS (SELECT bin, sum(total) OVER (ORDER BY bin)::DOUBLE / (SELECT sum(total) FROM tot)::DOUBLE AS y FROM tot),
+    px AS (SELECT vec_id, unnest(pixels) AS v, generate_subscripts(pixels, 1) AS at FROM img),
+    h AS (SELECT vec_id, v, count(*) AS n FROM px GROUP BY vec_id, v),
+    cdf AS (SELECT vec_id, v, sum(n) OVER (PARTITION BY vec_id ORDER BY v)::DOUBLE / (sum(n) OVER (PARTITION BY vec_id))::DOUBLE AS x FROM h),
+    knot AS (SELECT c.vec_id, c.v, c.x, max(r.bin) AS j FROM cdf c LEFT JOIN curve r ON r.y <= c.x GROUP BY c.vec_id, c.v, c.x),
+    lut AS (SELECT k.vec_id, k.v, floor(CASE WHEN k.j IS NULL THEN 0 WHEN k.j = 255 THEN 255 ELSE (k.x - a.y) / (b.y - a.y) + k.j END)::INT AS m
+            FROM knot k LEFT JOIN curve a ON a.bin = k.j LEFT JOIN curve b ON b.bin = k.j + 1)
+    SELECT p.vec_id, md5(string_agg(l.m::VARCHAR, ',' ORDER BY p.at)) AS pixels_md5 FROM px p JOIN lut l ON l.vec_id = p.vec_id AND l.v = p.v GROUP BY p.vec_id"""
+
+
+@register("harmonise_pool", _match_sql("label < 5"))
+def harmonise_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Every image matched to the average histogram of the reference classes."""
+    img = images(spark, sf)
+    out = I.harmonise(img, img.filter(F.col("label") < 5))
+    return out.select("vec_id", _text("matched").alias("pixels_md5"))
+
+
+@register("harmonise_single_reference", _match_sql("vec_id = (SELECT min(vec_id) FROM embeddings)"))
+def harmonise_single_reference(spark: SparkSession, sf: str) -> DataFrame:
+    img = images(spark, sf)
+    first = img.agg(F.min("vec_id")).scalar()
+    out = I.harmonise(img, img.filter(F.col("vec_id") == first))
+    return out.select("vec_id", _text("matched").alias("pixels_md5"))
