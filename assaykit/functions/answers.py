@@ -7,7 +7,7 @@ a newline only.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,63 @@ def strip_thinking(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?sU)\A(.*?)<think>.*?</think>\s*", "$1"))
 
 
+# -- reading long texts -------------------------------------------------------
+# A regex walks a text character by character; a substring search is many times
+# faster. Every pattern here begins with one of a few literal beginnings, so a text
+# without any of them is not searched at all, and the prose scan, which needs several
+# passes, starts just before the first of them.
+
+BEGINNINGS = {
+    "verdict": ["hemorrhage"],
+    "subtypes": ["subtype"],
+    "refusal": ["as an ai", "i can", "i am ", "i 'm unable", "consult ", "seek medical", "not a ", "unable to"],
+    "IPH": ["iph", "intra"],
+    "IVH": ["ivh", "intra"],
+    "SAH": ["sah", "sub"],
+    "EDH": ["edh", "epidural", "extra"],
+    "SDH": ["sdh", "sub"],
+}
+# more than the context looked at before a mention
+MARGIN = V.CONTEXT_BEFORE + 8
+# Letters that fold to ASCII ones only under Unicode case rules; such a text is always searched whole.
+_FOLDING = ["\u0130", "\u0131", "\u017f", "\u212a"]
+
+
+def _contains_any(text: Column, words: Sequence[str]) -> Column:
+    found = text.contains(words[0])
+    for w in words[1:]:
+        found = found | text.contains(w)
+    return found
+
+
+def folding(text: Column) -> Column:
+    return _contains_any(text, _FOLDING)
+
+
+def searchable(text: Column, low: Column, odd: Column, beginnings: Sequence[str]) -> Column:
+    """The text if it holds one of the beginnings, else null.
+
+    ``low`` is the lower-cased text and ``odd`` its ``folding`` flag.
+    """
+    return F.when(odd | _contains_any(low, beginnings), text)
+
+
+def tail(text: Column, low: Column, odd: Column, beginnings: Sequence[str]) -> Column:
+    """The text from shortly before the first beginning on; null if there is none."""
+    found = F.filter(F.array(*[F.locate(b, low) for b in beginnings]), lambda p: p > 0)
+    start = F.when(odd, F.lit(1)).otherwise(F.greatest(F.array_min(found) - MARGIN, F.lit(1)))
+    return F.when(odd | _contains_any(low, beginnings), F.substring(text, start, F.lit(2**31 - 1)))
+
+
+def _searchable(text: Column, name: str) -> Column:
+    return searchable(text, F.lower(text), folding(text), BEGINNINGS[name])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def passes_gate(answer: Column) -> Column:
     """True unless the answer starts with NO; an unclear or missing answer passes."""
     return F.coalesce(~F.upper(strip(answer)).startswith("NO"), F.lit(True))
@@ -39,19 +96,35 @@ def passes_gate(answer: Column) -> Column:
 
 def verdict(text: Column) -> Column:
     """The verdict line as 1 / 0 / -1, or null when absent or unknown."""
-    value = F.lower(strip(F.regexp_extract(text, _rx(V.VERDICT_LINE), 1)))
-    return (
-        F.when(value.rlike("^" + V.UNCERTAIN_WORDS), F.lit(-1))
-        .when(value.rlike("^" + V.POSITIVE_WORDS), F.lit(1))
-        .when(value.rlike("^" + V.NEGATIVE_WORDS), F.lit(0))
+    return _verdict(_searchable(text, "verdict"))
+
+
+def _verdict(part: Column) -> Column:
+    value = F.lower(strip(F.regexp_extract(part, _rx(V.VERDICT_LINE), 1)))
+    return _let(
+        value,
+        lambda v: F.when(v.rlike("^" + V.UNCERTAIN_WORDS), F.lit(-1))
+        .when(v.rlike("^" + V.POSITIVE_WORDS), F.lit(1))
+        .when(v.rlike("^" + V.NEGATIVE_WORDS), F.lit(0)),
     )
 
 
 def subtypes_line(text: Column) -> Column:
     """The raw value of the subtypes line; empty when blank, null when absent."""
-    return F.when(
-        text.rlike(_rx(V.SUBTYPES_LINE)), strip(F.regexp_extract(text, _rx(V.SUBTYPES_LINE), 1))
-    )
+    return _subtypes_line(_searchable(text, "subtypes"))
+
+
+def _subtypes_line(part: Column) -> Column:
+    line = F.nullif(F.regexp_extract(part, _rx(V.SUBTYPES_LINE), 0), F.lit(""))
+    return _let(line, lambda found: strip(F.regexp_extract(found, _rx(V.SUBTYPES_LINE), 1)))
+
+
+def refused(text: Column) -> Column:
+    return _refused(_searchable(text, "refusal"))
+
+
+def _refused(part: Column) -> Column:
+    return F.coalesce(part.rlike(_rx(V.REFUSAL)), F.lit(False))
 
 
 def mentions(text: Column, pattern: str) -> Column:
@@ -95,36 +168,44 @@ def scan_mentions(text: Column, pattern: str) -> Column:
     readings = F.transform(mentions(text, pattern), read)
     deciding = F.filter(readings, lambda r: r != 0)
     scanned = F.when(F.size(deciding) > 0, F.element_at(deciding, 1)).when(F.size(readings) > 0, F.lit(0))
-    # one cheap search spares the offset arithmetic on texts without a mention
+    # one search spares the offset arithmetic on texts without a mention
     return F.when(text.rlike(_rx(pattern)), scanned)
 
 
-def refused(text: Column) -> Column:
-    return text.rlike(_rx(V.REFUSAL))
-
-
-def parse(df: DataFrame, text: str, patterns: Mapping[str, str] = V.SUBTYPE_PATTERNS) -> DataFrame:
+def parse(
+    df: DataFrame,
+    text: str,
+    patterns: Mapping[str, str] = V.SUBTYPE_PATTERNS,
+    beginnings: Mapping[str, Sequence[str]] = BEGINNINGS,
+) -> DataFrame:
     """Append any_hem, one column per label, refused, parsed and method.
 
     Structured answers (a readable verdict line) win; otherwise labels are read from
     prose; otherwise a global negative makes everything absent; otherwise failed.
+    Patterns for other labels may come with their ``beginnings``; without them the
+    whole text is searched.
     """
     keys = list(patterns)
-    t = F.col("__text")
+    t = F.col(text)
+
+    def part(name: str, cut: Callable = searchable) -> Column:
+        return cut(t, F.col("__low"), F.col("__odd"), beginnings[name]) if name in beginnings else t
+
     staged = (
-        df.withColumn("__text", strip(F.col(text)))
-        .withColumn("__hem", verdict(t))
-        .withColumn("__line", subtypes_line(t))
-        .withColumn("__refused", F.coalesce(refused(t), F.lit(False)))
+        df.withColumn("__low", F.lower(t))
+        .withColumn("__odd", folding(t))
+        .withColumn("__noun", part("verdict"))
+        .withColumn("__hem", _verdict(F.col("__noun")))
+        .withColumn("__line", _subtypes_line(part("subtypes")))
+        .withColumn("__refused", _refused(part("refusal")))
         .withColumn("__hedged", F.col("__line").rlike(_rx(V.HEDGE)))
     )
     structured = F.col("__hem").isNotNull()
     has_line = F.col("__line").isNotNull()
     # prose is scanned only where it is used: no verdict, or a verdict without a label line
     needs_scan = ~structured | (~has_line & (F.col("__hem") != 0))
-    staged = staged.withColumns(
-        {f"__scan_{k}": F.when(needs_scan, scan_mentions(t, p)) for k, p in patterns.items()}
-    )
+    staged = staged.withColumns({f"__part_{k}": F.when(needs_scan, part(k, tail)) for k in keys})
+    staged = staged.withColumns({f"__scan_{k}": scan_mentions(F.col(f"__part_{k}"), p) for k, p in patterns.items()})
     scans = F.array(*[F.col(f"__scan_{k}") for k in keys])
     staged = staged.withColumns(
         {
@@ -138,7 +219,7 @@ def parse(df: DataFrame, text: str, patterns: Mapping[str, str] = V.SUBTYPE_PATT
         & ~F.col("__pos")
         & ~F.col("__unc")
         & ~F.col("__refused")
-        & F.coalesce(t.rlike(_rx(V.GLOBAL_NEGATIVE)), F.lit(False))
+        & F.coalesce(F.col("__noun").rlike(_rx(V.GLOBAL_NEGATIVE)), F.lit(False))
     )
 
     def label(k: str) -> Column:

@@ -7,13 +7,10 @@ any engine that has md5.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 3
-N_BUCKETS = 16**BUCKET_DIGITS
 
 
 def key_hash(seed: int | str | Column, *keys: str | Column) -> Column:
@@ -24,8 +21,13 @@ def key_hash(seed: int | str | Column, *keys: str | Column) -> Column:
 
 
 def hash_bucket(h: Column) -> Column:
-    """Leading hex digits as an int in [0, 4096); sorting by it is a prefix of sorting by ``h``."""
-    return F.conv(F.substring(h, 1, BUCKET_DIGITS), 16, 10).cast("int")
+    """Leading hex digits, 4096 values; sorting by them is a prefix of sorting by ``h``."""
+    return F.substring(h, 1, BUCKET_DIGITS)
+
+
+def hash_slot(h: Column, n: int) -> Column:
+    """A slot in [0, n) from the leading hex digits, for n up to 4096."""
+    return F.pmod(F.conv(hash_bucket(h), 16, 10).cast("int"), F.lit(n))
 
 
 def hash_long(h: Column) -> Column:
@@ -53,6 +55,3 @@ def draw_indices(n: Column, k: int, seed: int | str | Column, *keys: str | Colum
     empty = F.array().cast("array<bigint>")
     return F.when(n.isNull() | (n <= 0) | F.lit(k <= 0), empty).otherwise(F.aggregate(steps, empty, step))
 
-
-def in_order(cols: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc() for c in cols]

@@ -8,7 +8,7 @@ keys, so they are even whatever the data looks like.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ def dense_index(
 
 def take_by_hash(
     df: DataFrame,
-    quotas: DataFrame,
+    quotas: DataFrame | Callable[[DataFrame], DataFrame],
     strata: Sequence[str],
     keys: Sequence[str],
     seed: int | str,
@@ -55,12 +55,16 @@ def take_by_hash(
     2. a running total finds the bucket where the quota is reached;
     3. rows in lower buckets are taken, rows in that bucket are ranked.
 
-    Only sampled rows are shuffled. The cut table has one row per stratum and is
-    broadcast when ``max_strata`` proves it small.
+    ``quotas`` is a table (strata, quota) or a function from the table of stratum counts
+    (strata, n) to it; the function form reads the input once less. Only sampled rows
+    are shuffled. The cut table has one row per stratum and is broadcast when
+    ``max_strata`` proves it small.
     """
     strata = list(strata)
     hashed = with_hash_order(df, seed, keys)
     totals = hashed.groupBy(*strata, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    if callable(quotas):
+        quotas = quotas(totals.groupBy(*strata).agg(F.sum("__n").alias("n")))
     upto = Window.partitionBy(*strata).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
         totals.join(quotas.select(*strata, F.col(quota).alias("__quota")), strata)

@@ -19,14 +19,16 @@ from assaykit.operators.ordering import dense_index, take_by_hash, with_hash_ord
 _BIG = "decimal(38,0)"
 
 
-def combination_quotas(combos: DataFrame, labels: Sequence[str], total: Column, count: str = "n", out: str = "quota") -> DataFrame:
-    """Split ``total`` over label combinations in proportion to their counts.
+def combination_quotas(
+    combos: DataFrame, labels: Sequence[str], total: Column, within: Sequence[str] = (), count: str = "n", out: str = "quota"
+) -> DataFrame:
+    """Split ``total`` over label combinations in proportion to their counts, per ``within`` group.
 
     Largest remainder in exact integer arithmetic; ties go to the rarer combination,
     then to the smaller combination text. Prevalence and co-occurrence are kept to
     less than one row per combination.
     """
-    everything = Window.partitionBy()  # at most 2^L rows
+    everything = Window.partitionBy(*within)  # at most 2^L rows
     text = F.concat_ws("", *[F.col(k).cast("string") for k in labels])
     share = F.col("__total").cast(_BIG) * F.col(count).cast(_BIG)
     staged = (
@@ -36,7 +38,7 @@ def combination_quotas(combos: DataFrame, labels: Sequence[str], total: Column,
         .withColumn("__base", ((share - F.col("__rem")) / F.col("__all").cast(_BIG)).cast("long"))
         .withColumn("__left", F.col("__total") - F.sum("__base").over(everything))
     )
-    order = Window.orderBy(F.col("__rem").desc(), F.col(count).asc(), text.asc())
+    order = everything.orderBy(F.col("__rem").desc(), F.col(count).asc(), text.asc())
     return staged.withColumn(
         out, F.col("__base") + (F.row_number().over(order) <= F.col("__left")).cast("long")
     ).drop("__all", "__total", "__rem", "__base", "__left")
@@ -47,9 +49,9 @@ def multilabel_sample(
 ) -> DataFrame:
     """``n`` rows with the label-combination shares of the input."""
     labels = list(labels)
-    combos = df.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
-    quotas = combination_quotas(combos, labels, F.lit(n))
-    return take_by_hash(df, quotas, labels, keys, seed, max_strata=2 ** len(labels))
+    return take_by_hash(
+        df, lambda combos: combination_quotas(combos, labels, F.lit(n)), labels, keys, seed, max_strata=2 ** len(labels)
+    )
 
 
 def enriched_sample(
@@ -69,27 +71,25 @@ def enriched_sample(
     """
     labels = list(labels)
     want_normal = round(n * normal_frac)  # half to even
-    combos = df.groupBy(normal, *labels).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()
-    sized = (
-        combos.withColumn("__normals", F.coalesce(F.sum(F.when(F.col(normal), F.col("n"))).over(everything), F.lit(0)))
-        .withColumn("__others", F.coalesce(F.sum(F.when(~F.col(normal), F.col("n"))).over(everything), F.lit(0)))
-        .withColumn("__take_normal", F.least(F.lit(want_normal).cast("long"), F.col("__normals")))
-    )
-    if topup:
+
+    def quotas(combos: DataFrame) -> DataFrame:
         sized = (
-            sized.withColumn("__take_other", F.least(F.col("__others"), F.lit(n) - F.col("__take_normal")))
-            .withColumn("__missing", F.lit(n) - F.col("__take_normal") - F.col("__take_other"))
-            .withColumn("__take_normal", F.least(F.col("__normals"), F.col("__take_normal") + F.col("__missing")))
+            combos.withColumn("__normals", F.coalesce(F.sum(F.when(F.col(normal), F.col("n"))).over(everything), F.lit(0)))
+            .withColumn("__others", F.coalesce(F.sum(F.when(~F.col(normal), F.col("n"))).over(everything), F.lit(0)))
+            .withColumn("__take_normal", F.least(F.lit(want_normal).cast("long"), F.col("__normals")))
         )
-    else:
-        sized = sized.withColumn("__take_other", F.least(F.col("__others"), F.lit(n - want_normal).cast("long")))
-    # Each class has its own quotas; normals with different flags share theirs the same way.
-    per_class = []
-    for is_normal, take in ((True, "__take_normal"), (False, "__take_other")):
-        part = sized.filter(F.col(normal) == F.lit(is_normal)).select(normal, *labels, "n", F.col(take).alias("__take"))
-        per_class.append(combination_quotas(part, labels, F.col("__take")).select(normal, *labels, "quota"))
-    quotas = per_class[0].unionByName(per_class[1])
+        if topup:
+            sized = (
+                sized.withColumn("__take_other", F.least(F.col("__others"), F.lit(n) - F.col("__take_normal")))
+                .withColumn("__missing", F.lit(n) - F.col("__take_normal") - F.col("__take_other"))
+                .withColumn("__take_normal", F.least(F.col("__normals"), F.col("__take_normal") + F.col("__missing")))
+            )
+        else:
+            sized = sized.withColumn("__take_other", F.least(F.col("__others"), F.lit(n - want_normal).cast("long")))
+        take = F.when(F.col(normal), F.col("__take_normal")).otherwise(F.col("__take_other"))
+        return combination_quotas(sized.withColumn("__take", take), labels, F.col("__take"), within=[normal])
+
     return take_by_hash(df, quotas, [normal, *labels], keys, seed, max_strata=2 ** (len(labels) + 1))
 
 

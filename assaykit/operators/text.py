@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.functions.keyed import hash_bucket
+from assaykit.functions.keyed import hash_slot
 
 DIM = 64
 
@@ -41,5 +41,5 @@ def encode(df: DataFrame, text: str = "text", out: str = "embedding", dim: int =
             table = np.divide(table, size, out=np.zeros_like(table), where=size > 0)
             yield pd.Series(list(table.astype(np.float32)))
 
-    slots = F.transform(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")), lambda t: F.pmod(hash_bucket(F.md5(t)), F.lit(dim)))
+    slots = F.transform(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")), lambda t: hash_slot(F.md5(t), dim))
     return df.withColumn(out, count(slots))
