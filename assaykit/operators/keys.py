@@ -18,17 +18,16 @@ def unique_by(df: DataFrame, keys: str | Sequence[str], how: str = "error", orde
     keys = [keys] if isinstance(keys, str) else list(keys)
     if how == "keep":
         return df
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("__none"))
     if how == "error":
-        message = F.concat(F.lit(f"duplicate key in {keys}: "), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-        folded = df.groupBy(*keys).agg(F.first(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
-        # the check decides the value of a kept column, so no optimiser rule can drop it
-        folded = folded.withColumn(keys[0], F.when(F.col("__n") > 1, F.raise_error(message).cast(df.schema[keys[0]].dataType)).otherwise(F.col(keys[0])))
-    elif how == "last":
+        # only the keys are shuffled; the rows pass through once the check has come out clean
+        twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+        example = twice.agg(F.min(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).alias("k")).scalar()
+        message = F.concat(F.lit(f"duplicate key in {keys}: "), example)
+        return df.filter(F.when(example.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    if how == "last":
         if order is None:
             raise ValueError("how='last' needs an order column")
+        row = F.struct(*[c for c in df.columns if c not in keys])
         folded = df.groupBy(*keys).agg(F.max_by(row, order if isinstance(order, Column) else F.col(order)).alias("__row"))
-    else:
-        raise ValueError(f"unknown duplicate policy: {how!r}")
-    return folded.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+        return folded.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+    raise ValueError(f"unknown duplicate policy: {how!r}")
