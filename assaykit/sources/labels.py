@@ -6,13 +6,30 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit import schemas
-from assaykit.fixed_values import LONG_SUFFIXES, SUBTYPES, WIDE_COLUMNS
+from assaykit.fixed_values import LONG_SUFFIXES, WIDE_COLUMNS
 from assaykit.functions.labels import any_flag, present_text
 from assaykit.operators.keys import unique_by
 
 
+def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV columns by header name, whatever their order; a column the file lacks is null.
+
+    A schema handed to the reader would be applied by position. Only the header line is
+    read ahead; nothing is inferred.
+    """
+    raw = spark.read.csv(path, header=True)
+    names = {c.removeprefix("\ufeff"): c for c in raw.columns}
+    return raw.select(
+        *[
+            (F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema
+        ]
+    )
+
+
 def wide_labels(raw: DataFrame, columns: Mapping[str, str] = WIDE_COLUMNS) -> DataFrame:
     """Per-slice index: a row is normal only if marked so and no label fired."""
     flags = raw.select(
@@ -31,8 +48,8 @@ def wide_labels(raw: DataFrame, columns: Mapping[str, str] = WIDE_COLUMNS) -> Da
 
 
 def read_wide_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Wide CSV with cells such as ``0`` or ``1.0``; a byte-order mark is skipped by the reader."""
-    return wide_labels(spark.read.schema(schemas.WIDE_LABELS).csv(path, header=True))
+    """Wide CSV with cells such as ``0`` or ``1.0`` and perhaps a byte-order mark."""
+    return wide_labels(read_named_csv(spark, path, schemas.WIDE_LABELS))
 
 
 def long_labels(raw: DataFrame, suffixes: Mapping[str, str] = LONG_SUFFIXES, duplicates: str = "error") -> DataFrame:
@@ -80,7 +97,7 @@ def retype_index(df: DataFrame, flag: str = "is_normal") -> DataFrame:
 def read_manifest(spark: SparkSession, path: str, duplicates: str = "error", pool: bool = False) -> DataFrame:
     """Manifest keyed by image_file; duplicate keys raise unless kept."""
     schema = schemas.POOL_MANIFEST_FILE if pool else schemas.MANIFEST_FILE
-    df = retype_index(spark.read.schema(schema).csv(path, header=True))
+    df = retype_index(read_named_csv(spark, path, schema))
     return unique_by(df, "image_file", duplicates)
 
 
@@ -107,6 +124,6 @@ def as_manifest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 __all__ = [
-    "SUBTYPES", "as_manifest", "image_stem", "long_labels", "parse_listing", "read_long_labels", "read_manifest",
+    "as_manifest", "image_stem", "long_labels", "parse_listing", "read_long_labels", "read_manifest", "read_named_csv",
     "read_wide_labels", "retype_index", "wide_labels",
 ]
