@@ -112,7 +112,8 @@ FROM {{results}} r JOIN {{manifest}} m ON r.image_file = m.image_file
 
 # Line items as images inside studies, with five flags.
 SLICES = """
-SELECT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string)) AS image_id,
+SELECT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string),
+                 cast(cast(round(l_extendedprice * 100) AS bigint) AS string)) AS image_id,
        cast(l_orderkey AS string) AS study_id, l_suppkey, l_partkey,
        CASE WHEN l_returnflag = 'R' AND l_quantity > 25 THEN 1 ELSE 0 END AS IPH,
        CASE WHEN l_linestatus = 'F' AND l_quantity > 40 THEN 1 ELSE 0 END AS IVH,

@@ -52,19 +52,19 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 SHARES = "ql // 2 = pl // 2"
 
 
-@register("topk_cosine", f"WITH {TOP} SELECT query_id, pool_id, round(sim, 6) AS sim, rank FROM top")
+@register("topk_cosine", f"WITH {TOP} SELECT query_id, pool_id, sim, rank FROM top")
 def topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """Exact top-5 of every vector among all others."""
     v = vectors(spark, sf)
-    return nearest(queries_of(v), pool_of(v), K, exclude_self=True).withColumn("sim", F.round("sim", 6))
+    return nearest(queries_of(v), pool_of(v), K, exclude_self=True)
 
 
-@register("topk_cosine_grid", f"WITH {TOP} SELECT query_id, pool_id, round(sim, 6) AS sim, rank FROM top")
+@register("topk_cosine_grid", f"WITH {TOP} SELECT query_id, pool_id, sim, rank FROM top")
 def topk_cosine_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The same by block pairs, the plan for two sides that are both too large to broadcast."""
     v = vectors(spark, sf)
     found = nearest(queries_of(v), pool_of(v), K, exclude_self=True, strategy="grid", block_rows=200)
-    return found.withColumn("sim", F.round("sim", 6))
+    return found
 
 
 def contrastive_sql(n_pos: int, n_neg: int, position: str) -> str:
@@ -81,7 +81,7 @@ def contrastive_sql(n_pos: int, n_neg: int, position: str) -> str:
                FROM sims s JOIN ref r ON s.query_id = r.query_id),
     kept AS (SELECT *, count(*) FILTER (role = 'positive') OVER (PARTITION BY query_id) AS n_pos_found FROM ranked
              WHERE (role = 'positive' AND r <= {n_pos}) OR (role = 'negative' AND r <= {n_neg}))
-    SELECT query_id, {order} AS slot, role, pool_id, round(sim, 6) AS sim, flag FROM kept"""
+    SELECT query_id, {order} AS slot, role, pool_id, sim, flag FROM kept"""
 
 
 def _contrastive(name: str, n_pos: int, n_neg: int, position: str) -> None:
@@ -91,7 +91,7 @@ def _contrastive(name: str, n_pos: int, n_neg: int, position: str) -> None:
         chosen = X.contrastive(
             queries_of(v), pool_of(v), "flag", n_pos, n_neg, position, exclude_self=True
         )
-        return chosen.withColumn("sim", F.round("sim", 6))
+        return chosen
 
 
 _contrastive("contrastive_default", 2, 1, "last")
@@ -114,7 +114,7 @@ _contrastive("contrastive_two_negatives", 2, 2, "last")
                      12 - count(*) FILTER (pick = 2) OVER (PARTITION BY query_id) AS short_neg FROM picked),
     filled AS (SELECT *, coalesce(pick, CASE WHEN sp <= short_pos THEN 1 WHEN sp <= short_pos + short_neg THEN 3 END) AS kind FROM spare)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, sim DESC, pool_id) AS slot,
-           CASE WHEN kind <= 1 THEN 'positive' ELSE 'negative' END AS role, pool_id, round(sim, 6) AS sim, rare
+           CASE WHEN kind <= 1 THEN 'positive' ELSE 'negative' END AS role, pool_id, sim, rare
     FROM filled WHERE kind IS NOT NULL""",
 )
 def contrastive_shortage(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def contrastive_shortage(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     pool = pool_of(v).withColumn("rare", ((F.col("label") == 9) & (F.col("pool_id") % 7 == 0)).cast("int"))
     chosen = X.contrastive(queries_of(v), pool, "rare", 20, 12, exclude_self=True)
-    return chosen.withColumn("sim", F.round("sim", 6))
+    return chosen
 
 
 def draws_sql(n: str, k: int, seed: str, key: str) -> str:
@@ -160,20 +160,20 @@ def random_exemplars(spark: SparkSession, sf: str) -> DataFrame:
     pool AS ({dense_sql('(SELECT vec_id, label % 2 AS flag FROM embeddings)', 'vec_id', '42', 'flag')}),
     sizes AS (SELECT flag, count(*) AS n FROM pool GROUP BY flag),
     picks AS (SELECT r.query_id, s.flag, {draws_sql('n', 3, '42', 'query_id')}[1] AS idx FROM ref r JOIN sizes s ON s.flag <> r.ref)
-    SELECT query_id, slot, 'positive' AS role, pool_id, round(sim, 6) AS sim, flag FROM pos
+    SELECT query_id, slot, 'positive' AS role, pool_id, sim, flag FROM pos
     UNION ALL
-    SELECT k.query_id, 3, 'negative', p.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6), k.flag
+    SELECT k.query_id, 3, 'negative', p.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9), k.flag
     FROM picks k JOIN pool p ON p.flag = k.flag AND p.idx = k.idx JOIN embeddings q ON q.vec_id = k.query_id JOIN embeddings e ON e.vec_id = p.vec_id""",
 )
 def contrastive_random_negative(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     chosen = X.contrastive(queries_of(v), pool_of(v), "flag", random_neg=True, exclude_self=True)
-    return chosen.withColumn("sim", F.round("sim", 6))
+    return chosen
 
 
 @register(
     "negative_hardness",
-    f"""WITH c AS ({contrastive_sql(2, 1, 'last').replace('round(sim, 6)', 'sim')}),
+    f"""WITH c AS ({contrastive_sql(2, 1, 'last')}),
     per AS (SELECT query_id, max(sim) FILTER (slot = 1) - max(sim) FILTER (role = 'negative') AS gap FROM c GROUP BY query_id)
     SELECT (SELECT count(*) FROM per) AS n, round((SELECT avg(sim) FROM c WHERE role = 'positive'), 6) AS positive_mean,
            round((SELECT avg(sim) FROM c WHERE role = 'negative'), 6) AS negative_mean, round(avg(gap), 6) AS gap_mean,
@@ -303,7 +303,7 @@ def hit_rate_by_rendition(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SIMS},
     q AS (SELECT vec_id FROM embeddings WHERE label % 2 = 1 ORDER BY md5(concat_ws('|', '0', vec_id)), vec_id LIMIT 3),
     n AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY sim DESC, pool_id) AS rank FROM sims s JOIN q ON s.query_id = q.vec_id)
-    SELECT query_id, rank, pool_id, round(sim, 6) AS sim, CASE WHEN ql % 2 = 1 THEN concat('L', ql) ELSE 'none' END AS query_labels,
+    SELECT query_id, rank, pool_id, sim, CASE WHEN ql % 2 = 1 THEN concat('L', ql) ELSE 'none' END AS query_labels,
            CASE WHEN pl % 2 = 1 THEN concat('L', pl) ELSE 'none' END AS pool_labels FROM n WHERE rank <= 3""",
 )
 def index_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,7 +312,7 @@ def index_check(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.col("flag") == 1, F.concat(F.lit("L"), F.col("label").cast("string"))).otherwise(F.lit(""))
     index = v.withColumn("names", text)
     out = X.index_check(index, key="vec_id", labels="names", positive="flag")
-    return out.withColumn("sim", F.round("sim", 6))
+    return out
 
 
 # -- text ---------------------------------------------------------------------
@@ -344,13 +344,13 @@ def _kb(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "text_topk",
-    f"WITH {text_top_sql('documents', 'doc_id', V.TEXT_K)} SELECT query_id, doc_id, round(sim, 6) AS sim, rank FROM hits",
+    f"WITH {text_top_sql('documents', 'doc_id', V.TEXT_K)} SELECT query_id, doc_id, sim, rank FROM hits",
 )
 def text_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Whole document texts against the knowledge base."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
     hits = C.text_top_k(docs, _kb(spark, sf))
-    return hits.select("query_id", "doc_id", F.round("sim", 6).alias("sim"), "rank")
+    return hits.select("query_id", "doc_id", "sim", "rank")
 
 
 @register(
