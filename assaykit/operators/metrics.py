@@ -50,25 +50,33 @@ def class_counts(
     policy: str = "negative",
 ) -> DataFrame:
     """(by…, class, n, tp, fp, fn, support): one aggregation, then a small unpivot."""
+    wide = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *class_sums(classes, policy))
+    return wide.select(*by, "n", class_rows(classes))
+
+
+def class_sums(classes: Mapping[str, tuple[str, str]] = DEFAULT_CLASSES, policy: str = "negative") -> list[Column]:
+    """Aggregates of ``class_counts``, to be put into a larger aggregation."""
     sums = []
     for i, (g, p) in enumerate(classes.values()):
         kind = outcome(F.col(g), F.col(p), policy)
         sums += [F.count_if(kind == F.lit(o)).alias(f"__{o}{i}") for o in ("tp", "fp", "fn")]
         sums.append(F.coalesce(F.sum(F.col(g).cast("long")), F.lit(0)).alias(f"__sup{i}"))
-    wide = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("class"),
-                F.col(f"__tp{i}").alias("tp"),
-                F.col(f"__fp{i}").alias("fp"),
-                F.col(f"__fn{i}").alias("fn"),
-                F.col(f"__sup{i}").alias("support"),
-            )
-            for i, c in enumerate(classes)
-        ]
-    )
-    return wide.select(*by, "n", F.inline(rows))
+    return sums
+
+
+def class_rows(classes: Mapping[str, tuple[str, str]] = DEFAULT_CLASSES) -> Column:
+    """The columns of ``class_sums`` as one row per class."""
+    rows = [
+        F.struct(
+            F.lit(c).alias("class"),
+            F.col(f"__tp{i}").alias("tp"),
+            F.col(f"__fp{i}").alias("fp"),
+            F.col(f"__fn{i}").alias("fn"),
+            F.col(f"__sup{i}").alias("support"),
+        )
+        for i, c in enumerate(classes)
+    ]
+    return F.inline(F.array(*rows))
 
 
 def evaluate(
@@ -92,13 +100,16 @@ def macro_f1(per_class: DataFrame, by: Sequence[str] = ("run",), exclude: Sequen
 
 def parse_health(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """Parse-failure and refusal rates."""
-    return results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *health_sums())
+
+
+def health_sums() -> list[Column]:
+    return [
         F.count_if(~F.col("parsed")).alias("n_failed"),
         F.count_if(F.col("refused")).alias("n_refused"),
         F.avg((~F.col("parsed")).cast("double")).alias("parse_failure_rate"),
         F.avg(F.col("refused").cast("double")).alias("refusal_rate"),
-    )
+    ]
 
 
 def method_counts(results: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
@@ -122,13 +133,23 @@ def missed_summary(
     pred: str = "pred_any_hem",
 ) -> DataFrame:
     """Missed positives: count, share of all positives, count per label."""
+    agg = pairs.groupBy(*by).agg(*missed_sums(labels, policy, gt, pred))
+    return agg.withColumn("missed_rate", missed_rate())
+
+
+def missed_sums(
+    labels: Sequence[str] = SUBTYPES, policy: str = "negative", gt: str = ANY, pred: str = "pred_any_hem"
+) -> list[Column]:
     missed = (binarise(F.col(gt), policy) == 1) & (binarise(F.col(pred), policy) == 0)
-    agg = pairs.groupBy(*by).agg(
+    return [
         F.count_if(missed).alias("n_missed"),
         F.sum(F.col(gt).cast("long")).alias("n_positive"),
         *[F.coalesce(F.sum(F.when(missed, F.col(k).cast("long"))), F.lit(0)).alias(f"missed_{k}") for k in labels],
-    )
-    return agg.withColumn("missed_rate", ratio(F.col("n_missed").cast("double"), F.col("n_positive").cast("double")))
+    ]
+
+
+def missed_rate() -> Column:
+    return ratio(F.col("n_missed").cast("double"), F.col("n_positive").cast("double"))
 
 
 def manifest_summary(

@@ -151,24 +151,18 @@ def nearest(
     if exclude_self and q.schema[query_id].dataType != p.schema[pool_id].dataType:
         raise TypeError("exclude_self needs ids of one type")
     spark = q.sparkSession
-    sizes = {
-        name: df.agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")
-        ).first()
-        for name, df in (("q", q), ("p", p))
-    }
-    dims = {s[x] for s in sizes.values() for x in ("lo", "hi") if s["n"]}
+    # counting prunes the vector column; lengths are read off one row and checked in the tasks
+    n_q, n_p = q.count(), p.count()
+    dims = {row[0] for row in (q.select(F.size(vector)).first(), p.select(F.size(vector)).first()) if row is not None}
     if len(dims) > 1:
         raise ValueError(f"vectors differ in length: {sorted(dims)}")
     dim = dims.pop() if dims else 0
-    bytes_of = {name: s["n"] * (dim * 8 + 64) for name, s in sizes.items()}
+    bytes_q, bytes_p = (n * (dim * 8 + 64) for n in (n_q, n_p))
     if strategy is None:
-        if bytes_of["q"] <= broadcast_bytes and bytes_of["q"] <= bytes_of["p"]:
-            strategy = "stream_pool"
-        elif bytes_of["p"] <= broadcast_bytes:
-            strategy = "stream_queries"
+        if min(bytes_q, bytes_p) > broadcast_bytes:
+            strategy = "grid"
         else:
-            strategy = "stream_pool" if bytes_of["q"] <= broadcast_bytes else "grid"
+            strategy = "stream_pool" if bytes_q <= bytes_p else "stream_queries"
 
     fields = [
         T.StructField(query_id, q.schema[query_id].dataType),
@@ -215,7 +209,7 @@ def nearest(
 
         found = q.mapInArrow(scan_queries, schema)
     elif strategy == "grid":
-        nq, np_ = (max(1, math.ceil(sizes[s]["n"] / block_rows)) for s in ("q", "p"))
+        nq, np_ = (max(1, math.ceil(n / block_rows)) for n in (n_q, n_p))
 
         def block(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
             return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(

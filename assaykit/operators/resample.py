@@ -25,6 +25,9 @@ from assaykit.operators.metrics import DEFAULT_CLASSES, evaluate, ratio
 from assaykit.operators.sampling import random_per_query
 
 
+_STRETCH = 1 << 16  # draws per row before they are spelled out
+
+
 def _rng(*key: object) -> np.random.Generator:
     digest = hashlib.md5("|".join(map(str, key)).encode()).digest()
     return np.random.default_rng(int.from_bytes(digest, "big"))
@@ -77,11 +80,15 @@ def keyed_bootstrap(
     carries three counters per resample and task.
     """
     by = list(by)
+    last = F.least(F.col("__from") + _STRETCH, F.col("n")) - 1
     drawn = (
         counts.select(*by, "n", "tp", "fp", "fn")
+        .filter(F.col("n") > 0)
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .repartition(*by, "b")
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_STRETCH).cast("long"))))
+        # a resample of a large run is many stretches of draws, spread over the tasks
+        .repartition(*by, "b", "__from")
+        .withColumn("j", F.explode(F.sequence(F.col("__from"), last)))
         .withColumn("__at", F.pmod(hash_long(key_hash(seed, "b", "j")), F.col("n")))
     )
     a, b, c = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("fn")

@@ -140,8 +140,13 @@ def draw_random_negatives(
     placed = draws.join(sides, "__ref").filter(
         (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to"))
     ).select(query_id, "draw", label, (F.col("__at") - F.col("__from")).alias("__idx"))
-    indexed = dense_index(pool.select(pool_id, label, F.col(vector).alias("__pv")), seed, [pool_id], [label], "__idx")
-    drawn = placed.join(indexed, [label, "__idx"]).join(queries.select(query_id, F.col(vector).alias("__qv")), query_id)
+    # ids alone are put in order; vectors are fetched for the drawn rows afterwards
+    indexed = dense_index(pool.select(pool_id, label), seed, [pool_id], [label], "__idx")
+    drawn = (
+        placed.join(indexed, [label, "__idx"])
+        .join(pool.select(pool_id, F.col(vector).alias("__pv")), pool_id)
+        .join(queries.select(query_id, F.col(vector).alias("__qv")), query_id)
+    )
     dot = F.aggregate(
         F.zip_with("__qv", "__pv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
     )

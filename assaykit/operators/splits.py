@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1_000_000
+
 
 def todo(manifest: DataFrame, done: DataFrame, keys: Sequence[str] = ("image_file",)) -> DataFrame:
     """Work left: manifest rows whose key has no result yet."""
@@ -19,15 +21,27 @@ def exclude_rows(index: DataFrame, manifest: DataFrame, keys: Sequence[str] = ("
 
 
 def exclude_groups(
-    listing: DataFrame, excluded: DataFrame, group: str = "study_id", member: str = "image_id"
+    listing: DataFrame,
+    excluded: DataFrame,
+    group: str = "study_id",
+    member: str = "image_id",
+    max_excluded: int | None = None,
 ) -> DataFrame:
     """Drop every member of a group that holds at least one excluded member.
 
+    ``max_excluded`` is a bound on the excluded rows that the caller can vouch for, such
+    as the size of the sample they come from. Under a million it makes both joins
+    broadcast joins, and the listing is not shuffled at all.
+
     The excluded groups are found first and reduced to one row each, so a group with
     a third of all rows is one row on the build side; the anti-join keeps the large
     side splittable under adaptive skew handling.
     """
-    touched = listing.join(excluded.select(member), member, "left_semi").select(group).distinct()
+    small = max_excluded is not None and max_excluded <= BROADCAST_ROWS
+    ids = excluded.select(member)
+    touched = listing.join(F.broadcast(ids) if small else ids, member, "left_semi").select(group).distinct()
+    if small:
+        touched = F.broadcast(touched)  # no more groups than excluded members
     return listing.join(touched, group, "left_anti")
 
 

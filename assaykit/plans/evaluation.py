@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
 from assaykit.operators.images import match_histogram, reference_levels
-from assaykit.operators.metrics import join_truth, macro_f1, missed_summary, parse_health
+from assaykit.operators.metrics import (
+    DEFAULT_CLASSES,
+    class_rows,
+    class_sums,
+    health_sums,
+    join_truth,
+    missed_rate,
+    missed_sums,
+    prf1,
+)
 from assaykit.operators.nearest import nearest
-from assaykit.operators.resample import null_verdict, permutation_null, score_with_ci
+from assaykit.operators.resample import bootstrap_ci, null_verdict, permutation_null
 from assaykit.operators.retrieval import hit_rate
 
 
@@ -19,25 +28,38 @@ def summarise_runs(
     results: DataFrame, manifest: DataFrame, by: Sequence[str] = ("run",), policy: str = "negative",
     labels: Sequence[str] = V.SUBTYPES, n_boot: int = V.N_BOOT, seed: int = 42,
 ) -> DataFrame:
-    """One nested row per run: rates, headline class, per-label map, macro F1, missed positives."""
+    """One nested row per run: rates, headline class, per-label map, macro F1, missed positives.
+
+    Results and manifest are joined and read once: every figure comes from one
+    aggregation per run, the intervals from its few result rows.
+    """
     by = list(by)
-    pairs = join_truth(results, manifest)
-    scores = score_with_ci(pairs, by, policy=policy, n_boot=n_boot, seed=seed)
-    cells = F.struct("precision", "recall", "f1", "tp", "fp", "fn", "support", "f1_lo", "f1_hi")
-    # a run has one row per class: the collected map has len(labels) entries
-    nested = scores.groupBy(*by).agg(
-        F.first(F.when(F.col("class") == V.ANY, cells), ignorenulls=True).alias("any_hemorrhage"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(F.col("class") != V.ANY, F.struct(F.col("class").alias("key"), cells.alias("value")))))
-        ).alias("per_subtype"),
-        F.avg(F.when(F.col("class") != V.ANY, F.col("f1"))).alias("macro_f1"),
+    health = ["n_failed", "n_refused", "parse_failure_rate", "refusal_rate"]
+    missed = ["n_missed", "n_positive", "missed_rate", *[f"missed_{k}" for k in labels]]
+    classes = {V.ANY: DEFAULT_CLASSES[V.ANY], **{k: (k, f"pred_{k}") for k in labels}}
+    pairs = join_truth(results, manifest, truth=(V.ANY, *labels))
+    sums = pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *class_sums(classes, policy), *health_sums(), *missed_sums(labels, policy)
     )
-    missed = missed_summary(pairs, by, labels, policy).select(
-        *by,
-        F.struct("n_missed", "n_positive", "missed_rate", *[f"missed_{k}" for k in labels]).alias("missed"),
+    per_class = prf1(
+        sums.withColumn("missed_rate", missed_rate()).select(*by, "n", *health, *missed, class_rows(classes))
     )
+    scored = bootstrap_ci(per_class, [*by, "class"], n_boot, seed)
+    cells = F.struct("precision", "recall", "f1", "tp", "fp", "fn", "support", "f1_lo", "f1_hi")
+    label = F.col("class") != V.ANY
+    # a run has one row per class: the collected map has len(labels) entries
+    entries = F.collect_list(F.when(label, F.struct(F.col("class").alias("key"), cells.alias("value"))))
     return (
-        parse_health(pairs, by).withColumn("uncertain_policy", F.lit(policy)).join(nested, by).join(missed, by)
+        scored.groupBy(*by, "n", *health, *missed)
+        .agg(
+            F.first(F.when(~label, cells), ignorenulls=True).alias("any_hemorrhage"),
+            F.map_from_entries(F.array_sort(entries)).alias("per_subtype"),
+            F.avg(F.when(label, F.col("f1"))).alias("macro_f1"),
+        )
+        .select(
+            *by, "n", F.lit(policy).alias("uncertain_policy"), *health, "any_hemorrhage", "per_subtype", "macro_f1",
+            F.struct(*missed).alias("missed"),
+        )
     )
 
 
@@ -68,5 +90,3 @@ def retrieval_decision(
         }
     return out
 
-
-__all__ = ["macro_f1", "retrieval_decision", "retrieval_verdict", "summarise_runs"]

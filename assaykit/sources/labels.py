@@ -72,7 +72,7 @@ def long_labels(raw: DataFrame, suffixes: Mapping[str, str] = LONG_SUFFIXES, dup
         label = F.when(F.col("__suffix") == suffix, F.col("Label"))
         if duplicates == "keep":
             return F.coalesce(F.max(label), F.lit(0))
-        clash = F.raise_error(F.concat(F.lit(f"conflicting {suffix} labels for "), F.first("image_id"))).cast("int")
+        clash = F.raise_error(F.concat(F.lit(f"conflicting {suffix} labels for "), F.col("image_id"))).cast("int")
         return F.coalesce(F.when(F.max(label) != F.min(label), clash).otherwise(F.max(label)), F.lit(0))
 
     keys = list(suffixes.values())

@@ -13,11 +13,12 @@ from suite import register
 from suite.derived import LABELS, oracle, spark_sql, table
 from suite.sampling import _multilabel_sql
 
-_EVAL = "SELECT image_id FROM {slices} ORDER BY md5(concat_ws('|', '7', image_id)), image_id LIMIT 300"
+N_EVAL = 300
+_EVAL = f"SELECT image_id FROM {{slices}} ORDER BY md5(concat_ws('|', '7', image_id)), image_id LIMIT {N_EVAL}"
 
 
 def eval_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return S.random_rows(table(spark, sf, "slices").select("image_id"), 300, ["image_id"], 7)
+    return S.random_rows(table(spark, sf, "slices").select("image_id"), N_EVAL, ["image_id"], 7)
 
 
 @register("resume_work_list", oracle("SELECT m.image_file FROM {manifest} m WHERE NOT EXISTS (SELECT 1 FROM {results} r WHERE r.image_file = m.image_file AND r.run = 'base' AND r.parsed)"))
@@ -41,7 +42,7 @@ def slice_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 )
 def study_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     """Every image of a study holding an evaluation image leaves the pool."""
-    return P.exclude_groups(table(spark, sf, "slices"), eval_ids(spark, sf)).select("image_id", "study_id")
+    return P.exclude_groups(table(spark, sf, "slices"), eval_ids(spark, sf), max_excluded=N_EVAL).select("image_id", "study_id")
 
 
 @register(
@@ -57,8 +58,8 @@ def split_disjointness(spark: SparkSession, sf: str) -> DataFrame:
     """Image, study and patient level: shared values of evaluation set and pool."""
     s = table(spark, sf, "slices").withColumn("patient", F.col("l_suppkey"))
     ids = eval_ids(spark, sf)
-    chosen = s.join(ids, "image_id", "left_semi")
-    return P.overlap_counts(chosen, P.exclude_groups(s, ids), ["image_id", "study_id", "patient"])
+    chosen = s.join(F.broadcast(ids), "image_id", "left_semi")  # N_EVAL rows
+    return P.overlap_counts(chosen, P.exclude_groups(s, ids, max_excluded=N_EVAL), ["image_id", "study_id", "patient"])
 
 
 @register("labelled_candidates", oracle("SELECT d.doc_id, d.source, l.quality, l.toxic FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"))
