@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
 from assaykit.operators.nearest import nearest
-from assaykit.operators.text import encode
+from assaykit.operators.text import DIM, encode
 
 PROVIDERS = ("none", "text", "image")
 
@@ -26,6 +26,7 @@ def text_top_k(
     if vector is None:
         vector = "__vec"
         q, d = encode(queries, text, vector), encode(kb, text, vector)
+        options = {"dim": DIM, **options}
     found = nearest(q, d, k, query_id, doc_id, vector, **options)
     return found.join(kb.select(doc_id, F.col(text).alias("doc_text")), doc_id)
 

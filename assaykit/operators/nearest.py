@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16384
+BLOCK_BYTES = 32 << 20
 _CHUNK_CELLS = 1 << 22  # similarities held at once
 _SCALE = 1e9
 _POS_BITS = 20
@@ -137,12 +138,15 @@ def nearest(
     exclude_self: bool = False,
     strategy: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar pool rows per query — per (query, ``by``) when given.
 
     Columns: query_id, pool_id, sim, rank [, by]; rank 1 is the nearest. A pool smaller
     than k gives all of it. ``exclude_self`` skips a pool row with the query's own id.
+    ``dim`` saves looking at a row when the vectors are computed, not stored; a block of
+    the grid holds ``block_rows`` rows, by default about ``BLOCK_BYTES``.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -153,10 +157,12 @@ def nearest(
     spark = q.sparkSession
     # counting prunes the vector column; lengths are read off one row and checked in the tasks
     n_q, n_p = q.count(), p.count()
-    dims = {row[0] for row in (q.select(F.size(vector)).first(), p.select(F.size(vector)).first()) if row is not None}
-    if len(dims) > 1:
-        raise ValueError(f"vectors differ in length: {sorted(dims)}")
-    dim = dims.pop() if dims else 0
+    if dim is None:
+        firsts = (df.select(F.size(vector)).first() for df in (q, p))
+        dims = {row[0] for row in firsts if row is not None}
+        if len(dims) > 1:
+            raise ValueError(f"vectors differ in length: {sorted(dims)}")
+        dim = dims.pop() if dims else 0
     bytes_q, bytes_p = (n * (dim * 8 + 64) for n in (n_q, n_p))
     if strategy is None:
         if min(bytes_q, bytes_p) > broadcast_bytes:
@@ -209,6 +215,7 @@ def nearest(
 
         found = q.mapInArrow(scan_queries, schema)
     elif strategy == "grid":
+        block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (dim * 8 + 64)))
         nq, np_ = (max(1, math.ceil(n / block_rows)) for n in (n_q, n_p))
 
         def block(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:

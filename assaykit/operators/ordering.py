@@ -89,3 +89,32 @@ def take_by_hash(
         .filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")) | (F.col("__rank") <= F.col("__rest")))
         .select(*df.columns)
     )
+
+
+def smallest_by_hash(df: DataFrame, n: int, keys: Sequence[str], seed: int | str) -> DataFrame:
+    """The ``n`` rows with the smallest keyed hash: ``take_by_hash`` for one stratum.
+
+    The cut is a scalar, so nothing is joined; a global sort or limit task is not needed
+    either, whatever ``n``.
+    """
+    hashed = with_hash_order(df, seed, keys)
+    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # bucket totals only
+    cut = (
+        hashed.groupBy("__bucket")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__upto", F.sum("__n").over(upto))
+        .agg(
+            F.struct(
+                F.min(F.when(F.col("__upto") >= n, F.col("__bucket"))).alias("bucket"),
+                (F.lit(n) - F.coalesce(F.max(F.when(F.col("__upto") < n, F.col("__upto"))), F.lit(0))).alias("rest"),
+            ).alias("cut")
+        )
+        .scalar()
+    )
+    inside = Window.partitionBy("__bucket").orderBy("__h", *keys)
+    return (
+        hashed.filter(F.coalesce(F.col("__bucket") <= cut["bucket"], F.lit(True)))
+        .withColumn("__rank", F.row_number().over(inside))
+        .filter(F.coalesce((F.col("__bucket") < cut["bucket"]) | (F.col("__rank") <= cut["rest"]), F.lit(True)))
+        .select(*df.columns)
+    )

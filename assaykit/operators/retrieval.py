@@ -226,6 +226,16 @@ def hit_rate(
     )
 
 
+def hit_rate_sweep(
+    neighbours: DataFrame, queries: DataFrame, pool: DataFrame, ks: Sequence[int], labels: str = "labels"
+) -> DataFrame:
+    """(k, hit_rate, …) for several k from one list of at least ``max(ks)`` neighbours."""
+    sizes = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))
+    spread = neighbours.select("query_id", "pool_id", F.explode(sizes).alias("k"))
+    swept = hit_rate(spread, queries, pool, 1, labels=labels, by=["k"])
+    return swept.withColumn("hit_rate", F.col("hit_rate") / F.col("k"))
+
+
 def index_check(
     index: DataFrame, n_queries: int = 3, k: int = 3, seed: int | str = 0, key: str = "image_file",
     vector: str = "embedding", labels: str = "present_subtypes", positive: str = "any_hemorrhage",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
 from assaykit.functions.keyed import draw_indices
-from assaykit.operators.ordering import dense_index, take_by_hash, with_hash_order
+from assaykit.operators.ordering import dense_index, smallest_by_hash, take_by_hash, with_hash_order
 
 _BIG = "decimal(38,0)"
 
@@ -199,8 +199,7 @@ def random_per_query(
 
 def random_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int | str = 0) -> DataFrame:
     """``n`` random rows (all, if fewer)."""
-    one = df.sparkSession.range(1).select(F.lit(n).alias("quota"), F.lit(0).alias("__all"))
-    return take_by_hash(df.withColumn("__all", F.lit(0)), one, ["__all"], keys, seed, max_strata=1).drop("__all")
+    return smallest_by_hash(df, n, keys, seed)
 
 
 def first_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:

@@ -15,6 +15,8 @@ from assaykit.operators.nearest import nearest
 from assaykit.operators.sampling import random_per_query
 from assaykit.operators.text import encode
 from assaykit.plans.evaluation import retrieval_decision, retrieval_verdict
+from assaykit.plans.retrieval import exemplar_grid
+from assaykit.plans.runs import RunSpec
 from suite import register
 from suite.derived import spark_sql, table
 
@@ -196,6 +198,48 @@ def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     return X.hit_rate(found, queries_of(v), pool_of(v), K).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
+_KS = (1, 2, 4, 5)
+
+
+@register(
+    "hit_rate_k_sweep",
+    f"WITH {TOP} "
+    + " UNION ALL ".join(
+        f"SELECT {k} AS k, round(count(*) FILTER ({SHARES}) / ((SELECT count(*) FROM embeddings) * {k}.0), 6) AS hit_rate FROM top WHERE rank <= {k}"
+        for k in _KS
+    ),
+)
+def hit_rate_k_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Hit rate at several k from one retrieval."""
+    v = vectors(spark, sf)
+    found = nearest(queries_of(v), pool_of(v), max(_KS), exclude_self=True)
+    return X.hit_rate_sweep(found, queries_of(v), pool_of(v), _KS).select("k", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+_SPECS = [
+    RunSpec("plain", context="image", k=K),
+    RunSpec("last", context="image", contrastive=True),
+    RunSpec("first", context="image", contrastive=True, neg_position="first"),
+    RunSpec("two", context="image", contrastive=True, n_pos=2, n_neg=2),
+]
+
+
+@register(
+    "exemplar_grid",
+    f"WITH {TOP} SELECT 'plain' AS run, query_id, rank AS slot, pool_id FROM top"
+    + "".join(
+        f" UNION ALL SELECT '{r.run}', query_id, slot, pool_id FROM ({contrastive_sql(r.n_pos, r.n_neg, r.neg_position)})"
+        for r in _SPECS
+        if r.contrastive
+    ),
+)
+def exemplars(spark: SparkSession, sf: str) -> DataFrame:
+    """Four retrieval settings from one pass over the pool."""
+    v = vectors(spark, sf)
+    out = exemplar_grid(queries_of(v), pool_of(v), _SPECS, "flag", exclude_self=True)
+    return out.select("run", "query_id", "slot", "pool_id")
+
+
 @register(
     "label_match_counts",
     "WITH m AS (SELECT q.vec_id, count(*) AS m FROM embeddings q JOIN embeddings p ON q.label // 2 = p.label // 2 GROUP BY q.vec_id) "
@@ -325,7 +369,7 @@ def encoded_sql(source: str, key: str) -> str:
     terms = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
     slots = f"list_transform({terms}, lambda t: ('0x' || substr(md5(t), 1, 3))::bigint % {_DIM})"
     return (
-        f"SELECT {key}, list_transform(n, lambda x: (x / sqrt(list_sum(list_transform(n, lambda y: y * y))))::FLOAT)::DOUBLE[] AS e FROM ("
+        f"SELECT {key}, list_transform(n, lambda x: coalesce(x / nullif(sqrt(list_sum(list_transform(n, lambda y: y * y))), 0), 0)::FLOAT)::DOUBLE[] AS e FROM ("
         f"SELECT {key}, list_transform(range({_DIM}), lambda d: len(list_filter(s, lambda x: x = d))::DOUBLE) AS n FROM ("
         f"SELECT {key}, {slots} AS s FROM {source}))"
     )
@@ -335,7 +379,7 @@ def text_top_sql(source: str, key: str, k: int) -> str:
     return f"""q AS MATERIALIZED ({encoded_sql(source, key)}), d AS MATERIALIZED ({encoded_sql('benchmark', 'item_id')}),
     hits AS (SELECT q.{key} AS query_id, d.item_id AS doc_id, round(list_dot_product(q.e, d.e), 9) AS sim,
              row_number() OVER (PARTITION BY q.{key} ORDER BY round(list_dot_product(q.e, d.e), 9) DESC, d.item_id) AS rank
-             FROM q JOIN d ON NOT isnan(q.e[1]) QUALIFY rank <= {k})"""
+             FROM q JOIN d ON true QUALIFY rank <= {k})"""
 
 
 def _kb(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit import fixed_values as V
 from assaykit.operators.scoring import resume_scoring
+from assaykit.plans.scoring import two_stage_run
 from assaykit.session import shared_folder
 from assaykit.sources import labels as L
 from assaykit.sources import results as R
@@ -15,6 +17,7 @@ from assaykit.streaming.incremental import score_incrementally
 from suite import register
 from suite.answers import PARSED
 from suite.derived import LABELS, oracle, spark_sql, table
+from suite.retrieval import text_top_sql
 
 _FLAGS = ", ".join(LABELS)
 
@@ -165,3 +168,40 @@ def incremental_scoring(spark: SparkSession, sf: str) -> DataFrame:
     answers.filter(F.col("run") != "base").write.mode("append").json(source)
     score_incrementally(spark, source, sink, state).awaitTermination()
     return spark.read.parquet(sink).select("run", "image_file", "pred_any_hem", *[f"pred_{k}" for k in LABELS], "method")
+
+
+_FINDINGS = "SELECT image_file, m.doc_id, d.text AS stored FROM {manifest} m JOIN {documents} d ON m.doc_id = d.doc_id"
+
+
+@register(
+    "two_stage_run",
+    oracle(
+        "WITH f AS (SELECT doc_id, text FROM {documents}), "
+        + text_top_sql("f", "doc_id", 2)
+        + ", c AS (SELECT h.query_id, string_agg(concat('- ', b.text), chr(10) ORDER BY h.rank) AS bullets FROM hits h JOIN benchmark b ON b.item_id = h.doc_id GROUP BY h.query_id) "
+        "SELECT m.image_file, CASE WHEN md5(p) < '8' THEN 1 ELSE 0 END AS pred_any_hem, md5(p) AS prompt_md5, (2 * length(d.text))::int AS n_tokens FROM {manifest} m "
+        "JOIN {documents} d ON d.doc_id = m.doc_id JOIN (SELECT query_id, concat('SYS', chr(10), chr(10), '" + V.TEXT_CONTEXT_HEADER + "', chr(10), bullets) AS p FROM c) c ON c.query_id = m.doc_id"
+    ),
+)
+def two_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings (the stored text), retrieval, second pass; the answer depends on the prompt alone."""
+
+    def make_findings():
+        def describe(batch):
+            return batch[["stored"]].rename(columns={"stored": "raw_text"}).assign(n_tokens=batch["stored"].str.len())
+
+        return describe
+
+    def make_answer():
+        from hashlib import md5
+
+        def answer(batch):
+            digest = batch["system_prompt"].map(lambda p: md5(p.encode()).hexdigest())
+            text = digest.map(lambda d: f"HEMORRHAGE: {'yes' if d < '8' else 'no'}\n{d}")
+            return text.to_frame("raw_text").assign(n_tokens=batch["stored"].str.len())
+
+        return answer
+
+    kb = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    out = two_stage_run(spark_sql(spark, sf, _FINDINGS), kb, make_findings, make_answer, "two", "SYS")
+    return out.select("image_file", "pred_any_hem", F.substring("raw_text", -32, 32).alias("prompt_md5"), "n_tokens")

@@ -195,3 +195,47 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     append_new(spark, batch, sink)
     append_new(spark, batch, sink)
     assert spark.read.parquet(sink).count() == 1
+
+
+# -- whole scoring runs -------------------------------------------------------
+
+
+def test_gated_few_shot_run(spark):
+    from assaykit.plans.scoring import gated_few_shot_run
+
+    q = spark.createDataFrame([("a", "ct"), ("forbidden", "cat"), ("b", "ct")], "image_file string, kind string")
+    pool = spark.createDataFrame([("p1", "HEMORRHAGE: yes\nSUBTYPES: SAH")], "pool_id string, label_text string")
+
+    def gate_model():
+        return lambda b: pd.DataFrame({"raw_text": np.where(b["kind"] == "ct", "YES", "NO"), "n_tokens": 1})
+
+    def model():
+        def answer(b):
+            assert not b["image_file"].str.startswith("forbidden").any()
+            copied = [next(m["content"][0]["text"] for m in chat if m["role"] == "assistant") for chat in b["chat"]]
+            return pd.DataFrame({"raw_text": copied, "n_tokens": 2})
+
+        return answer
+
+    def choose(work):
+        return work.select("image_file", F.lit(1).alias("slot"), F.lit("p1").alias("pool_id"))
+
+    got = {r.image_file: r for r in gated_few_shot_run(q, choose, pool, gate_model, model, "r", "ask").collect()}
+    assert got["a"].pred_SAH == 1 and got["b"].pred_any_hem == 1
+    assert got["forbidden"].raw_text == V.GATE_REFUSAL_TEXT and got["forbidden"].n_tokens == 0
+
+
+def test_exemplar_grid_runs_every_setting(spark):
+    from assaykit.plans.retrieval import exemplar_grid
+
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=4)).tolist(), i % 2) for i in range(30)]
+    unit = [(i, (np.array(v) / np.linalg.norm(v)).tolist(), c) for i, v, c in rows]
+    q = spark.createDataFrame(unit[:10], "query_id long, embedding array<float>, any_hemorrhage int")
+    p = spark.createDataFrame(unit[10:], "pool_id long, embedding array<float>, any_hemorrhage int")
+    specs = [
+        RunSpec("plain", "image", k=4), RunSpec("random", "image", k=2, random=True), RunSpec("con", "image", contrastive=True),
+        RunSpec("soft", "image", contrastive=True, random_neg=True), RunSpec("text", "text"),
+    ]
+    counts = {r.run: r["count"] for r in exemplar_grid(q, p, specs).groupBy("run").count().collect()}
+    assert counts == {"plain": 40, "random": 20, "con": 30, "soft": 30}
