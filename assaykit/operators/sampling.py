@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assaykit import fixed_values as V
 from assaykit.functions.keyed import draw_indices
 from assaykit.operators.ordering import dense_index, smallest_by_hash, take_by_hash, with_hash_order
+from assaykit.session import cut_lineage
 
 _BIG = "decimal(38,0)"
 
@@ -135,6 +136,9 @@ def ordered_acceptance(
         .drop("__before", "__hits")
     )
 
+    # the attempts are few beside the candidates and are read several times from here on
+    attempted = cut_lineage(attempted)
+
     # attempt numbers and miss streaks over (phase, bucket) in order
     numbered = attempted.withColumn("__row", F.row_number().over(inside))
     ahead = Window.orderBy(phase, "__bucket").rowsBetween(Window.unboundedPreceding, -1)  # bucket totals only

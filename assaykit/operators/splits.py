@@ -78,25 +78,34 @@ def align_sources(*sources: DataFrame) -> DataFrame:
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """Per level (image, study, patient): distinct values, and how many occur in both sets."""
-    rows = []
-    for level in levels:
-        left, right = a.select(F.col(level).alias("v")).distinct(), b.select(F.col(level).alias("v")).distinct()
-        tagged = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2)))
-        rows.append(
-            tagged.groupBy("v")
-            .agg(F.sum("side").alias("s"))
-            .agg(
-                F.count_if(F.col("s") != 2).alias("n_a"),
-                F.count_if(F.col("s") != 1).alias("n_b"),
-                F.count_if(F.col("s") == 3).alias("n_shared"),
-            )
-            .select(F.lit(level).alias("level"), "n_a", "n_b", "n_shared")
+    """Per level (image, study, patient): distinct values, and how many occur in both sets.
+
+    Each side is read once for all levels; values are folded on the map side, so one
+    value on most rows is one row of the shuffle.
+    """
+
+    def values(df: DataFrame, side: int) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("v")) for c in levels])
+        return df.select(F.inline(pairs), F.lit(side).alias("side"))
+
+    sides = values(a, 1).unionByName(values(b, 2)).groupBy("level", "v").agg(F.bit_or("side").alias("s"))
+    wide = sides.agg(
+        *[
+            F.count_if((F.col("level") == c) & F.col("s").isin(*which)).alias(f"__{name}{i}")
+            for i, c in enumerate(levels)
+            for name, which in (("a", (1, 3)), ("b", (2, 3)), ("shared", (3,)))
+        ]
+    )
+    rows = [
+        F.struct(
+            F.lit(c).alias("level"),
+            F.col(f"__a{i}").alias("n_a"),
+            F.col(f"__b{i}").alias("n_b"),
+            F.col(f"__shared{i}").alias("n_shared"),
         )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        for i, c in enumerate(levels)
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def combination_shares(df: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from assaykit.functions.labels import answer_text, present_array, present_text,
 from assaykit.operators import sampling as S
 from assaykit.operators import splits as P
 from assaykit.plans.runs import RunSpec, experiment_grid
+from assaykit.session import cut_lineage
 from suite import register
 from suite.derived import LABELS, oracle, spark_sql, table
 from suite.sampling import _multilabel_sql
@@ -57,7 +58,7 @@ def study_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 def split_disjointness(spark: SparkSession, sf: str) -> DataFrame:
     """Image, study and patient level: shared values of evaluation set and pool."""
     s = table(spark, sf, "slices").withColumn("patient", F.col("l_suppkey"))
-    ids = eval_ids(spark, sf)
+    ids = cut_lineage(eval_ids(spark, sf))  # read three times
     chosen = s.join(F.broadcast(ids), "image_id", "left_semi")  # N_EVAL rows
     return P.overlap_counts(chosen, P.exclude_groups(s, ids, max_excluded=N_EVAL), ["image_id", "study_id", "patient"])
 
