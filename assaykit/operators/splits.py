@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
@@ -111,8 +111,8 @@ def overlap_counts(a: DataFrame, b: DataFrame, levels: Sequence[str]) -> DataFra
 def combination_shares(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     text = F.concat_ws("", *[F.col(k).cast("string") for k in labels])
     counts = df.select(text.alias("combination")).groupBy("combination").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.select("combination", "n", (F.col("n") / total).alias("share"))
+    everything = Window.partitionBy()  # one row per combination
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(everything))
 
 
 def fidelity(sample: DataFrame, population: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from assaykit import fixed_values as V
 from assaykit.operators.scoring import resume_scoring
 from assaykit.plans.scoring import two_stage_run
 from assaykit.session import shared_folder
+from assaykit.sources import images as I
 from assaykit.sources import labels as L
 from assaykit.sources import results as R
 from assaykit.streaming.incremental import score_incrementally
@@ -84,6 +85,18 @@ def listing_parse(spark: SparkSession, sf: str) -> DataFrame:
     return L.parse_listing(paths).select("page_id", "study_id", "image_id")
 
 
+@register("folder_scan", oracle("SELECT study_id AS folder, 1 AS n_files, sum(strlen(d.text) + 1) AS n_bytes FROM {manifest} m JOIN {documents} d ON m.doc_id = d.doc_id GROUP BY study_id"))
+def folder_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder tree with one file per study, listed by extension; contents are not read."""
+    path = fresh(spark, "folder")
+    spark_sql(spark, sf, "SELECT m.study_id, d.text FROM {manifest} m JOIN {documents} d ON m.doc_id = d.doc_id").repartition(
+        "study_id"
+    ).write.partitionBy("study_id").text(path)
+    files = I.list_images(spark, path, ("txt",))
+    folder = F.regexp_extract("path", "study_id=([^/]*)/", 1)
+    return files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
 @register("image_stems", "SELECT page_id, 'p.' || page_id AS stem FROM pages")
 def image_stems(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "pages").select("page_id", F.concat(F.lit("dir/p."), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
