@@ -106,7 +106,7 @@ _contrastive("contrastive_two_negatives", 2, 2, "last")
 @register(
     "contrastive_shortage",
     f"""WITH {SIMS},
-    s AS (SELECT query_id, pool_id, sim, CASE WHEN pl = 9 AND pool_id % 7 = 0 THEN 1 ELSE 0 END AS rare FROM sims),
+    s AS (SELECT query_id, pool_id, sim, CASE WHEN pl = 9 AND substr(md5(cast(pool_id AS string)), 1, 1) < '3' THEN 1 ELSE 0 END AS rare FROM sims),
     ref AS (SELECT query_id, first(rare ORDER BY sim DESC, pool_id) AS ref FROM s GROUP BY query_id),
     ranked AS (SELECT s.*, s.rare = r.ref AS same, row_number() OVER (PARTITION BY s.query_id, s.rare = r.ref ORDER BY sim DESC, pool_id) AS side
                FROM s JOIN ref r ON s.query_id = r.query_id),
@@ -122,7 +122,8 @@ _contrastive("contrastive_two_negatives", 2, 2, "last")
 def contrastive_shortage(spark: SparkSession, sf: str) -> DataFrame:
     """More exemplars asked for than a rare label has: positives are filled before negatives."""
     v = vectors(spark, sf)
-    pool = pool_of(v).withColumn("rare", ((F.col("label") == 9) & (F.col("pool_id") % 7 == 0)).cast("int"))
+    few = F.substring(F.md5(F.col("pool_id").cast("string")), 1, 1) < "3"
+    pool = pool_of(v).withColumn("rare", ((F.col("label") == 9) & few).cast("int"))
     chosen = X.contrastive(queries_of(v), pool, "rare", 20, 12, exclude_self=True)
     return chosen
 

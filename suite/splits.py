@@ -84,7 +84,11 @@ def image_presence(spark: SparkSession, sf: str) -> DataFrame:
     return flagged.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("n_found"))
 
 
-_VOLUMES = "SELECT cast(doc_id AS int) AS patient, cast(n_chars % 12 AS int) AS n_slices FROM {documents} WHERE doc_id < 90"
+# depth by patient; some volumes are missing
+_VOLUMES = (
+    "SELECT m.patient, cast(max(d.n_chars) % 12 AS int) AS n_slices FROM {manifest} m JOIN {documents} d ON m.doc_id = d.doc_id "
+    "GROUP BY m.patient HAVING substr(md5(cast(m.patient AS string)), 1, 1) < 'd'"
+)
 
 
 @register(
