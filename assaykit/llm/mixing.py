@@ -103,11 +103,12 @@ def mix(
     seed: int = 7,
 ) -> DataFrame:
     """(__row, doc_id, size, source_size, target, shards): a row per document; ``shards`` has the shard of every
-    copy that the mix takes, so its length is the number of copies. ``__row`` numbers the rows of ``docs``."""
+    copy that the mix takes, so its length is the number of copies. ``__row`` numbers the rows of ``docs``, unless
+    they bring such a column. What is drawn depends on the rows' contents, not on their numbers."""
     spark = docs.sparkSession
     sized = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("__row"),
+            (F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()).alias("__row"),
             "doc_id",
             "source",
             n_words(whole()).alias("size"),
@@ -196,11 +197,11 @@ def _last_block(placed: DataFrame) -> DataFrame:
 
 def drawn(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The mix itself: the rows of ``docs`` once for every copy taken, by shard, shuffled inside each shard."""
-    numbered = stored(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered")
-    taken = mix(numbered.select(F.col("__id").alias("doc_id"), "source", "text"), seed=seed, **how)
-    copies = taken.select(F.col("doc_id").alias("__id"), F.posexplode("shards").alias("__copy", "__shard"))
-    rows = numbered.join(copies, "__id").withColumn("__key", F.xxhash64(F.lit(seed), "__shard", "__copy", "__id"))
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__key").drop("__id", "__copy", "__key")
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, seed=seed, **how)
+    copies = taken.select("__row", F.posexplode("shards").alias("__copy", "__shard"))
+    rows = numbered.join(copies, "__row").withColumn("__key", F.xxhash64(F.lit(seed), "__shard", "__copy", "doc_id", "text"))
+    return rows.repartition("__shard").sortWithinPartitions("__shard", "__key").drop("__row", "__copy", "__key")
 
 
 QUERY = "op8_mixing"
