@@ -13,7 +13,6 @@ by row number; an empty table gives an empty result; other columns are not looke
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,10 +31,19 @@ CACHE = 300_000  # words a worker remembers
 
 # How the tokenizer file splits a normalised text. Words between white space are split alone.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# Texts with anything else (other scripts, control characters, special tokens) go to the tokenizer whole.
+# Texts with anything else (other scripts, control characters, special tokens) go to the tokenizer whole. Of these
+# characters, composition changes none and lower-casing looks at each alone, so words can be encoded by the
+# tokenizer's model one by one.
 PLAIN = "[\\t-\\r -\\u007e\\u00a0-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u20ac]*"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids as little-endian bytes. Words are encoded once and remembered, up to CACHE of them."""
 
@@ -45,25 +53,36 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.split, self.plain = regex.compile(SPLIT), regex.compile(PLAIN)
+        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        plain = [self.plain.fullmatch(t) is not None and "<|" not in t for t in texts]
-        cut = [t.split() if p else [] for t, p in zip(texts, plain)]
-        new = [(w, self.split.findall(unicodedata.normalize("NFC", w).lower())) for w in set().union(*cut).difference(self.words)]
-        fresh = list(set().union(*(p for _, p in new)).difference(self.pieces))
-        self.pieces.update(zip(fresh, self._encode(fresh)))
-        self.words.update((w, b"".join([self.pieces[q] for q in p])) for w, p in new)
-        for t, p, ws in zip(texts, plain, cut):
-            yield b"".join([self.words[w] for w in ws]) if p else self._encode([t])[0]
+    def _piece(self, piece: str) -> bytes:
+        if piece not in self.pieces:
+            tokens = self.whole.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return self.pieces[piece]
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._piece(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, self.split.findall(word)))
+
+    def __call__(self, text: str) -> bytes:
+        if "<|" in text or not self.plain.fullmatch(text):
+            ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return np.array(ids, "<u4").tobytes()
+        for kept in (self.words, self.pieces):
+            if len(kept) > CACHE:
+                kept.clear()
+        words = text.lower().split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            self.words.update((w, self._word(w)) for w in set(words).difference(self.words))
+            found = map(self.words.__getitem__, words)
+        return b"".join(found)
 
 
 def _encoder(path: str) -> Encoder:
@@ -95,7 +114,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part, out = pdf.iloc[lo : lo + 500], []
-                for row, doc_id, ids in zip(part["row"], part["doc_id"].astype("Int64"), encode(list(part["text"]))):
+                for row, doc_id, ids in zip(part["row"], part["doc_id"].astype("Int64"), map(encode, part["text"])):
                     ids += last
                     for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
