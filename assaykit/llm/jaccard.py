@@ -7,8 +7,8 @@
    shuffled by shingle, and only shingles of two or more classes stay.
 4. Every class is verified against one pivot, the most central class it shares most prefix shingles with.
    Links give components. Pairs inside one component need no further look, since only components are asked.
-5. All pairs of different components that share a prefix shingle are candidates; length, positional and
-   suffix filters come first, then each pair is verified once on the whole sets.
+5. All pairs of different components that share a prefix shingle early enough (positional filter) and are
+   of similar length are candidates, verified once: the suffix filter first, then the whole sets.
 
 Shingles are 64-bit hashes, classes 128-bit hashes of sorted sets. Frequent shingles are dealt out by
 (shingle, salt), the number of salts following from the frequency table.
@@ -168,8 +168,14 @@ def similar_size(a: str, b: str) -> Column:
     return (NUM * F.col(a) <= DEN * F.col(b)) & (NUM * F.col(b) <= DEN * F.col(a))
 
 
-def _least(a: str, b: str) -> Column:
-    return F.ceil(NUM * (F.col(a) + F.col(b)) / F.lit(float(NUM + DEN)) - 1e-9)
+def early(pos_a: str, n_a: str, pos_b: str, n_b: str) -> Column:
+    """The positional filter: whether the shared shingle could be the first that two linked sets share.
+
+    Past their first shared shingle both sets have to hold what is left of the required intersection, so a
+    linked pair has a shared shingle that passes; pairs meet at such shingles only.
+    """
+    least = F.ceil(NUM * (F.col(n_a) + F.col(n_b)) / F.lit(float(NUM + DEN)) - 1e-9)
+    return (F.col(pos_a) <= F.col(n_a) - least) & (F.col(pos_b) <= F.col(n_b) - least)
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -265,21 +271,20 @@ def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(shared: DataFrame) -> DataFrame:
-    """(other, hub) of different components that share prefix shingles and pass length and positional filter.
+    """(other, hub) of different components that meet at a shingle early enough, each pair once.
 
-    Made by way of the distinct components of each shingle, so that pairs inside a component never arise.
+    Of a linked pair the smaller set (by size, then id) holds the first shared shingle within its first
+    seventh, so only such rows look for partners. Shingles of a single component take no part, and all
+    conditions belong to the join, so pairs that fail them are never rows.
     """
-    groups = shared.select("token", "component").distinct()
-    mixed = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    groups = stored(groups.join(mixed, "token", "left_semi"), "groups")
-    g, h = groups.alias("g"), groups.alias("h")
-    meet = g.join(h, F.expr("g.token = h.token and g.component < h.component")).select("g.token", F.col("g.component").alias("ca"), F.col("h.component").alias("cb"))
-    side = lambda c, s: shared.select("token", F.col("component").alias(c), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"))
-    met = meet.join(side("ca", "a"), ["token", "ca"]).join(side("cb", "b"), ["token", "cb"])
-    rest = lambda a, b: F.least(F.col("n_a") - F.col(a) - 1, F.col("n_b") - F.col(b) - 1)
-    met = met.where(similar_size("n_a", "n_b"))
-    counted = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("pos_a").alias("la"), F.max("pos_b").alias("lb"))
-    return counted.where(F.col("c") + rest("la", "lb") >= _least("n_a", "n_b")).select(F.col("id_a").alias("other"), F.col("id_b").alias("hub"))
+    mixed = shared.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l != h").select("token")
+    live = stored(shared.join(mixed, "token", "left_semi"), "live")
+    side = lambda s: live.select(F.col("token"), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "id", "n", "pos")])
+    small = side("a").where((NUM + DEN) * F.col("pos_a") <= (DEN - NUM) * F.col("n_a"))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    meet = (F.col("component_a") != F.col("component_b")) & ordered & similar_size("n_a", "n_b") & early("pos_a", "n_a", "pos_b", "n_b")
+    met = small.withColumnRenamed("token", "token_a").join(side("b"), (F.col("token_a") == F.col("token")) & meet)
+    return met.select(F.col("id_a").alias("other"), F.col("id_b").alias("hub")).distinct()
 
 
 def join_components(docs: DataFrame) -> DataFrame:
