@@ -26,7 +26,9 @@ def hash_bucket(h: Column) -> Column:
 
 
 def hash_slot(h: Column, n: int) -> Column:
-    """A slot in [0, n) from the leading hex digits, for n up to 4096."""
+    """A slot in [0, n): from the leading hex digits for n up to 4096, from 60 bits beyond."""
+    if n > 16**BUCKET_DIGITS:
+        return F.pmod(hash_long(h), F.lit(n)).cast("int")
     return F.pmod(F.conv(hash_bucket(h), 16, 10).cast("int"), F.lit(n))
 
 

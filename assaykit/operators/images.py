@@ -19,16 +19,19 @@ from assaykit.fixed_values import GRAY_LEVELS
 from assaykit.functions.vectors import l2_normalise
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All pixels of a batch, and the row each one belongs to."""
+def _flat(column: pa.Array) -> np.ndarray:
+    """All pixels of a batch; bytes stay bytes."""
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        parts = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in column]
-        lengths = np.array([len(v) for v in parts], dtype=np.int64)
-        pixels = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-    else:
-        lengths = np.diff(column.offsets.to_numpy())
-        pixels = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return pixels, np.repeat(np.arange(len(lengths)), lengths)
+        parts = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in column if v.is_valid]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _counted(values: np.ndarray, bins: int) -> np.ndarray:
+    """Counts by gray level; a level outside of [0, bins) is an error, not a loss."""
+    if len(values) and not 0 <= values.min() <= values.max() < bins:
+        raise ValueError(f"pixel values must lie in [0, {bins})")
+    return np.bincount(values, minlength=bins)
 
 
 def histograms(images: DataFrame, pixels: str = "pixels", out: str = "hist", bins: int = GRAY_LEVELS) -> DataFrame:
@@ -36,7 +39,7 @@ def histograms(images: DataFrame, pixels: str = "pixels", out: str = "hist", bin
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def count(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: np.bincount(_as_pixels(v), minlength=bins)[:bins])
+        return values.map(lambda v: _counted(_as_pixels(v), bins))
 
     return images.withColumn(out, count(F.col(pixels)))
 
@@ -63,8 +66,7 @@ def aggregate_histogram(images: DataFrame, pixels: str = "pixels", bins: int = G
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(bins, np.int64), 0
         for b in batches:
-            values, _ = _flat(b.column(0))
-            total += np.bincount(values, minlength=bins)[:bins]
+            total += _counted(_flat(b.column(0)), bins)
             n += b.num_rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(bins, dtype=np.int32)), pa.array(total), pa.array(np.full(bins, n))], schema=arrow
@@ -91,27 +93,24 @@ def reference_levels(reference: DataFrame, pixels: str = "pixels", bins: int = G
     return [totals.get(i, 0) for i in range(bins)]
 
 
-def lookup_table(hist: np.ndarray, reference_cdf: np.ndarray) -> np.ndarray:
+def lookup_table(hist: np.ndarray, reference: np.ndarray, occurring: bool = False) -> np.ndarray:
     """Gray level -> matched gray level: the image's cumulative share, read off the reference curve.
 
-    Between two reference levels the value is interpolated; on a plateau the last level counts.
+    The curve has a knot at every level, or with ``occurring`` only at levels that the reference holds:
+    the first suits an average over many images, the second matching to one image. Values between knots are
+    interpolated and cut to integers.
     """
-    cdf = np.cumsum(hist) / np.sum(hist)
-    last = len(reference_cdf) - 1
-    j = np.searchsorted(reference_cdf, cdf, side="right") - 1
-    inside = (j >= 0) & (j < last)
-    lo = np.clip(j, 0, last)
-    hi = np.minimum(lo + 1, last)
-    span = np.where(inside, reference_cdf[hi] - reference_cdf[lo], 1.0)
-    level = np.where(inside, (cdf - reference_cdf[lo]) / span + lo, np.where(j < 0, 0.0, float(last)))
-    return np.floor(np.clip(level, 0, last)).astype(np.int32)
-
-
-def match_histogram(images: DataFrame, levels: Sequence[int], pixels: str = "pixels", out: str = "matched") -> DataFrame:
+    levels = np.flatnonzero(reference) if occurring else np.arange(len(reference))
+    curve = np.cumsum(reference)[levels] / np.sum(reference)
+    return np.interp(np.cumsum(hist) / np.sum(hist), curve, levels).astype(np.int32)
+
+
+def match_histogram(
+    images: DataFrame, levels: Sequence[int], pixels: str = "pixels", out: str = "matched", occurring: bool = False
+) -> DataFrame:
     """Remap every image so that its histogram follows the reference levels."""
     bins = len(levels)
     counts = np.asarray(levels, dtype=np.int64)
-    curve = np.cumsum(counts) / counts.sum()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def remap(values: pd.Series) -> pd.Series:
@@ -119,7 +118,7 @@ def match_histogram(images: DataFrame, levels: Sequence[int], pixels: str = "pix
             p = _as_pixels(v)
             if len(p) == 0:
                 return p.astype(np.int32)
-            return lookup_table(np.bincount(p, minlength=bins)[:bins], curve)[p]
+            return lookup_table(_counted(p, bins), counts, occurring)[p]
 
         return values.map(one)
 
@@ -127,13 +126,15 @@ def match_histogram(images: DataFrame, levels: Sequence[int], pixels: str = "pix
 
 
 def harmonise(pool: DataFrame, reference: DataFrame, pixels: str = "pixels", out: str = "matched") -> DataFrame:
-    """Match a pool to the average histogram of the reference images.
-
-    With a reference of one image this is the single-reference variant.
-    """
+    """Match a pool to the average histogram of the reference images."""
     return match_histogram(pool, reference_levels(reference, pixels), pixels, out)
 
 
+def match_image(pool: DataFrame, reference: DataFrame, pixels: str = "pixels", out: str = "matched") -> DataFrame:
+    """Match a pool to one reference image: only gray levels that it holds are given out."""
+    return match_histogram(pool, reference_levels(reference, pixels), pixels, out, occurring=True)
+
+
 def embed(images: DataFrame, encoder: Column | Callable[[Column], Column], content: str = "pixels", out: str = "embedding") -> DataFrame:
     """Append a unit-length embedding from a user-supplied encoder.
 

@@ -28,6 +28,9 @@ def unique_by(df: DataFrame, keys: str | Sequence[str], how: str = "error", orde
         if order is None:
             raise ValueError("how='last' needs an order column")
         row = F.struct(*[c for c in df.columns if c not in keys])
-        folded = df.groupBy(*keys).agg(F.max_by(row, order if isinstance(order, Column) else F.col(order)).alias("__row"))
+        by = order if isinstance(order, Column) else F.col(order)
+        # a null has no place in an order: it would lose its row without a sign
+        by = F.coalesce(by, F.raise_error(F.lit(f"null order value for keys {keys}")).cast(df.select(by).schema[0].dataType))
+        folded = df.groupBy(*keys).agg(F.max_by(row, by).alias("__row"))
         return folded.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
     raise ValueError(f"unknown duplicate policy: {how!r}")

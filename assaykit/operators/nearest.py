@@ -41,6 +41,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(flat) != len(column) * dim:
         raise ValueError(f"vectors must all have {dim} elements")
+    if not np.isfinite(flat).all():
+        raise ValueError("vectors must be finite")
     return flat.reshape(len(column), dim).astype(np.float64)
 
 

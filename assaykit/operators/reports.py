@@ -98,13 +98,18 @@ def expected_items(valid: DataFrame, defensive: Mapping[str, DataFrame], key: st
 
 
 def refusal_records(items: DataFrame, answers: DataFrame, key: str = "image_file", text: str = "raw_text") -> DataFrame:
-    """Expected against observed: label, got, ok per item."""
-    label = response_class(F.col(text))
+    """Expected against observed: label, got, ok per item.
+
+    An item without an answer stays, with label and got null and ``ok`` false.
+    """
+    known = answers.select(key, text).withColumn("__answered", F.lit(True))
+    label = F.when(F.col("__answered"), response_class(F.col(text)))
     return (
-        items.join(answers.select(key, text), key)
+        items.join(known, key, "left")
         .withColumn("label", label)
-        .withColumn("got", F.when(F.col("label") == "answered", F.lit("answered")).otherwise(F.lit("refused")))
-        .withColumn("ok", F.col("got") == F.col("expect"))
+        .withColumn("got", F.when(F.col("label") == "answered", F.lit("answered")).when(F.col("label").isNotNull(), F.lit("refused")))
+        .withColumn("ok", F.coalesce(F.col("got") == F.col("expect"), F.lit(False)))
+        .drop("__answered")
         .withColumn("text_preview", F.substring(text, 1, 300))
         .drop(text)
     )
@@ -149,11 +154,13 @@ def throughput(
     runs: DataFrame, by: Sequence[str], seconds: str = "generation_seconds", tokens: str = "new_tokens",
     status: str = "status", memory: str = "peak_vram_reserved_gb", limit: float = V.MEMORY_LIMIT_GB,
 ) -> DataFrame:
-    """Tokens per second, median seconds, ok share and memory fit per group."""
+    """Tokens per second, median seconds (of the answered), ok share and memory fit per group."""
     ok = F.col(status) == "ok"
     return runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(ok).alias("n_ok"),
+        (F.count_if(ok) / F.count(F.lit(1))).alias("ok_share"),
+        F.percentile(F.when(ok, F.col(seconds)), 0.5).alias("median_seconds"),
         F.sum(F.when(ok, F.col(tokens))).alias("tokens"),
         F.sum(F.when(ok, F.col(seconds))).alias("seconds"),
         F.try_divide(F.sum(F.when(ok, F.col(tokens))), F.sum(F.when(ok, F.col(seconds)))).alias("tokens_per_second"),

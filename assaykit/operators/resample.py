@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.operators.keys import unique_by
+from assaykit.sources.results import INGEST, last_per_key
 from assaykit import fixed_values as V
 from assaykit.functions.keyed import hash_long, key_hash
 from assaykit.functions.labels import outcome
@@ -155,12 +157,18 @@ def paired_bootstrap(cells: DataFrame, by: Sequence[str], n_boot: int = V.N_BOOT
 
 def significance_report(
     manifest: DataFrame, results_a: DataFrame, results_b: DataFrame, gt: str = V.ANY, pred: str = "pred_any_hem",
-    key: str = "image_file", policy: str = "negative", n_boot: int = V.N_BOOT, seed: int = 42,
+    key: str = "image_file", policy: str = "negative", n_boot: int = V.N_BOOT, seed: int = 42, label_a: str = "a", label_b: str = "b",
 ) -> DataFrame:
-    """Score two runs on the keys they share with the manifest, as one row."""
-    pairs = three_way(manifest, results_a, results_b, gt, pred, key)
+    """Score two runs on the keys they share with the manifest, as one row with what was compared.
+
+    Of records repeated with a key the last one counts, as in ``last_per_key``; without any order they raise.
+    """
+    one = lambda df: last_per_key(df, (key,)) if {"seq", INGEST} & set(df.columns) else unique_by(df, key)
+    pairs = three_way(unique_by(manifest, key), one(results_a), one(results_b), gt, pred, key)
     cells = paired_cells(pairs.withColumn("__pair", F.lit("a|b")), gt, "pred_a", "pred_b", ["__pair"], policy)
-    return paired_bootstrap(cells, ["__pair"], n_boot, seed).drop("__pair")
+    row = paired_bootstrap(cells, ["__pair"], n_boot, seed).drop("__pair")
+    named = {"label_a": label_a, "label_b": label_b, "uncertain_policy": policy}
+    return row.select(*[F.lit(v).alias(k) for k, v in named.items()], "*")
 
 
 def three_way(

@@ -21,16 +21,19 @@ def builder(app: str = "assaykit", master: str | None = None) -> SparkSession.Bu
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as named by ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors see.
 
-    Only a session without that setting (a local test) gets a fresh folder.
+    ``spark.checkpoint.dir`` names it; where that is unset, the folder that the context was given. Without either
+    only a local session gets a fresh folder: on a cluster a folder of the driver's disk would be no use, so that raises.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="assaykit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 

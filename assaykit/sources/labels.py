@@ -15,19 +15,28 @@ from assaykit.operators.keys import unique_by
 
 
 def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV columns by header name, whatever their order; a column the file lacks is null.
+    """CSV columns by header name, whatever their order; a column a file lacks is null.
 
-    A schema handed to the reader would be applied by position. Only the header line is
-    read ahead; nothing is inferred.
+    Files are read in groups of equal headers, so files of one folder may order their columns
+    differently. Only the header lines are read ahead; nothing is inferred. The driver holds the names of the files.
     """
-    raw = spark.read.csv(path, header=True)
-    names = {c.removeprefix("\ufeff"): c for c in raw.columns}
-    return raw.select(
-        *[
-            (F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema
-        ]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
     )
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    parts = [spark.read.csv(g.files, header=True) for g in groups] or [spark.createDataFrame([], schema)]
+    out = None
+    for raw in parts:
+        names = {c.removeprefix("\ufeff"): c for c in raw.columns}
+        part = raw.select(
+            *[
+                (F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in schema
+            ]
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def wide_labels(raw: DataFrame, columns: Mapping[str, str] = WIDE_COLUMNS) -> DataFrame:

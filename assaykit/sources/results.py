@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,14 +12,33 @@ from assaykit import schemas
 from assaykit.operators.keys import unique_by
 
 
+INGEST = "ingest"
+
+
+def ingest_place() -> list[Column]:
+    """Where a record was read: file time, file, place of the split. Later files come after earlier ones."""
+    names = {"time": "file_modification_time", "file": "file_path", "block": "file_block_start"}
+    return [F.col(f"_metadata.{v}").alias(k) for k, v in names.items()]
+
+
+def ingest_order() -> Column:
+    """The place, and the line within the split: what "last" means for a log without a sequence number of its own."""
+    return F.struct(*ingest_place(), F.monotonically_increasing_id().alias("line"))
+
+
 def read_results(spark: SparkSession, path: str, schema: T.StructType = schemas.RESULTS) -> DataFrame:
-    """Result records from JSON lines; blank lines give no row, broken lines raise."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Result records from JSON lines with their ``ingest`` order; blank lines give no row, broken lines raise."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn(INGEST, ingest_order())
 
 
-def last_per_key(results: DataFrame, keys: Sequence[str] = ("image_file",), order: str = "seq") -> DataFrame:
-    """The latest record per key; ``order`` is written at ingest since file order is not a column."""
-    return unique_by(results, list(keys), "last", order)
+def last_per_key(results: DataFrame, keys: Sequence[str] = ("image_file",), order: str | Column | None = None) -> DataFrame:
+    """The latest record per key: by ``order``, else by the log's ``seq`` where it has one and then by ingest order."""
+    if order is None:
+        named = [c for c in ("seq", INGEST) if c in results.columns]
+        if not named:
+            raise ValueError("the records carry no order; name one")
+        order = F.struct(*named) if INGEST in named else F.col("seq")
+    return unique_by(results, list(keys), "last", order).drop(INGEST)
 
 
 def done_keys(spark: SparkSession, path: str, key: str = "image_file") -> DataFrame:
@@ -40,9 +59,16 @@ def write_results(records: DataFrame, path: str, mode: str = "append") -> None:
     records.write.mode(mode).partitionBy("run").parquet(path)
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A run-partitioned table whose ``run`` is text: names such as 007 are not read as numbers."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "run" else f for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def read_run_table(spark: SparkSession, path: str, runs: DataFrame, key: str = "run") -> DataFrame:
     """Left join of the run registry with a run-partitioned table; ``found`` tells missing runs."""
-    stored = spark.read.parquet(path).withColumn("found", F.lit(True))
+    stored = read_runs(spark, path).withColumn("found", F.lit(True))
     return runs.join(stored, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -5,39 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from assaykit import schemas
 from assaykit.functions.answers import parse
 from assaykit.fixed_values import SUBTYPES
 from assaykit.operators.keys import unique_by
-
-_MAX_RUNS = 1000
+from assaykit.sources.results import INGEST, ingest_place, read_runs
 
 
 def answer_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schemas.ANSWERS).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """Answers as they arrive, each with the place it was read from."""
+    stream = spark.readStream.schema(schemas.ANSWERS).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return stream.withColumn(INGEST, F.struct(*ingest_place()))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
 def _stored_keys(spark: SparkSession, sink: str, batch: DataFrame) -> DataFrame | None:
-    """Keys in the sink for the batch's runs; other runs' partitions are not listed."""
-    try:
-        stored = spark.read.parquet(sink)
-    except AnalysisException:
-        return None  # first batch: nothing written yet
-    runs = [r["run"] for r in batch.select("run").distinct().limit(_MAX_RUNS + 1).collect()]
-    if len(runs) <= _MAX_RUNS:
-        stored = stored.filter(F.col("run").isin(runs))
-    return stored.select(F.col("run").cast("string").alias("run"), "image_file")
+    """Keys in the sink for the batch's runs; None before anything is written."""
+    if not _exists(spark, sink):
+        return None
+    runs = batch.select("run").distinct()
+    return read_runs(spark, sink).select("run", "image_file").join(runs, "run", "left_semi")
 
 
 def append_new(spark: SparkSession, batch: DataFrame, sink: str) -> None:
     """Parse and append the records whose (run, image_file) the sink does not hold.
 
-    Running a batch again adds nothing, so a retry after a lost driver is safe.
+    Inside a batch the last answer by ingest order counts; a key that the sink holds is settled, so running a
+    batch again adds nothing and a retry after a lost driver is safe. Any error but a missing sink rises.
     """
     keys = ["run", "image_file"]
-    fresh = unique_by(batch.filter(F.col("image_file").isNotNull()), keys, "last", F.col("raw_text"))
+    place = [F.col(INGEST)] if INGEST in batch.columns else []
+    known = batch.filter(F.col("image_file").isNotNull()).withColumn("__order", F.struct(*place, F.monotonically_increasing_id().alias("line")))
+    fresh = unique_by(known, keys, "last", "__order").drop("__order", INGEST)
     stored = _stored_keys(spark, sink, batch)
     if stored is not None:
         fresh = fresh.join(stored, keys, "left_anti")

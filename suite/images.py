@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.pixels import window_level
 from assaykit.operators import images as I
+from assaykit.sources.images import read_images
 from suite import register
 from suite.derived import table
+from suite.sources import fresh
 
 PIXELS = "transform(embedding, x -> cast(floor(least(greatest((cast(x AS double) + 0.5D) * 255D, 0D), 255D)) AS int))"
 _PIXELS_SQL = "list_transform(embedding, lambda x: floor(least(greatest((x::DOUBLE + 0.5::DOUBLE) * 255::DOUBLE, 0::DOUBLE), 255::DOUBLE))::INT)"
@@ -58,18 +60,23 @@ def aggregate_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return I.aggregate_histogram(images(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
-def _match_sql(reference: str) -> str:
-    """Cumulative share of each image read off the reference curve by interpolation."""
+def _match_sql(reference: str, occurring: bool = False) -> str:
+    """Cumulative share of each image read off the reference curve by interpolation.
+
+    With ``occurring`` the curve has knots only at levels that the reference holds.
+    """
+    knots = "WHERE total > 0" if occurring else ""
     return f"""WITH img AS ({IMAGES_SQL}),
     refpx AS (SELECT unnest(pixels) AS bin FROM img WHERE {reference}),
     tot AS (SELECT b.b AS bin, coalesce(n, 0) AS total FROM range(256) b(b) LEFT JOIN (SELECT bin, count(*) AS n FROM refpx GROUP BY bin) c ON b.b = c.bin),
-    curve AS (SELECT bin, sum(total) OVER (ORDER BY bin)::DOUBLE / (SELECT sum(total) FROM tot)::DOUBLE AS y FROM tot),
+    summed AS (SELECT bin, total, sum(total) OVER (ORDER BY bin)::DOUBLE / (SELECT sum(total) FROM tot)::DOUBLE AS y FROM tot),
+    curve AS (SELECT bin, y, lead(bin) OVER (ORDER BY bin) AS nb, lead(y) OVER (ORDER BY bin) AS ny FROM summed {knots}),
     px AS (SELECT vec_id, unnest(pixels) AS v, generate_subscripts(pixels, 1) AS at FROM img),
     h AS (SELECT vec_id, v, count(*) AS n FROM px GROUP BY vec_id, v),
     cdf AS (SELECT vec_id, v, sum(n) OVER (PARTITION BY vec_id ORDER BY v)::DOUBLE / (sum(n) OVER (PARTITION BY vec_id))::DOUBLE AS x FROM h),
     knot AS (SELECT c.vec_id, c.v, c.x, max(r.bin) AS j FROM cdf c LEFT JOIN curve r ON r.y <= c.x GROUP BY c.vec_id, c.v, c.x),
-    lut AS (SELECT k.vec_id, k.v, floor(CASE WHEN k.j IS NULL THEN 0 WHEN k.j = 255 THEN 255 ELSE (k.x - a.y) / (b.y - a.y) + k.j END)::INT AS m
-            FROM knot k LEFT JOIN curve a ON a.bin = k.j LEFT JOIN curve b ON b.bin = k.j + 1)
+    lut AS (SELECT k.vec_id, k.v, trunc(CASE WHEN k.j IS NULL THEN (SELECT min(bin) FROM curve) WHEN a.nb IS NULL THEN k.j
+              ELSE ((a.nb - k.j)::DOUBLE / (a.ny - a.y)) * (k.x - a.y) + k.j END)::INT AS m FROM knot k LEFT JOIN curve a ON a.bin = k.j)
     SELECT p.vec_id, md5(string_agg(l.m::VARCHAR, ',' ORDER BY p.at)) AS pixels_md5 FROM px p JOIN lut l ON l.vec_id = p.vec_id AND l.v = p.v GROUP BY p.vec_id"""
 
 
@@ -81,9 +88,56 @@ def harmonise_pool(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", _text("matched").alias("pixels_md5"))
 
 
-@register("harmonise_single_reference", _match_sql("vec_id = (SELECT min(vec_id) FROM embeddings)"))
+@register("harmonise_single_reference", _match_sql("vec_id = (SELECT min(vec_id) FROM embeddings)", occurring=True))
 def harmonise_single_reference(spark: SparkSession, sf: str) -> DataFrame:
     img = images(spark, sf)
     first = img.agg(F.min("vec_id")).scalar()
-    out = I.harmonise(img, img.filter(F.col("vec_id") == first))
+    out = I.match_image(img, img.filter(F.col("vec_id") == first))
     return out.select("vec_id", _text("matched").alias("pixels_md5"))
+
+
+def _png(pixels: bytes, side: int, colour: bool) -> bytes:
+    """A PNG of side x side pixels: gray bytes or RGB triples."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    width = side * (3 if colour else 1)
+    raw = b"".join(b"\0" + pixels[i : i + width] for i in range(0, len(pixels), width))
+    head = struct.pack(">IIBBBBB", side, side, 8, 2 if colour else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+# One image per label: the largest value of its vectors at each place; odd labels in colour, every tenth broken.
+_BY_LABEL = f"SELECT label, pl, max(v) AS v FROM (SELECT label, unnest(pixels) AS v, generate_subscripts(pixels, 1) AS pl FROM ({IMAGES_SQL})) WHERE pl <= 64 GROUP BY label, pl"
+_GRAY = "CASE WHEN label % 2 = 1 THEN floor(((255 - v) * 19595 + v * 38470 + floor(v / 2) * 7471 + 32768) / 65536) ELSE v END"
+
+
+@register(
+    "image_files",
+    f"SELECT (label % 10 <> 9) AS valid, CASE WHEN label % 10 <> 9 THEN md5(string_agg(({_GRAY})::INT::VARCHAR, ',' ORDER BY pl)) END AS pixels_md5, CASE WHEN label % 10 <> 9 THEN 8 END AS h FROM ({_BY_LABEL}) GROUP BY label",
+)
+def image_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Gray, colour and broken image files written by Spark; all of them come back."""
+    flat = images(spark, sf).select("label", F.posexplode("pixels").alias("at", "v")).filter("at < 64").groupBy("label", "at").agg(F.max("v").alias("v"))
+    one = flat.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("px"))
+
+    @F.pandas_udf("binary")
+    def encoded(label, px):
+        def file(n, p):
+            if n % 10 == 9:
+                return b"no image"
+            if n % 2 == 0:
+                return _png(bytes(int(v) for v in p), 8, False)
+            return _png(b"".join(bytes((255 - int(v), int(v), int(v) // 2)) for v in p), 8, True)
+
+        return type(label)([file(n, p) for n, p in zip(label, px)], dtype=object)
+
+    path = fresh(spark, "pngs")
+    files = one.select(encoded("label", "px").cast("string").alias("value"))
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    back = read_images(spark, path, "part-*")
+    values = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10))
+    return back.select("valid", F.when(F.col("valid"), F.md5(F.array_join(values, ","))).alias("pixels_md5"), "h")

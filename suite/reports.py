@@ -161,7 +161,7 @@ def gate_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "throughput",
-    oracle("SELECT event_type, count(*) AS n, count(*) FILTER (value < 300) AS n_ok, sum(tok) FILTER (value < 300) AS tokens, "
+    oracle("SELECT event_type, count(*) AS n, count(*) FILTER (value < 300) AS n_ok, round(count(*) FILTER (value < 300) / count(*), 6) AS ok_share, round(median(value) FILTER (value < 300), 6) AS median_seconds, sum(tok) FILTER (value < 300) AS tokens, "
            "round(sum(value) FILTER (value < 300), 4) AS seconds, round(sum(tok) FILTER (value < 300) / sum(value) FILTER (value < 300), 6) AS tokens_per_second, "
            "round(max(value / 20), 6) AS peak_memory_gb, max(value / 20) < 15 AS fits FROM (SELECT *, json_extract(props, '$.k')::bigint AS tok FROM {events}) GROUP BY event_type"),
 )
@@ -172,7 +172,7 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("value") < 300, F.lit("ok")).otherwise(F.lit("error")).alias("status"), (F.col("value") / 20).alias("peak_vram_reserved_gb"),
     )
     out = P.throughput(runs, ["event_type"])
-    return rounded(out.withColumn("seconds", F.round("seconds", 4)), "tokens_per_second", "peak_memory_gb")
+    return rounded(out.withColumn("seconds", F.round("seconds", 4)), "tokens_per_second", "peak_memory_gb", "ok_share", "median_seconds")
 
 
 # -- agreement ----------------------------------------------------------------

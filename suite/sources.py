@@ -40,7 +40,9 @@ def wide_label_scan(spark: SparkSession, sf: str) -> DataFrame:
     }
     order = ["patient", "slice", *L.WIDE_COLUMNS.values(), "No_Hemorrhage", "Fracture"]
     cells = table(spark, sf, "manifest").select(*[F.col(c).cast("double").alias(names[c]) for c in order])
-    cells.write.option("header", True).csv(path)
+    cells.filter("PatientNumber % 2 = 0").write.option("header", True).csv(path)
+    # files of one folder may order their columns differently
+    cells.filter("PatientNumber % 2 = 1").select(*reversed(cells.columns)).write.mode("append").option("header", True).csv(path)
     return L.read_wide_labels(spark, path)
 
 
@@ -108,10 +110,11 @@ def image_stems(spark: SparkSession, sf: str) -> DataFrame:
     oracle("SELECT image_file, run, pred_any_hem FROM {results} QUALIFY row_number() OVER (PARTITION BY image_file ORDER BY CASE run WHEN 'base' THEN 1 WHEN 'text' THEN 2 ELSE 3 END DESC) = 1"),
 )
 def results_last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON lines with several records per key; the one written last counts."""
+    """JSON lines with several records per key and no order of their own; the one written last counts."""
     path = fresh(spark, "results")
-    seq = F.when(F.col("run") == "base", 1).when(F.col("run") == "text", 2).otherwise(3).cast("long")
-    table(spark, sf, "results").withColumn("seq", seq).write.json(path)
+    results = table(spark, sf, "results")
+    for runs in ("run = 'base'", "run = 'text'", "run not in ('base', 'text')"):
+        results.filter(runs).write.mode("append").json(path)
     return R.last_per_key(R.read_results(spark, path)).select("image_file", "run", "pred_any_hem")
 
 
@@ -170,17 +173,21 @@ def resumable_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "incremental_scoring",
-    oracle(f"WITH {PARSED} SELECT run, image_file, any_hem AS pred_any_hem, {', '.join(f'{k} AS pred_{k}' for k in LABELS)}, method FROM parsed"),
+    oracle(f"WITH {PARSED} SELECT CASE run WHEN 'base' THEN '007' WHEN 'image' THEN '010' ELSE run END AS run, image_file, any_hem AS pred_any_hem, {', '.join(f'{k} AS pred_{k}' for k in LABELS)}, method FROM parsed"),
 )
 def incremental_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Answer files through the streaming job twice, the second time with old files repeated."""
+    """Answer files through the streaming job twice, the second time with old files repeated.
+
+    Two of the runs are named like numbers; such names stay text.
+    """
     source, sink, state = (fresh(spark, n) for n in ("answers", "scored", "state"))
-    answers = table(spark, sf, "answers").select("run", "image_file", "raw_text", F.col("gen_seconds").cast("double"), "n_tokens")
-    answers.filter(F.col("run") != "image").write.json(source)
+    number = F.when(F.col("run") == "base", "007").when(F.col("run") == "image", "010").otherwise(F.col("run")).alias("run")
+    answers = table(spark, sf, "answers").select(number, "image_file", "raw_text", F.col("gen_seconds").cast("double"), "n_tokens")
+    answers.filter(F.col("run") != "010").write.json(source)
     score_incrementally(spark, source, sink, state).awaitTermination()
-    answers.filter(F.col("run") != "base").write.mode("append").json(source)
+    answers.filter(F.col("run") != "007").write.mode("append").json(source)
     score_incrementally(spark, source, sink, state).awaitTermination()
-    return spark.read.parquet(sink).select("run", "image_file", "pred_any_hem", *[f"pred_{k}" for k in LABELS], "method")
+    return R.read_runs(spark, sink).select("run", "image_file", "pred_any_hem", *[f"pred_{k}" for k in LABELS], "method")
 
 
 _FINDINGS = "SELECT image_file, m.doc_id, d.text AS stored FROM {manifest} m JOIN {documents} d ON m.doc_id = d.doc_id"

@@ -30,13 +30,6 @@ def frame(spark, arrays):
     return spark.createDataFrame([(str(i), [int(x) for x in a.ravel()]) for i, a in enumerate(arrays)], "image_file string, pixels array<int>")
 
 
-def expected_match(image, ref_hist):
-    src = np.cumsum(np.histogram(image.ravel(), 256, (0, 256))[0]).astype(float)
-    ref = np.cumsum(ref_hist).astype(float)
-    mapping = np.interp(src / src[-1], ref / ref[-1], np.arange(256))
-    return np.clip(mapping[image.ravel()], 0, 255).astype(np.uint8)
-
-
 def test_window(spark):
     hu = [-1000.0, -20.0, 39.9, 40.0, 99.99, 100.0, 2000.0]
     got = spark.createDataFrame([(hu,)], "p array<double>").select(window_level(F.col("p")).alias("x")).first().x
@@ -55,12 +48,31 @@ def test_histograms_and_matching(spark):
     agg = {r.bin: r["mean"] for r in I.aggregate_histogram(ref.repartition(3)).collect()}
     assert np.allclose([agg[b] for b in range(256)], mean)
     for r in I.harmonise(df, ref).collect():
-        want = expected_match(pool[int(r.image_file)], mean)
-        # the two differ in rounding before truncation at most
-        assert np.abs(np.array(r.matched) - want).max() <= 1 and np.mean(np.array(r.matched) != want) < 0.02
-    # one reference image; its empty levels make plateaus, where the last level counts
-    alone = I.harmonise(df.filter("image_file = '0'"), df.filter("image_file = '0'")).first()
-    assert alone.matched == expected_match(pool[0], np.bincount(pool[0].ravel(), minlength=256)).tolist()
+        before, after = pool[int(r.image_file)].ravel(), np.array(r.matched)
+        # one value for each gray level, and in the same order
+        order = np.argsort(before, kind="stable")
+        assert (np.diff(after[order]) >= 0).all() and len(set(zip(before.tolist(), after.tolist()))) == len(set(before.tolist()))
+
+
+def matched(spark, reference, image, how):
+    return how(frame(spark, [np.array(image)]), frame(spark, [np.array(reference)])).first().matched
+
+
+def test_matching_by_hand(spark):
+    # half the reference is 0, half 200: matched to one image, only these two levels come out
+    assert matched(spark, [0, 200], [10, 20], I.match_image) == [0, 200]
+    assert matched(spark, [0, 200], [10, 10, 10, 20], I.match_image) == [100, 100, 100, 200]
+    # the average curve has a knot at every level: the plateau from 0 to 199 ends at 199, the one from 200 at 255
+    assert matched(spark, [0, 200], [10, 20], I.harmonise) == [199, 255]
+    same = [3, 7, 7, 250]
+    assert matched(spark, same, same, I.match_image) == same
+
+
+def test_levels_out_of_range_are_errors(spark):
+    for bad in ([256], [-1]):
+        for job in (I.histograms, I.aggregate_histogram, lambda x: I.match_histogram(x, [1] * 256)):
+            with pytest.raises(Exception, match="pixel values"):
+                job(frame(spark, [np.array(bad)])).collect()
 
 
 def test_lookup_is_applied_per_pixel(spark):

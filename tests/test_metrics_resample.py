@@ -138,22 +138,27 @@ def test_match_counts(spark):
     assert {(r.m, r.n_query) for r in R.match_counts(q, p).collect()} == {(2, 1), (3, 1), (0, 2)}
 
 
-def cluster_data(spark, signal, seed):
-    rng = np.random.default_rng(seed)
-    q, p = [], []
-    for lab in ("IPH", "IVH", "SAH", "EDH", "SDH"):
-        center = rng.normal(size=16) * signal
-        for side in (q, p):
-            for _ in range(20):
-                v = center + rng.normal(scale=0.3, size=16)
-                side.append((len(side), [float(x) for x in v / np.linalg.norm(v)], [lab]))
-    schema = "{} long, embedding array<float>, labels array<string>"
-    return spark.createDataFrame(q, schema.format("query_id")), spark.createDataFrame(p, schema.format("pool_id"))
+def labelled_axes(spark, signal, seed):
+    """Fixed orthogonal directions, one per label, or labels dealt to these directions at random."""
+    keys = ["IPH", "IVH", "SAH", "EDH", "SDH"]
+    deal = np.random.default_rng(seed)
+
+    def side(name, count):
+        rows = []
+        for i in range(count):
+            axis = i % len(keys)
+            vector = [0.02 * ((i * 7 + j * 3) % 5) for j in range(16)]
+            vector[3 * axis] = 1.0
+            size = float(np.linalg.norm(vector))
+            rows.append((i, [x / size for x in vector], [keys[axis if signal else int(deal.integers(len(keys)))]]))
+        return spark.createDataFrame(rows, f"{name} long, embedding array<float>, labels array<string>")
+
+    return side("query_id", 100), side("pool_id", 100)
 
 
 @pytest.mark.parametrize("signal, passed", [(1, True), (0, False)])
 def test_verdict_on_clustered_and_noise_vectors(spark, signal, passed):
-    q, p = cluster_data(spark, signal, 1 if signal else 2)
+    q, p = labelled_axes(spark, signal, 4)
     r = retrieval_verdict(q, p, n_trials=300).first()
     assert r.passed is passed
     assert not passed or r.real_hit_rate > r.null_mean
