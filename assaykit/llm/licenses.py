@@ -3,7 +3,8 @@
 Texts are normalised (A-Z lower-cased, everything but a-z and 0-9 a separator) and turned into sets of
 word bigrams. With a set of m bigrams and a template of n, Dice 2c/(m+n) can reach the threshold only if
 m lies in [t/(2-t) n, (2-t)/t n]; templates are joined by that size range, so a text meets only
-templates it could match. Built-in functions only.
+templates it could match. A match holds most bigrams of its template, so texts and stretches without any of a
+few of them are left alone before their bigrams are made. Built-in functions only.
 
 Defined cases: a null text is empty and matches nothing, nor does a text of fewer than two words;
 repeated rows give their rows again; of several matching stretches the best counts; templates equal in
@@ -12,6 +13,10 @@ Dice all appear; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +71,37 @@ def template_sizes(spark, templates: dict[str, str], threshold: float) -> DataFr
     return known.where("__n > 0").select("license", "__b", "__n", F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("__m"))
 
 
+def telling_pairs(templates: dict[str, str], threshold: float) -> list[tuple[str, str]]:
+    """Bigrams of which any match holds one at least.
+
+    Dice c over m + n reaches the threshold t only with c >= t / (2 - t) n, as m >= c: a match lacks fewer than
+    n - c + 1 of a template's n bigrams. Those with the longest words are taken, as they are the rarest.
+    """
+    out = set()
+    for template in templates.values():
+        tokens = re.sub("[^A-Za-z0-9]+", " ", template).lower().split()
+        pairs = sorted(set(zip(tokens, tokens[1:])), key=lambda p: (-max(map(len, p)), -len(p[0] + p[1]), p))
+        out.update(pairs[: len(pairs) - math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9) + 1])
+    return sorted(out)
+
+
+def may_match(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Whether a lower-cased text has both words of a pair, wherever they stand: never false for a match."""
+    by_word: dict[str, list[str]] = {}
+    for a, b in pairs:
+        by_word.setdefault(max(a, b, key=len), []).append(min(a, b, key=len))
+    either = lambda parts: reduce(lambda x, y: x | y, parts, F.lit(False))
+    return either(text.contains(w) & either(text.contains(v) for v in others) for w, others in by_word.items())
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice): the best Dice of each row with each licence that reaches the threshold."""
     known = template_sizes(docs.sparkSession, templates or TEMPLATES, threshold)
-    text = whole()
+    pairs = telling_pairs(templates or TEMPLATES, threshold)
+    text = F.col("__l")
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
-    rows = numbered.select("doc_id", "__row", F.explode(units).alias("__u"))
+    numbered = docs.select("doc_id", ascii_lower(whole()).alias("__l"), F.monotonically_increasing_id().alias("__row")).where(may_match(text, pairs))
+    rows = numbered.select("doc_id", "__row", F.explode(units).alias("__u")).where(may_match(F.col("__u"), pairs))
     sets = rows.select("doc_id", "__row", bigrams(words(F.col("__u"))).alias("__a")).withColumn("__m", F.size("__a"))
     met = sets.join(F.broadcast(known), "__m")
     dice = 2.0 * F.size(F.array_intersect("__a", "__b")) / (F.col("__m") + F.col("__n"))
