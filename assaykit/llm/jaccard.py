@@ -36,11 +36,27 @@ WORDS, NUM, DEN = 5, 3, 4  # shingle length; linked when the Jaccard index is at
 SLOTS, PART = 1 << 20, 1 << 12  # counters of the frequency table, and how many travel in a row
 HOT = 50_000  # classes of a frequent shingle that one task takes
 REMEMBER = 1 << 20  # classes a task remembers as handed on already
+REMEMBER_WORDS = 1 << 18  # words whose hashes a worker remembers
 NOBODY = (1 << 63) - 1  # stands for a null doc_id
 
 _M = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words; a worker remembers those of short words and forgets all when it has too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= REMEMBER_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_HASHES = _WordHashes()
+
+
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a text, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
@@ -48,10 +64,7 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < n:
         return np.frombuffer(hashlib.blake2b(b"\x00".join(words), digest_size=8, person=b"short").digest(), "<u8").copy()
-    ids: dict[bytes, int] = {}
-    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    known = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in ids]), "<u8")
-    h = known[at]
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         part = h[i : len(h) - n + 1 + i] * np.uint64(_M[i % 5] + 2 * (i // 5))
@@ -65,6 +78,11 @@ def class_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def short_key(cls: bytes) -> int:
+    """What stands for a class in shuffles; classes that share one are told apart when texts are verified."""
+    return int.from_bytes(cls[:8], "big", signed=True)
+
+
 def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
@@ -78,7 +96,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per document, then this task's share of the frequency table."""
     counts = np.zeros(SLOTS, np.int32)
     for pdf in batches:
-        sizes, classes = [], []
+        sizes, classes, keys = [], [], []
         for text in pdf["text"]:
             s = shingle_set(text)
             counts += 0 if len(s) == 0 else np.bincount(_slot(s), minlength=SLOTS).astype(np.int32) if len(s) > SLOTS // 8 else 0
@@ -86,12 +104,21 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 np.add.at(counts, _slot(s), 1)
             sizes.append(len(s))
             classes.append(class_of(s) if len(s) else None)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": sizes, "cls": classes, "part": pd.array([None] * len(pdf), "Int32"), "counts": None})
-    if counts.any():
-        parts = [counts[i : i + PART].tobytes() for i in range(0, SLOTS, PART)]
+            keys.append(short_key(classes[-1]) if len(s) else None)
         yield pd.DataFrame(
-            {"doc_id": pd.array([None] * len(parts), "Int64"), "n": 0, "cls": None, "part": pd.array(range(len(parts)), "Int32"), "counts": parts}
+            {
+                "doc_id": pdf["doc_id"].astype("Int64"),
+                "n": sizes,
+                "cls": classes,
+                "key": pd.array(keys, "Int64"),
+                "part": pd.array([None] * len(pdf), "Int32"),
+                "counts": None,
+            }
         )
+    if counts.any():
+        parts = [counts[i : i + PART].tobytes() for i in range(0, SLOTS, PART)]
+        none = pd.array([None] * len(parts), "Int64")
+        yield pd.DataFrame({"doc_id": none, "n": 0, "cls": None, "key": none, "part": pd.array(range(len(parts)), "Int32"), "counts": parts})
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,13 +129,13 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def digests(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, cls) of every row, and the frequency table: SLOTS 4-byte counters whatever the corpus."""
-    both = stored(docs.select("doc_id", "text").mapInPandas(_digest, "doc_id long, n int, cls binary, part int, counts binary"), "digests")
+    """(doc_id, n, cls, key) of every row, and the frequency table: SLOTS 4-byte counters whatever the corpus."""
+    both = stored(docs.select("doc_id", "text").mapInPandas(_digest, "doc_id long, n int, cls binary, key long, part int, counts binary"), "digests")
     table_rows = both.where("part is not null").groupBy("part").applyInPandas(_add, "part int, counts binary").collect()
     counts = np.zeros(SLOTS, np.int32)
     for r in table_rows:
         counts[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.int32)
-    return both.where("part is null").select("doc_id", "n", "cls"), counts
+    return both.where("part is null").select("doc_id", "n", "cls", "key"), counts
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,33 +161,51 @@ def _prefixes(shared_counts):
                 p, f = prefix(s, counts)
                 central = int(1000 * np.log1p(counts[_slot(s)]).mean())
                 salts = np.where(f > HOT, int.from_bytes(c[:4]) % (f.astype(np.int64) // HOT + 1), 0)
-                out.append((c, len(s), central, p.view(np.int64), salts.astype(np.int32)))
+                out.append((short_key(c), len(s), central, p.view(np.int64), salts.astype(np.int32)))
             if out:
-                yield pd.DataFrame(out, columns=["cls", "n", "central", "tokens", "salts"])
+                yield pd.DataFrame(out, columns=["key", "n", "central", "tokens", "salts"])
 
     return rows
 
 
 def shared_prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, pos, cls, n, pivot, pivot_n): prefix shingles that stand in two classes or more."""
+    """(token, pos, key, n, pivot, pivot_n): prefix shingles that stand in two classes or more.
+
+    Four numbers travel for each prefix shingle: itself with its salt mixed in, the class, two packed pairs.
+    """
     spark = docs.sparkSession
     each = docs.select("text").mapInPandas(
-        _prefixes(spark.sparkContext.broadcast(counts)), "cls binary, n int, central int, tokens array<long>, salts array<int>"
+        _prefixes(spark.sparkContext.broadcast(counts)), "key long, n int, central int, tokens array<long>, salts array<int>"
     )
-    flat = each.select("cls", "n", "central", F.posexplode("tokens").alias("pos", "token"), "salts").select(
-        "token", F.get("salts", "pos").alias("salt"), "pos", "cls", "n", "central"
+    salt = F.get("salts", "pos").cast("long")
+    low = F.lit((1 << 32) - 1)
+    flat = each.select("key", "n", "central", F.posexplode("tokens").alias("pos", "token"), "salts").select(
+        F.col("token").bitwiseXOR(F.shiftleft(salt, 40)).alias("salted"),
+        "key",
+        F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("spot"),
+        F.shiftleft(F.col("central").cast("long"), 32).bitwiseOR(salt).alias("rank"),
     )
-    w = Window.partitionBy("token", "salt")
+    w = Window.partitionBy("salted")
     mark = flat.select(
         "*",
-        F.min("cls").over(w).alias("low"),
-        F.max("cls").over(w).alias("high"),
-        F.max(F.struct("central", "cls", "n")).over(w).alias("top"),
-        F.max("salt").over(w).alias("salted"),
+        F.min("key").over(w).alias("least"),
+        F.max("key").over(w).alias("most"),
+        F.max(F.struct("rank", "key", "spot")).over(w).alias("top"),
     )
     # a hot shingle dealt over several salts is shared even where one salt holds a single class
-    some = mark.where((F.col("low") != F.col("high")) | (F.col("salted") > 0))
-    return stored(some.select("token", "pos", "cls", "n", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n")), "prefixes")
+    salt = F.col("rank").bitwiseAND(low)
+    some = mark.where((F.col("least") != F.col("most")) | (salt > 0))
+    return stored(
+        some.select(
+            F.col("salted").bitwiseXOR(F.shiftleft(salt, 40)).alias("token"),
+            F.col("spot").bitwiseAND(low).cast("int").alias("pos"),
+            "key",
+            F.shiftright("spot", 32).cast("int").alias("n"),
+            F.col("top.key").alias("pivot"),
+            F.shiftright(F.col("top.spot"), 32).cast("int").alias("pivot_n"),
+        ),
+        "prefixes",
+    )
 
 
 def similar_size(a: str, b: str) -> Column:
@@ -218,29 +263,28 @@ def _marked(ids: DataFrame, key: str) -> DataFrame:
 
 
 def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``ids`` (distinct ``id``): the bitmap keeps other texts from the shuffle."""
+    """(id, text), one row an id, of at least the documents in ``ids``: the bitmap keeps most other texts from
+    the shuffle. Callers join by ``id``, not by a semi join, which Spark would move below the bitmap."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << 25))
     marks = stored(_marked(ids, "id"), "bitmap")
     rows = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), "text").withColumn("__bucket", F.bitmap_bucket_number(bit))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("__map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     near = rows.join(F.broadcast(marks), "__bucket").where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1)
-    return near.select("id", "text").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return near.select("id", "text").dropDuplicates(["id"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (other, hub) of document ids whose whole sets are linked, as (a, b).
 
-    Each ``other`` text is sent once to each of its hubs; a hub's text goes to every salt of its pairs.
+    Each ``other`` text is sent once to each of its hubs; a hub's text goes to every salt of its pairs. Texts
+    are shuffled twice: to those who ask for them, and from there to the hubs.
     """
     pairs = stored(pairs.select("other", "hub", F.pmod(F.xxhash64("other"), F.lit(8)).cast("int").alias("salt")), "pairs")
-    ids = stored(pairs.select(F.explode(F.array("other", "hub")).alias("id")).distinct(), "wanted")
-    texts = stored(wanted_texts(docs, ids), "texts")
-    hubs = pairs.select(F.col("hub").alias("id"), "salt").distinct().join(texts, "id")
-    others = pairs.join(texts.withColumnRenamed("id", "other"), "other")
-    rows = hubs.select(F.col("id").alias("hub"), "salt", F.lit(0).alias("side"), F.lit(None).cast("long").alias("other"), "text").unionByName(
-        others.select("hub", "salt", F.lit(1).alias("side"), "other", "text")
-    )
+    own = pairs.select(F.col("hub").alias("other"), "hub", "salt", F.lit(0).alias("side")).distinct()
+    asked = own.unionByName(pairs.withColumn("side", F.lit(1)))
+    texts = wanted_texts(docs, pairs.select(F.explode(F.array("other", "hub")).alias("id"))).withColumnRenamed("id", "other")
+    rows = asked.join(texts, "other")
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
     return dealt.mapInPandas(_verify, "a long, b long")
 
@@ -291,10 +335,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row."""
     rows, counts = digests(docs)
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NOBODY)))
-    classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")), "classes")
+    classes = stored(rows.where("n > 0").groupBy("cls", "key").agg(F.min("id").alias("id")), "classes")
     named = shared_prefixes(docs, counts)
+    by_key = classes.select("key", "id")
     shared = stored(
-        named.join(classes, "cls").join(classes.select(F.col("cls").alias("pivot"), F.col("id").alias("pivot_id")), "pivot").drop("cls", "pivot").distinct(),
+        named.join(by_key, "key").join(by_key.toDF("pivot", "pivot_id"), "pivot").drop("key", "pivot").distinct(),
         "shared",
     )
     first = (
@@ -310,7 +355,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     labelled = shared.join(parts, "id", "left").select("token", "pos", "id", "n", F.coalesce("component", "id").alias("component"))
     more = stored(verified(docs, _cross_pairs(stored(labelled.distinct(), "labelled"))), "links")
     parts = stored(components(links.unionByName(more)), "components")
-    named_rows = rows.join(classes.withColumnRenamed("id", "class_id"), "cls", "left")
+    named_rows = rows.join(classes.select("cls", F.col("id").alias("class_id")), "cls", "left")
     out = named_rows.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
     least = F.coalesce("component", "class_id", "id")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(least != NOBODY, least).alias("component_id"))
