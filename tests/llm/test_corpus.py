@@ -123,6 +123,18 @@ def test_licences(spark):
 # -- 3 classifier -------------------------------------------------------------
 
 
+def test_matches_hold_a_telling_pair():
+    pairs = set(licenses.telling_pairs(licenses.TEMPLATES, licenses.THRESHOLD))
+    rng = np.random.default_rng(5)
+    for template in licenses.TEMPLATES.values():
+        tokens = "".join(c.lower() if c.isalnum() else " " for c in template).split()
+        own = sorted(set(zip(tokens, tokens[1:])))
+        for _ in range(200):
+            kept = {own[i] for i in rng.permutation(len(own))[: rng.integers(0, len(own) + 1)]}
+            if 2 * len(kept) / (len(kept) + len(own)) >= licenses.THRESHOLD:
+                assert kept & pairs
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     emit, move, lengths = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([3, 1, 3])
