@@ -95,13 +95,16 @@ def required(a, b):
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per document, then this task's share of the frequency table."""
     counts = np.zeros(SLOTS, np.int32)
+    waiting, held = [], 0  # slots still to be counted: many texts are counted at once
     for pdf in batches:
         sizes, classes, keys = [], [], []
         for text in pdf["text"]:
             s = shingle_set(text)
-            counts += 0 if len(s) == 0 else np.bincount(_slot(s), minlength=SLOTS).astype(np.int32) if len(s) > SLOTS // 8 else 0
-            if 0 < len(s) <= SLOTS // 8:
-                np.add.at(counts, _slot(s), 1)
+            waiting.append(_slot(s))
+            held += len(s)
+            if held >= SLOTS:
+                counts += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.int32)
+                waiting, held = [], 0
             sizes.append(len(s))
             classes.append(class_of(s) if len(s) else None)
             keys.append(short_key(classes[-1]) if len(s) else None)
@@ -115,6 +118,8 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "counts": None,
             }
         )
+    if held:
+        counts += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.int32)
     if counts.any():
         parts = [counts[i : i + PART].tobytes() for i in range(0, SLOTS, PART)]
         none = pd.array([None] * len(parts), "Int64")
