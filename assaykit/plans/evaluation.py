@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
-from assaykit.operators.images import match_histogram, reference_levels
+from assaykit.operators.images import match_image
 from assaykit.operators.metrics import (
     DEFAULT_CLASSES,
     class_rows,
@@ -79,9 +79,10 @@ def retrieval_decision(
     """Decide on a pool: B if retrieval beats chance, if need be after one histogram
     match to the reference image; C otherwise. Only one-row verdicts reach the driver."""
     first: Row = retrieval_verdict(queries, pool, k, n_trials, seed).first()
-    out: dict[str, object] = {**first.asDict(), "decision": "B", "histogram_matched": False, "k": k, "n_trials": n_trials}
+    sizes = {"n_query": queries.count(), "n_pool": pool.count()}
+    out: dict[str, object] = {**first.asDict(), **sizes, "decision": "B", "histogram_matched": False, "k": k, "n_trials": n_trials}
     if not first["passed"]:
-        matched = match_histogram(pool.drop("embedding"), reference_levels(reference, pixels), pixels, pixels)
+        matched = match_image(pool.drop("embedding"), reference, pixels, pixels)
         second: Row = retrieval_verdict(queries, embed_matched(matched), k, n_trials, seed).first()
         out |= {
             "after_histogram_match": second.asDict(),

@@ -268,27 +268,76 @@ def permutation_null_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return null.withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@register("permutation_null")
+def chance_sql(group: str, k: int = V.HIT_RATE_K) -> str:
+    """Mean and standard deviation of the null's hit rate: each vector draws k of all, hypergeometrically."""
+    return f"""sizes AS (SELECT count(*)::DOUBLE AS c, (SELECT count(*) FROM embeddings)::DOUBLE AS n FROM embeddings GROUP BY {group}),
+    chance AS (SELECT sum(c * c) / any_value(n * n) AS mean,
+      sqrt(sum(c * {k} * (c / n) * (1 - c / n) * (n - {k}) / (n - 1))) / any_value(n * {k}) AS sd FROM sizes)"""
+
+
+def real_sql(group: str, k: int = V.HIT_RATE_K) -> str:
+    """Hit rate of the nearest k among all vectors, the query's own included."""
+    return f"""real AS (SELECT count(*) FILTER (q_group = p_group) / ((SELECT count(*) FROM embeddings) * {k}.0) AS hit_rate FROM (
+      SELECT q.g AS q_group, p.g AS p_group, row_number() OVER (
+        PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) DESC, p.vec_id) AS rank
+      FROM (SELECT *, {group} AS g FROM embeddings) q CROSS JOIN (SELECT *, {group} AS g FROM embeddings) p QUALIFY rank <= {k}))"""
+
+
+def expected_rate(v: DataFrame) -> DataFrame:
+    """One row: the null's exact mean, the share of pool rows that a query shares a label with."""
+    n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
+    met = R.match_counts(queries_of(v), pool_of(v))
+    return met.agg((F.sum(F.col("m") * F.col("n_query")) / F.sum("n_query")).alias("s")).select((F.col("s") / n).alias("expected"))
+
+
+@register(
+    "permutation_null",
+    f"WITH {chance_sql('label // 2')} SELECT {V.N_TRIALS} AS n_trials, round(mean, 6) AS expected, true AS near FROM chance",
+)
 def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
-    """The default null, 1000 trials, one multinomial per distinct match count."""
+    """The default null, 1000 trials: its exact mean, and whether the trials' mean lies within four standard errors."""
     v = vectors(spark, sf)
-    return R.permutation_null(queries_of(v), pool_of(v)).withColumn("hit_rate", F.round("hit_rate", 6))
+    trials = R.permutation_null(queries_of(v), pool_of(v)).agg(
+        F.count(F.lit(1)).alias("n_trials"), F.avg("hit_rate").alias("mean"), F.stddev("hit_rate").alias("sd")
+    )
+    near = F.abs(F.col("mean") - F.col("expected")) <= 4 * F.col("sd") / F.sqrt("n_trials")
+    # one row meets one row
+    return trials.crossJoin(expected_rate(v)).select("n_trials", F.round("expected", 6).alias("expected"), near.alias("near"))
 
 
-@register("retrieval_verdict")
+@register(
+    "retrieval_verdict",
+    f"""WITH {chance_sql('label // 2')}, {real_sql('label // 2')}
+    SELECT round(hit_rate, 6) AS real_hit_rate, round(mean, 6) AS expected, true AS ordered, hit_rate >= mean + 1.645 * sd AS passed FROM real, chance""",
+)
 def verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Real hit rate, the null's exact mean, the verdict, and whether the null's threshold lies above its mean."""
     v = vectors(spark, sf)
-    out = retrieval_verdict(queries_of(v), pool_of(v))
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns if c != "passed"], "passed")
+    out = retrieval_verdict(queries_of(v), pool_of(v)).crossJoin(expected_rate(v))
+    return out.select(
+        F.round("real_hit_rate", 6).alias("real_hit_rate"),
+        F.round("expected", 6).alias("expected"),
+        (F.col("null_threshold") >= F.col("null_mean")).alias("ordered"),
+        "passed",
+    )
 
 
-@register("retrieval_decision")
+_NOISE = "substr(md5(vec_id::VARCHAR), 1, 1)"
+
+
+@register(
+    "retrieval_decision",
+    f"""WITH {chance_sql(_NOISE)}, {real_sql(_NOISE)}
+    SELECT CASE WHEN hit_rate >= mean + 1.645 * sd THEN 'B' ELSE 'not by the first verdict' END AS decision, false AS histogram_matched,
+      {V.HIT_RATE_K} AS k, (SELECT count(*) FROM embeddings) AS n_query, (SELECT count(*) FROM embeddings) AS n_pool,
+      round(hit_rate, 6) AS real_hit_rate FROM real, chance""",
+)
 def decision(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict on the raw pool, if need be again after one histogram match."""
     from suite.images import PIXELS
 
     v = vectors(spark, sf).withColumn("pixels", F.expr(PIXELS))
-    # labels unrelated to the vectors, so that the first verdict is not a foregone pass
+    # labels unrelated to the vectors; what passes is that every vector finds itself
     noise = F.array(F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 1), 16, 10).cast("int"))
     v = v.withColumn("labels", noise)
 
@@ -297,7 +346,8 @@ def decision(spark: SparkSession, sf: str) -> DataFrame:
 
     reference = v.filter(F.col("vec_id") == v.agg(F.min("vec_id")).scalar())
     out = retrieval_decision(queries_of(v), pool_of(v), embed_matched, reference, n_trials=200)
-    return spark.createDataFrame([(out["decision"], out["histogram_matched"], out["k"])], "decision string, histogram_matched boolean, k int")
+    row = [out[c] for c in ("decision", "histogram_matched", "k", "n_query", "n_pool")] + [round(out["real_hit_rate"], 6)]
+    return spark.createDataFrame([row], "decision string, histogram_matched boolean, k int, n_query long, n_pool long, real_hit_rate double")
 
 
 @register(

@@ -9,8 +9,6 @@ import __spark_entry__ as entry
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-# checked by brute force on small fixtures instead: see the test modules of their operators
-WITHOUT_SQL = {"bootstrap_ci", "significance_report", "permutation_null", "retrieval_verdict", "retrieval_decision"}
 
 
 @pytest.fixture(scope="module")
@@ -24,16 +22,13 @@ OWN = sorted(n for n in entry.queries() if n != "pipeline" and not re.match(r"op
 
 
 def test_names():
-    assert set(OWN) - set(entry.oracle_sql()) == WITHOUT_SQL and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(OWN) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", OWN)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
-    if name in WITHOUT_SQL:
-        assert df.collect()
-    else:
-        assert difference(df, duck, entry.oracle_sql()[name]) is None
+    assert difference(df, duck, entry.oracle_sql()[name]) is None
 
 
 def test_entry(spark, duck):
