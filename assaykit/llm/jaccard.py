@@ -165,7 +165,7 @@ def _prefixes(shared_counts):
                     seen.add(c)
                 p, f = prefix(s, counts)
                 central = int(1000 * np.log1p(counts[_slot(s)]).mean())
-                salts = np.where(f > HOT, int.from_bytes(c[:4]) % (f.astype(np.int64) // HOT + 1), 0)
+                salts = np.where(f > HOT, 1 + int.from_bytes(c[:4]) % (f.astype(np.int64) // HOT + 1), 0)
                 out.append((short_key(c), len(s), central, p.view(np.int64), salts.astype(np.int32)))
             if out:
                 yield pd.DataFrame(out, columns=["key", "n", "central", "tokens", "salts"])
