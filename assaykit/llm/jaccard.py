@@ -34,6 +34,7 @@ from assaykit.llm.common import stored, table
 
 WORDS, NUM, DEN = 5, 3, 4  # shingle length; linked when the Jaccard index is at least NUM / DEN
 SLOTS, PART = 1 << 20, 1 << 12  # counters of the frequency table, and how many travel in a row
+SALT = 0xFFFF  # the bits of a token that hold its salt
 HOT = 50_000  # classes of a frequent shingle that one task takes
 REMEMBER = 1 << 20  # classes a task remembers as handed on already
 REMEMBER_WORDS = 1 << 18  # words whose hashes a worker remembers
@@ -152,6 +153,15 @@ def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return shingles[keep], freq[keep]
 
 
+def dealt(tokens: np.ndarray, freq: np.ndarray, cls: bytes) -> np.ndarray:
+    """Tokens with a salt in their low 16 bits: 0, or for a frequent one 1 and up, by the class.
+
+    Tokens that fall together for want of those bits only make candidates, which are verified.
+    """
+    salts = np.where(freq > HOT, 1 + int.from_bytes(cls[:4]) % (freq.astype(np.int64) // HOT + 1), 0)
+    return (tokens & ~np.uint64(SALT)) | salts.astype(np.uint64)
+
+
 def _prefixes(shared_counts):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen = shared_counts.value, set()
@@ -165,49 +175,40 @@ def _prefixes(shared_counts):
                     seen.add(c)
                 p, f = prefix(s, counts)
                 central = int(1000 * np.log1p(counts[_slot(s)]).mean())
-                salts = np.where(f > HOT, 1 + int.from_bytes(c[:4]) % (f.astype(np.int64) // HOT + 1), 0)
-                out.append((short_key(c), len(s), central, p.view(np.int64), salts.astype(np.int32)))
+                out.append((short_key(c), central, dealt(p, f, c).view(np.int64)))
             if out:
-                yield pd.DataFrame(out, columns=["key", "n", "central", "tokens", "salts"])
+                yield pd.DataFrame(out, columns=["key", "central", "tokens"])
 
     return rows
 
 
 def shared_prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, pos, key, n, pivot, pivot_n): prefix shingles that stand in two classes or more.
+    """(token, pos, key, pivot): prefix shingles that stand in two classes or more.
 
-    Four numbers travel for each prefix shingle: itself with its salt mixed in, the class, two packed pairs.
+    Three numbers travel for each prefix shingle: the salted shingle, the class, and how central the class is with the place.
     """
     spark = docs.sparkSession
     each = docs.select("text").mapInPandas(
-        _prefixes(spark.sparkContext.broadcast(counts)), "key long, n int, central int, tokens array<long>, salts array<int>"
+        _prefixes(spark.sparkContext.broadcast(counts)), "key long, central int, tokens array<long>"
     )
-    salt = F.get("salts", "pos").cast("long")
-    low = F.lit((1 << 32) - 1)
-    flat = each.select("key", "n", "central", F.posexplode("tokens").alias("pos", "token"), "salts").select(
-        F.col("token").bitwiseXOR(F.shiftleft(salt, 40)).alias("salted"),
-        "key",
-        F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("spot"),
-        F.shiftleft(F.col("central").cast("long"), 32).bitwiseOR(salt).alias("rank"),
+    flat = each.select("key", "central", F.posexplode("tokens").alias("pos", "salted")).select(
+        "salted", "key", F.shiftleft(F.col("central").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("spot")
     )
     w = Window.partitionBy("salted")
     mark = flat.select(
         "*",
         F.min("key").over(w).alias("least"),
         F.max("key").over(w).alias("most"),
-        F.max(F.struct("rank", "key", "spot")).over(w).alias("top"),
+        F.max(F.struct(F.shiftright("spot", 32), "key")).over(w)["key"].alias("pivot"),
     )
-    # a hot shingle dealt over several salts is shared even where one salt holds a single class
-    salt = F.col("rank").bitwiseAND(low)
-    some = mark.where((F.col("least") != F.col("most")) | (salt > 0))
+    # a frequent shingle is dealt over several salts: it is shared even where one salt holds a single class
+    some = mark.where((F.col("least") != F.col("most")) | (F.col("salted").bitwiseAND(F.lit(SALT)) > 0))
     return stored(
         some.select(
-            F.col("salted").bitwiseXOR(F.shiftleft(salt, 40)).alias("token"),
-            F.col("spot").bitwiseAND(low).cast("int").alias("pos"),
+            F.col("salted").bitwiseAND(F.lit(~SALT)).alias("token"),
+            F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"),
             "key",
-            F.shiftright("spot", 32).cast("int").alias("n"),
-            F.col("top.key").alias("pivot"),
-            F.shiftright(F.col("top.spot"), 32).cast("int").alias("pivot_n"),
+            "pivot",
         ),
         "prefixes",
     )
@@ -340,11 +341,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row."""
     rows, counts = digests(docs)
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NOBODY)))
-    classes = stored(rows.where("n > 0").groupBy("cls", "key").agg(F.min("id").alias("id")), "classes")
+    classes = stored(rows.where("n > 0").groupBy("cls", "key").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
     named = shared_prefixes(docs, counts)
-    by_key = classes.select("key", "id")
+    by_key = classes.select("key", "id", "n")
     shared = stored(
-        named.join(by_key, "key").join(by_key.toDF("pivot", "pivot_id"), "pivot").drop("key", "pivot").distinct(),
+        named.join(by_key, "key").join(by_key.toDF("pivot", "pivot_id", "pivot_n"), "pivot").drop("key", "pivot").distinct(),
         "shared",
     )
     first = (

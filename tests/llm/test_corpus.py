@@ -357,6 +357,19 @@ def test_suffix_bound_never_exceeds_the_difference():
         assert jaccard.suffix_bound(a, b) <= len(np.setxor1d(a, b))
 
 
+def test_frequent_shingles_are_always_salted():
+    tokens = np.array([1 << 40, (1 << 50) + 5, 2**64 - 1], np.uint64)
+    freq = np.array([3, jaccard.HOT + 1, 100 * jaccard.HOT], np.int32)
+    seen = set()
+    for i in range(200):
+        got = jaccard.dealt(tokens, freq, i.to_bytes(4, "big") + bytes(12))
+        salts = got & np.uint64(jaccard.SALT)
+        assert list(got - salts) == list(tokens & ~np.uint64(jaccard.SALT))
+        assert salts[0] == 0 and 1 <= salts[1] <= 2 and 1 <= salts[2] <= 101
+        seen.add(int(salts[2]))
+    assert len(seen) > 90  # classes are spread
+
+
 def test_components_of_edges(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (10, 3)] + [(100, i) for i in range(101, 160)]
     got = {r.id: r.component for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
