@@ -21,8 +21,11 @@ def contrastive_candidates(
     queries: DataFrame, pool: DataFrame, label: str, n_pos: int = 2, n_neg: int = 1, query_id: str = "query_id",
     pool_id: str = "pool_id", vector: str = "embedding", **options,
 ) -> DataFrame:
-    """The nearest ``n_pos + n_neg`` rows per (query, label): enough for every shortage rule."""
-    return nearest(queries, pool, n_pos + n_neg, query_id, pool_id, vector, by=label, **options).drop("rank")
+    """The nearest ``n_pos + n_neg`` rows per (query, label): enough for every shortage rule.
+
+    One more without positives, since the nearest row then takes no place.
+    """
+    return nearest(queries, pool, max(n_pos, 1) + n_neg, query_id, pool_id, vector, by=label, **options).drop("rank")
 
 
 def select_contrastive(
@@ -39,7 +42,8 @@ def select_contrastive(
 
     ``sims`` holds (query_id, pool_id, sim, label), at least the nearest
     ``n_pos + n_neg`` of each label. Shortages are filled with the nearest rows not
-    chosen yet, positives first. With ``random_negatives`` (query_id, pool_id,
+    chosen yet, positives first. The nearest row is never a negative, also with ``n_pos=0``.
+    With ``random_negatives`` (query_id, pool_id,
     draw order ``draw``, label, sim) the negatives come from there instead.
 
     Returns (query_id, slot, role, pool_id, sim, label), slot from 1.
@@ -53,6 +57,8 @@ def select_contrastive(
         .withColumn("__ref", F.first(label).over(nearest_first))
         .withColumn("__same", F.col(label) == F.col("__ref"))
     )
+    if n_pos == 0:
+        ranked = ranked.withColumn("__first", F.row_number().over(nearest_first)).filter(F.col("__first") > 1).drop("__first")
     in_side = Window.partitionBy(query_id, "__same").orderBy(F.col("sim").desc(), F.col(pool_id).asc())
     ranked = ranked.withColumn("__side", F.row_number().over(in_side))
     hard = random_negatives is None

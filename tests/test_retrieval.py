@@ -114,6 +114,9 @@ def select(spark, sims, labels, n_pos=2, n_neg=1, position="last"):
         ([0.9, 0.8, 0.7, 0.6, 0.5], [1, 1, 0, 1, 0], {"n_pos": 3, "n_neg": 0}, [0, 1, 3]),
         ([0.9, 0.8, 0.7, 0.6, 0.5, 0.4], [1, 1, 0, 0, 1, 0], {"n_pos": 2, "n_neg": 2}, [0, 1, 2, 3]),
         ([0.9, 0.8, 0.7], [1, 0, 1], {"n_pos": 1, "n_neg": 1}, [0, 1]),
+        ([0.9, 0.8, 0.7], [1, 1, 1], {"n_pos": 0, "n_neg": 1}, [1]),
+        ([0.9, 0.8, 0.7], [1, 1, 0], {"n_pos": 0, "n_neg": 1}, [2]),
+        ([0.9], [1], {"n_pos": 0, "n_neg": 1}, []),
         # one row of the nearest label: the second positive is the next nearest left after the negative
         ([0.9, 0.8, 0.7, 0.6], [1, 0, 0, 0], {}, [0, 2, 1]),
         ([0.9, 0.8], [1, 0], {}, [0, 1]),
