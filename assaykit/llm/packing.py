@@ -5,7 +5,9 @@ pieces are dealt by hash into groups of bounded size. A group is packed on sever
 own with its own seed: individuals start from best-fit decreasing orders; crossover injects whole well-filled
 bins of one parent into another, drops the duplicates and best-fits the displaced pieces. Between epochs the
 best packing of each island migrates to its neighbour. The best island's well-filled bins stay; the pieces
-of its other bins are dealt anew into fewer groups, until one group is left.
+of its other bins are dealt anew, into groups of the same size, as long as that closes half of them or saves
+bins. All bins of a level are closed as they are when one group is left, when no packing has fewer, or when
+dealing anew has ceased to pay: a group never grows, however few pieces fit together.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are documents of their own; ties go
 by row number; an empty table gives an empty result; other columns are not looked at.
@@ -27,6 +29,7 @@ from assaykit.llm.common import stored, table, whole
 CAPACITY, END = 4096, 1
 GROUP, ISLANDS, EPOCHS, POPULATION, CROSSINGS = 2000, 2, 2, 4, 6
 SPARE = 48  # a bin with at most so many free tokens is well filled
+GAIN = 0.01  # a level that leaves most pieces open must save this share of their bins for another one to follow
 CACHE = 300_000  # words a worker remembers
 
 # How the tokenizer file splits a normalised text. Words between white space are split alone.
@@ -163,10 +166,15 @@ def fitness(bins: Bins, size: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def fewest(total: int, large: int, capacity: int) -> int:
+    """No packing has fewer bins: the tokens need room, and of the pieces over half a bin no two share one."""
+    return max(-(-total // capacity), large)
+
+
 def evolve(start: list[Bins], size: list[int], capacity: int, seed: int, population: int = POPULATION, crossings: int = CROSSINGS) -> Bins:
     """The best packing after some crossovers; stops at the least number of bins there can be."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    least = -(-sum(size) // capacity)
+    least = fewest(sum(size), sum(2 * s > capacity for s in size), capacity)
     people = list(start)
     while len(people) < population:
         noise = rng.random(len(size)) * 0.2 * (len(people) > 0) + 1
@@ -223,6 +231,13 @@ def pack_groups(items: DataFrame, capacity: int, islands: int, epochs: int, seed
     return won.join(bins, ["grp", "island", "bin"]).select("grp", "row", "piece", "length", "bin", "fill")
 
 
+def placed(packed: DataFrame, level: int, groups: int) -> DataFrame:
+    """(row, piece, sequence_id, offset) of whole bins; numbers differ between bins, groups and levels."""
+    order = Window.partitionBy("grp", "bin").orderBy("row", "piece")
+    name = F.lit(level << 56) + F.col("bin").cast("long") * groups + F.col("grp")
+    return packed.select("row", "piece", name.alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset"))
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -236,24 +251,24 @@ def pack(
     cut = stored(pieces(docs, path, capacity), "pieces")
     full = cut.where(F.col("length") == capacity).select("row", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = cut.where(F.col("length") < capacity).select("row", "piece", "length")
-    done, level, count = full, 0, left.count()
+    done, level, count, before = full, 0, left.count(), None
     while count:
-        groups = max(1, -(-count // group))
+        groups = -(-count // group)
         items = left.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed + level), "row", "piece"), F.lit(groups)))
         packed = stored(pack_groups(items, capacity, islands, epochs, seed + level), "packed")
-        final = groups == 1
-        stays = packed if final else packed.where(F.col("fill") >= capacity - SPARE)
-        order = Window.partitionBy("grp", "bin").orderBy("row", "piece")
-        name = F.lit(level << 56) + F.shiftleft("grp", 20) + F.col("bin")
-        placed = stays.select("row", "piece", name.alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset"))
-        done = done.unionByName(placed)
-        if final:
+        is_open, is_large = F.col("fill") < capacity - SPARE, F.col("length") * 2 > capacity
+        each = packed.groupBy("grp", "bin").agg(F.first("fill").alias("fill"), F.count("*").alias("n"), F.count(F.when(is_large, 1)).alias("large"))
+        of_open = lambda n: F.coalesce(F.sum(F.when(is_open, n)), F.lit(0))
+        bins, total, large, open_bins, rest = each.agg(F.count("*"), F.sum("fill"), F.sum("large"), of_open(F.lit(1)), of_open(F.col("n"))).first()
+        idle = before is not None and 2 * rest > count and bins > (1 - GAIN) * before[1]
+        if groups == 1 or bins == fewest(total, large, capacity) or idle:
+            # the open bins of the level before hold the same pieces
+            better = before is not None and before[1] < bins
+            done = done.unionByName(before[0] if better else placed(packed, level, groups))
             break
-        left = packed.where(F.col("fill") < capacity - SPARE).select("row", "piece", "length")
-        # a level that keeps few bins would not end: halve the groups at least
-        count, level = left.count(), level + 1
-        if -(-count // group) > groups // 2:
-            group = -(-count // max(1, groups // 2))
+        done = done.unionByName(placed(packed.where(~is_open), level, groups))
+        left = packed.where(is_open).select("row", "piece", "length")
+        before, count, level = (placed(packed.where(is_open), level, groups), open_bins), rest, level + 1
     return cut.join(done, ["row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -460,6 +460,34 @@ def test_packing_is_tight_and_whole(spark):
     assert packing.pack(empty(spark)).count() == 0 and packing.pack(documents(spark)).count() >= 14
 
 
+def test_groups_stay_bounded_where_bins_cannot_be_filled(spark, monkeypatch):
+    short = [40] * 30
+    for long, at_most in ([201 + i % 149 for i in range(400)], 400), ([160] * 100 + [201 + i % 149 for i in range(300)], 365):
+        docs = documents(spark, ["a " * (n - 1) for n in long + short]).where("doc_id is not null")
+        dealt, own = [], packing.pack_groups
+
+        def watched(items, *how):
+            dealt.append(items.groupBy("grp").count().agg(F.max("count")).first()[0])
+            return own(items, *how)
+
+        monkeypatch.setattr(packing, "pack_groups", watched)
+        out = packing.pack(docs, capacity=400, group=50).collect()
+        monkeypatch.undo()
+        assert max(dealt) < 100 and len(dealt) < 12
+        used = {}
+        for r in out:
+            used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+        assert sorted(r.doc_id for r in out) == list(range(430)) and sum(used.values()) == sum(long + short)
+        assert max(used.values()) <= 400 and len(used) <= at_most
+
+
+def test_sequences_are_numbered_apart(spark):
+    bins = [(0, 0), (0, 1 << 20), (1, 0), (1, 1 << 20), (2, 1)]
+    packed = spark.createDataFrame([(g, i, 0, 5, b, 5) for i, (g, b) in enumerate(bins)], "grp long, row long, piece int, length long, bin int, fill long")
+    both = packing.placed(packed, 0, 3).unionByName(packing.placed(packed, 1, 3))
+    assert both.select("sequence_id").distinct().count() == 10
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.Generator(np.random.PCG64(1))
     size = rng.integers(1, 60, 80).tolist()
