@@ -1,4 +1,4 @@
-"""Licence scan: lines, paragraphs and whole documents against licence templates by Dice over word bigrams.
+"""Licence scan: lines, paragraphs, whole documents and stretches of words against templates by Dice over word bigrams.
 
 Texts are normalised (A-Z lower-cased, everything but a-z and 0-9 a separator) and turned into sets of
 word bigrams. With a set of m bigrams and a template of n, Dice 2c/(m+n) can reach the threshold only if
@@ -6,9 +6,15 @@ m lies in [t/(2-t) n, (2-t)/t n]; templates are joined by that size range, so a
 templates it could match. A match holds most bigrams of its template, so texts and stretches without any of a
 few of them are left alone before their bigrams are made. Built-in functions only.
 
+A licence that no whole line, paragraph or document gives is looked for in every stretch of as many bigrams as
+could match, within a line or over several. The best stretch begins and ends with a bigram of the template, as
+others only add to m. Texts are cut into blocks of twice the longest stretch, each begun one stretch after the
+last, so that every stretch lies in one whole and a text's blocks hold twice its words, however long it is.
+The work in a block that holds enough of a template grows with the square of the template's length.
+
 Defined cases: a null text is empty and matches nothing, nor does a text of fewer than two words;
-repeated rows give their rows again; of several matching stretches the best counts; templates equal in
-Dice all appear; an empty table gives an empty result.
+repeated rows give their rows again; of several matching lines, paragraphs and the document the best counts, and
+only without one the best stretch; templates equal in Dice all appear; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,25 +56,53 @@ def words(text: Column) -> Column:
     return F.split(flat, " ")
 
 
+def pairs_of(tokens: Column) -> Column:
+    """Pairs of neighbouring words in order; empty for fewer than two words."""
+    pairs = F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(tokens: Column) -> Column:
     """Distinct pairs of neighbouring words; empty for fewer than two words."""
-    pairs = F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(tokens) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(pairs_of(tokens))
 
 
 def size_bounds(n: Column, threshold: float) -> tuple[Column, Column]:
     return F.ceil(threshold / (2 - threshold) * n - F.lit(1e-9)), F.floor((2 - threshold) / threshold * n + F.lit(1e-9))
 
 
-def template_sizes(spark, templates: dict[str, str], threshold: float) -> DataFrame:
-    """One row per template and bigram count that could match it; its size depends on the templates alone."""
+def template_keys(spark, templates: dict[str, str], threshold: float) -> DataFrame:
+    """A row per template and bigram count that could match it, and one per template and telling bigram; their
+    number depends on the templates alone."""
     if sum(len(t.split()) for t in templates.values()) > MOST_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
-    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template")) for k, t in templates.items()])
+    tells = [F.array(*[F.lit(" ".join(p)) for p in telling_pairs({k: t}, threshold)]).cast("array<string>") for k, t in templates.items()]
+    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template"), a.alias("__tell")) for (k, t), a in zip(templates.items(), tells)])
     known = spark.range(1, numPartitions=1).select(F.inline(listed))
-    known = known.select("license", bigrams(words(F.col("template"))).alias("__b")).withColumn("__n", F.size("__b"))
-    least, most = size_bounds(F.col("__n"), threshold)
-    return known.where("__n > 0").select("license", "__b", "__n", F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("__m"))
+    known = known.select("license", "__tell", bigrams(words(F.col("template"))).alias("__b")).withColumn("__n", F.size("__b")).where("__n > 0")
+    least, most = (c.cast("int") for c in size_bounds(F.col("__n"), threshold))
+    known = known.withColumn("__least", least).withColumn("__most", most)
+    sizes = F.transform(F.sequence("__least", "__most"), lambda m: m.cast("string"))
+    return known.withColumn("__key", F.explode(F.concat(sizes, "__tell")))
+
+
+def longest_stretch(templates: dict[str, str], threshold: float) -> int:
+    """Bigrams of the longest stretch that could match."""
+    most = max((len(re.findall("[A-Za-z0-9]+", t)) - 1 for t in templates.values()), default=0)
+    return max(1, math.floor((2 - threshold) / threshold * most + 1e-9))
+
+
+def best_stretch(pairs: Column, template: Column, n: Column, least: Column, most: Column) -> Column:
+    """The best Dice of a stretch of ``least`` to ``most`` neighbouring pairs; null where there is none."""
+    places = F.sequence(F.lit(0), F.size(pairs) - 1)
+    hits = F.filter(places, lambda i: F.array_contains(template, F.get(pairs, i)))
+
+    def dice(i, j):
+        own = F.slice(pairs, i + 1, j - i + 1)
+        return 2.0 * F.size(F.array_intersect(own, template)) / (F.size(F.array_distinct(own)) + n)
+
+    ends = lambda i: F.filter(hits, lambda j: (j - i + 1).between(least, most))
+    return F.array_max(F.flatten(F.transform(hits, lambda i: F.transform(ends(i), lambda j: dice(i, j)))))
 
 
 def telling_pairs(templates: dict[str, str], threshold: float) -> list[tuple[str, str]]:
@@ -96,17 +130,30 @@ def may_match(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice): the best Dice of each row with each licence that reaches the threshold."""
-    known = template_sizes(docs.sparkSession, templates or TEMPLATES, threshold)
-    pairs = telling_pairs(templates or TEMPLATES, threshold)
-    text = F.col("__l")
+    templates = templates or TEMPLATES
+    known = template_keys(docs.sparkSession, templates, threshold)
+    pairs, reach = telling_pairs(templates, threshold), longest_stretch(templates, threshold)
+    text, own = F.col("__l"), F.col("__p")
+    as_unit = lambda units, is_whole: F.transform(units, lambda u: F.struct(u.alias("__u"), F.lit(is_whole).alias("__whole")))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
+    starts = F.sequence(F.lit(1), F.size("__w"), F.lit(reach))
+    blocks = F.array_distinct(F.transform(starts, lambda at: F.array_join(F.slice("__w", at, 2 * reach + 1), " ")))
     numbered = docs.select("doc_id", ascii_lower(whole()).alias("__l"), F.monotonically_increasing_id().alias("__row")).where(may_match(text, pairs))
-    rows = numbered.select("doc_id", "__row", F.explode(units).alias("__u")).where(may_match(F.col("__u"), pairs))
-    sets = rows.select("doc_id", "__row", bigrams(words(F.col("__u"))).alias("__a")).withColumn("__m", F.size("__a"))
-    met = sets.join(F.broadcast(known), "__m")
-    dice = 2.0 * F.size(F.array_intersect("__a", "__b")) / (F.col("__m") + F.col("__n"))
-    scored = met.select("doc_id", "__row", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-    return scored.groupBy("doc_id", "__row", "license").agg(F.max("dice").alias("dice")).drop("__row")
+    numbered = numbered.withColumn("__w", words(text))
+    rows = numbered.select("doc_id", "__row", F.inline(F.concat(as_unit(units, True), as_unit(blocks, False)))).where(may_match(F.col("__u"), pairs))
+    made = rows.select("doc_id", "__row", "__whole", pairs_of(words(F.col("__u"))).alias("__p"))
+    tells = F.filter(F.array_distinct(own), lambda p: p.isin([" ".join(p) for p in pairs]))
+    keys = F.when(F.col("__whole"), F.array(F.size(F.array_distinct(own)).cast("string"))).otherwise(tells)
+    met = made.withColumn("__key", F.explode(keys)).join(F.broadcast(known), "__key")
+    shared = F.size(F.array_intersect("__p", "__b"))
+    # a block meets a template once, by the first of its telling bigrams
+    met = met.where((shared >= F.col("__least")) & (F.col("__whole") | (F.get(F.array_intersect("__tell", "__p"), F.lit(0)) == F.col("__key"))))
+    dice = F.when(F.col("__whole"), 2.0 * shared / (F.size(F.array_distinct(own)) + F.col("__n"))).otherwise(
+        best_stretch(own, F.col("__b"), F.col("__n"), F.col("__least"), F.col("__most"))
+    )
+    scored = met.select("doc_id", "__row", "license", "__whole", dice.alias("dice")).where(F.col("dice") >= threshold)
+    best = F.coalesce(F.max(F.when(F.col("__whole"), F.col("dice"))), F.max("dice"))
+    return scored.groupBy("doc_id", "__row", "license").agg(best.alias("dice")).drop("__row")
 
 
 QUERY = "op2_license_scan"

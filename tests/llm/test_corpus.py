@@ -123,6 +123,41 @@ def test_licences(spark):
 # -- 3 classifier -------------------------------------------------------------
 
 
+def slow_stretches(text, threshold=licenses.THRESHOLD):
+    split = lambda t: re.findall("[a-z0-9]+", t.lower())
+    out, w = {}, split(text)
+    pairs = list(zip(w, w[1:]))
+    for name, template in licenses.TEMPLATES.items():
+        t = split(template)
+        b = set(zip(t, t[1:]))
+        for i in range(len(pairs)):
+            for j in range(i + 1, min(len(pairs), i + int(len(b) * (2 - threshold) / threshold + 1e-9)) + 1):
+                own = set(pairs[i:j])
+                dice = 2 * len(own & b) / (len(own) + len(b))
+                if dice >= threshold:
+                    out[name] = max(out.get(name, 0), dice)
+    return out
+
+
+def test_licences_inside_lines_and_over_lines(spark):
+    noise = lambda n: " ".join(f"x{i}" for i in range(n))
+    mit, long = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["MIT-permission"]
+    texts = [
+        "Copyright 2020 X. All rights reserved.",
+        "This project is released under the MIT License, see the LICENSE file",
+        noise(500) + " " + mit,
+        f"{noise(30)}\nthis work is licensed under the GNU General\nPublic License, version 3. {noise(9)}\n{noise(30)}",
+        *[f"{noise(n)} {long.replace(' obtaining', ' that is obtaining')} {noise(200)}" for n in (0, 69, 70, 71, 139)],
+        f"{mit} {noise(40)} {long}",
+        "all rights reserved " * 50 + noise(30),
+        noise(300) + " the MIT License",
+    ]
+    got = rows(licenses.scan(documents(spark, texts)), "doc_id", "license", "dice")
+    assert got == sorted(((i, k, d) for i, t in enumerate(texts) for k, d in slow_stretches(t).items()), key=repr)
+    assert {(0, "reserved"), (1, "MIT"), (2, "MIT"), (3, "GPL-3.0"), (8, "MIT-permission")} <= {g[:2] for g in got}
+    assert {g[0] for g in got} == set(range(11))
+
+
 def test_matches_hold_a_telling_pair():
     pairs = set(licenses.telling_pairs(licenses.TEMPLATES, licenses.THRESHOLD))
     rng = np.random.default_rng(5)
