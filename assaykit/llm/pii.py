@@ -2,17 +2,19 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 
 Four fixed patterns give the seeds. Their surroundings (the two words before, or the word before and the
 word after) become lexical patterns; patterns and identifier-like strings form a bipartite graph, scored
-for a few rounds: a pattern is worth the share of its distinct strings that are known, a string what its
+in rounds until one adds no string: a pattern is worth the share of its distinct strings that are known, a string what its
 trusted patterns say together (noisy or). Strings found that way, which look like their kind, are added.
 
 Defined cases: a null text is empty; rows are independent even with equal or null doc_id; a document without
 finds has zero counts, the hash of the empty string and an empty ``spans``; a match that fails its kind's
-test is dropped and its characters are not searched again; added spans never overlap seed spans.
+test is dropped and its characters are not searched again; added spans never overlap seed spans; what is left
+of a run of candidates without its seeds is a candidate too, with the words around the run as its context.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,9 @@ PATTERNS = {
 # What a text must hold for a kind to be searched at all.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Runs of words with a digit or an @, one space between them: what may be an identifier.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
+_SIGN = r"[0-9@]|\[at\]|\(at\)"
+#: Runs of words with a digit, an @ or what stands for it, one space between them: what may be an identifier.
+CANDIDATE = rf"(?i)(?<!\S)\S*?(?:{_SIGN})\S*+(?: \S*?(?:{_SIGN})\S*+)*+"
 #: What an added string of a kind must look like.
 LOOKS = {
     "email": r"^[^\s@]+(?:@|\[at\]|\(at\))[^\s@]+$",
@@ -41,7 +44,7 @@ LOOKS = {
     "card": r"^(?:[0-9][ -]?){11,22}[0-9]$",
     "phone": r"^\(?[0-9](?:[ ().-]{0,3}[0-9]){6,14}$",
 }
-ROUNDS, SUPPORT, TRUST, ACCEPT = 2, 3, 0.8, 0.8
+SUPPORT, TRUST, ACCEPT = 3, 0.8, 0.8
 
 
 def luhn(digits: Column) -> Column:
@@ -99,7 +102,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         there = text.contains(NEEDS[kind]) & text.rlike("@" if kind == "email" else "[0-9]")
         found.append(F.when(there, _pieces(text, PATTERNS[kind])).otherwise(F.array().cast(none)).alias(kind))
-    context = F.when(text.rlike("[0-9@]"), _contexts(text)).otherwise(F.array().cast(no_context)).alias("candidates")
+    context = F.when(text.rlike(f"(?i){_SIGN}"), _contexts(text)).otherwise(F.array().cast(no_context)).alias("candidates")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), whole().alias("__t"))
     return stored(rows.select("doc_id", "row", *found, context), "scanned")
 
@@ -130,9 +133,47 @@ def _kind_within(hit: Column) -> Column:
     return out
 
 
+def _without_seeds(hit: Column, kind: str) -> Column:
+    """A candidate with spaces in the place of its seeds of a kind."""
+    found = F.regexp_extract_all(hit, F.lit(PATTERNS[kind]), F.lit(0))
+    blank = F.transform(found, lambda h: F.when(passes(kind, h), F.regexp_replace(h, "(?s).", " ")).otherwise(h))
+    return F.array_join(F.zip_with(F.split(hit, PATTERNS[kind], -1), blank, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
+
+
+def _rests(runs: DataFrame) -> DataFrame:
+    """What stays of runs with seeds in them, as candidates of their own."""
+    blank = runs.where("known is not null").withColumn("blank", F.col("hit"))
+    for kind in KINDS:
+        blank = blank.withColumn("blank", _without_seeds(F.col("blank"), kind))
+    parts = blank.withColumn("c", F.explode(_placed_within(F.col("blank"))))
+    first = lambda n: F.substring(F.col("blank"), F.lit(1), n.cast("int"))
+    return parts.select(
+        "row",
+        F.col("c.hit").alias("hit"),
+        F.concat("before", F.lower(first(F.col("c.end") - F.length("c.hit")))).alias("before"),
+        F.concat(F.lower(F.substring(F.col("blank"), (F.col("c.end") + 1).cast("int"), F.length("blank"))), "after").alias("after"),
+        (F.col("start") + F.col("c.end")).alias("end"),
+        (F.col("start") + F.col("c.end") - F.length("c.hit")).alias("start"),
+        F.lit(None).cast("string").alias("known"),
+    )
+
+
+def _placed_within(text: Column) -> Column:
+    """Candidates of a short text with their ends."""
+    pieces = _pieces(text, CANDIDATE)
+    return F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            p["hit"].alias("hit"),
+            F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda s, q: s + q["gap"] + F.length(q["hit"])).alias("end"),
+        ),
+    )
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """(row, start, end, value, known, patterns): identifier-like strings with their lexical patterns."""
-    flat = _placed(rows, "candidates")
+    runs = _placed(rows, "candidates").withColumn("known", _kind_within(F.col("hit")))
+    flat = runs.unionByName(_rests(runs))
     lead = F.length(F.regexp_extract("hit", r"^([\"'(\[<{]*)", 1))
     tail = F.length(F.regexp_extract("hit", r"([\"')\]>}.,;:!?]*)$", 1))
     left = F.regexp_extract("before", r"(\S+)\s+(\S+)\s*$", 1)
@@ -145,18 +186,18 @@ def candidates(rows: DataFrame) -> DataFrame:
     inner = F.col("end") - tail - F.col("start") - lead
     return (
         flat.withColumn("patterns", F.filter(made, lambda p: p.isNotNull()))
-        .withColumn("known", _kind_within(F.col("hit")))
         .withColumn("value", F.lower(F.substring(F.col("hit"), lead + 1, F.greatest(inner, F.lit(0)).cast("int"))))
         .select("row", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), "value", "known", "patterns")
         .where("end > start")
     )
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
+def discover(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
     """(value, kind, confidence): unseen strings that trusted patterns give a kind.
 
     A pattern is trusted for a kind when at least ``support`` distinct known strings stand in it and
-    the known weigh at least ``trust`` of all its strings. Every round scores all patterns on all edges.
+    the known weigh at least ``trust`` of all its strings. Every round scores all patterns on all edges; without
+    ``rounds`` they end when one accepts no new string, which comes since no round takes back what another accepted.
     """
     edges = stored(
         found.select("value", "known", F.explode("patterns").alias("pattern"))
@@ -169,8 +210,8 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tru
     for kind, look in LOOKS.items():
         plausible = plausible | ((F.col("kind") == kind) & F.col("value").rlike(look))
     known = edges.where("known is not null").select("value", F.col("known").alias("kind"), F.lit(1.0).alias("weight")).distinct()
-    added = None
-    for i in range(rounds):
+    added, before = None, 0
+    for i in count() if rounds is None else range(rounds):
         now = known if added is None else known.unionByName(added.select("value", "kind", F.col("confidence").alias("weight")))
         strength = (
             edges.join(now, "value").groupBy("pattern", "kind").agg(F.sum("weight").alias("f"), F.count("*").alias("c")).where(F.col("c") >= support)
@@ -187,6 +228,10 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tru
             .where(F.col("confidence") >= accept),
             f"found{i}",
         )
+        accepted = added.count()
+        if accepted == before:
+            break
+        before = accepted
     return added
 
 

@@ -268,6 +268,18 @@ def test_patterns_find_unseen_identifiers(spark):
     assert spans[8] == f"phone:{at}:{at + 11}"
 
 
+def test_discovery_sees_at_words_runs_with_seeds_and_long_chains(spark):
+    texts = [f"please call me at +49 30 {1000000 + i} today" for i in range(150)]
+    texts += [f"{lead} 030 {2000000 + i} {tail}" for i in range(30) for lead, tail in (("please call me at", "today"), ("his desk line is", "always"))]
+    texts += [f"{lead} 040 {3000000 + i} {tail}" for i in range(6) for lead, tail in (("his desk line is", "always"), ("you may try number", "first"))]
+    texts += [f"write me under a{i}@x.org please" for i in range(9)]
+    texts += ["you may try number 050 4000000 first", "please call me at jane@x.org 060 5000000 today", "write me under jane[at]example.org please", "write me under Joe(AT)example.org please"]
+    spans = [r.spans for r in pii.report(documents(spark, texts).where("doc_id is not null")).orderBy("doc_id").collect()]
+    place = lambda text, kind, hit: f"{kind}:{text.index(hit)}:{text.index(hit) + len(hit)}"
+    want = [(("phone", "050 4000000"),), (("email", "jane@x.org"), ("phone", "060 5000000")), (("email", "jane[at]example.org"),), (("email", "Joe(AT)example.org"),)]
+    assert spans[-4:] == [",".join(place(t, *w) for w in ws) for t, ws in zip(texts[-4:], want)]
+
+
 # -- 5 exact duplicates -------------------------------------------------------
 
 
