@@ -44,3 +44,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """
     weight = F.length(F.col(key).cast("string"))
     return left.withColumn("__w", weight).join(right.withColumn("__w", weight), [key, "__w"], how).drop("__w")
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a value's ASCII text, bit by bit; null stays null."""
+    codes = f"list_transform(string_split({value}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    shift = "lambda r, z: xor(r >> 1, (r & 1) * 3988292384::BIGINT)"
+    byte = f"lambda a, c: list_reduce(list_prepend(xor(a, c), list_resize([]::BIGINT[], 8, 0)), {shift})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}), 4294967295::BIGINT)"
