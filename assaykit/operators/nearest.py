@@ -6,18 +6,16 @@ what is left to choose is how the two sides meet. Sizes are measured first:
 ``stream_pool``     the queries fit a bounded broadcast; the pool is scanned once,
                     never shuffled, and each task keeps a running top-k.
 ``stream_queries``  the pool fits; every query is answered where it lies, no merge.
-``grid``            neither fits; both sides are cut into hash blocks of bounded
-                    size, each block pair is one task, and block winners are merged.
+``rounds``          neither fits; the smaller side is broadcast chunk by chunk, the
+                    larger one streamed where it is stored (``operators.rounds``).
 
 No plan emits pairs: a task hands on at most k rows per (query, class).
-Similarities are compared after rounding to nine decimals, then by smaller pool id,
-so equal vectors tie exactly however the product was blocked.
+Sizes count ids with their text length. Ties: ``operators.topk``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,101 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 16384
-BLOCK_BYTES = 32 << 20
-_CHUNK_CELLS = 1 << 22  # similarities held at once
-_SCALE = 1e9
-_POS_BITS = 20
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    if column.null_count:
-        raise ValueError("null vector")
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) != len(column) * dim:
-        raise ValueError(f"vectors must all have {dim} elements")
-    if not np.isfinite(flat).all():
-        raise ValueError("vectors must be finite")
-    return flat.reshape(len(column), dim).astype(np.float64)
-
-
-def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    values = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
-    return values.astype(str) if values.dtype == object else values
+from assaykit.operators.rounds import in_rounds
+from assaykit.operators.topk import BLOCK_ROWS, Running, ids_of, matrix
 
-
-def _best(q: np.ndarray, p: np.ndarray, pid: np.ndarray, m: int, own: np.ndarray | None = None):
-    """Top-m columns per query row: (rounded similarity, id), best first.
-
-    ``pid`` must be ascending. Similarity and position are packed into one integer so
-    that a partial sort settles ties by the smaller id. Missing places are -inf, and
-    so is a pool row whose id equals the query's entry in ``own``.
-    """
-    width = min(m, len(pid))
-    sims = np.full((len(q), m), -np.inf)
-    ids = np.empty((len(q), m), dtype=pid.dtype)
-    if width == 0:
-        return sims, ids
-    step = max(1, _CHUNK_CELLS // len(pid))
-    place = (1 << _POS_BITS) - 1 - np.arange(len(pid), dtype=np.int64)
-    for at in range(0, len(q), step):
-        s = np.rint(q[at : at + step] @ p.T * _SCALE)
-        if np.abs(s).max(initial=0.0) >= 2 ** (62 - _POS_BITS):
-            raise ValueError("vectors must be normalised")
-        packed = (s.astype(np.int64) << _POS_BITS) | place
-        if own is not None:
-            allowed = own[at : at + step, None] != pid[None, :]
-            packed = np.where(allowed, packed, np.iinfo(np.int64).min + 1)
-        top = np.argpartition(-packed, width - 1, axis=1)[:, :width] if width < len(pid) else np.broadcast_to(np.arange(len(pid)), packed.shape)
-        order = np.argsort(-np.take_along_axis(packed, top, 1), axis=1)
-        top = np.take_along_axis(top, order, 1)
-        found = np.take_along_axis(s, top, 1) / _SCALE
-        if own is not None:
-            found = np.where(np.take_along_axis(allowed, top, 1), found, -np.inf)
-        sims[at : at + step, :width] = found
-        ids[at : at + step, :width] = pid[top]
-    return sims, ids
-
-
-def _merge(a, b, m: int):
-    sims, ids = np.hstack([a[0], b[0]]), np.hstack([a[1], b[1]])
-    order = np.lexsort((ids, -sims), axis=1)[:, :m]
-    return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
-
-
-class _Running:
-    """Top-m so far for a fixed set of queries, one table per class."""
-
-    def __init__(self, qid: np.ndarray, q: np.ndarray, m: int, exclude_self: bool):
-        self.qid, self.q, self.m, self.exclude_self = qid, q, m, exclude_self
-        self.best: dict[object, tuple[np.ndarray, np.ndarray]] = {}
-
-    def add(self, pid: np.ndarray, p: np.ndarray, cls: np.ndarray | None) -> None:
-        for c in [None] if cls is None else np.unique(cls):
-            rows = np.arange(len(pid)) if c is None else np.flatnonzero(cls == c)
-            rows = rows[np.argsort(pid[rows], kind="stable")]
-            for at in range(0, len(rows), BLOCK_ROWS):
-                part = rows[at : at + BLOCK_ROWS]
-                own = self.qid if self.exclude_self else None
-                found = _best(self.q, p[part], pid[part], self.m, own)
-                self.best[c] = _merge(self.best[c], found, self.m) if c in self.best else found
-
-    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for c, (sims, ids) in self.best.items():
-            step = max(1, 65536 // self.m)
-            for at in range(0, len(self.qid), step):
-                keep = np.isfinite(sims[at : at + step])
-                qid = np.repeat(self.qid[at : at + step], self.m).reshape(keep.shape)[keep]
-                columns = [qid, ids[at : at + step][keep], sims[at : at + step][keep]]
-                if len(schema) == 4:
-                    columns.append(np.full(len(qid), c))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v.tolist() if v.dtype.kind == "U" else v, type=f.type) for v, f in zip(columns, schema)],
-                    schema=schema,
-                )
+BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:
@@ -129,6 +37,13 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     return types[t]
 
 
+def _measured(df: DataFrame, key: str) -> tuple[int, int]:
+    """Rows, and the bytes of their ids beyond a number's; only the id column is read."""
+    length = F.octet_length(key) if isinstance(df.schema[key].dataType, T.StringType) else F.lit(0)
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(length.cast("long")), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"]
+
+
 def nearest(
     queries: DataFrame,
     pool: DataFrame,
@@ -142,13 +57,18 @@ def nearest(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int | None = None,
     dim: int | None = None,
+    chunk_bytes: int | None = None,
+    prune: bool = True,
+    on_round: Callable[[int, int, int], None] | None = None,
 ) -> DataFrame:
     """The ``k`` most similar pool rows per query — per (query, ``by``) when given.
 
     Columns: query_id, pool_id, sim, rank [, by]; rank 1 is the nearest. A pool smaller
     than k gives all of it. ``exclude_self`` skips a pool row with the query's own id.
-    ``dim`` saves looking at a row when the vectors are computed, not stored; a block of
-    the grid holds ``block_rows`` rows, by default about ``BLOCK_BYTES``.
+    ``dim`` saves looking at a row when the vectors are computed, not stored. In rounds, which
+    run at once, a block holds about ``block_rows`` rows (by default ``BLOCK_BYTES``), a chunk
+    ``chunk_bytes`` (by default ``broadcast_bytes``); ``prune`` only changes what is read, and
+    ``on_round`` is told (round, blocks read, blocks there are).
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -158,17 +78,17 @@ def nearest(
         raise TypeError("exclude_self needs ids of one type")
     spark = q.sparkSession
     # counting prunes the vector column; lengths are read off one row and checked in the tasks
-    n_q, n_p = q.count(), p.count()
+    (n_q, ids_q), (n_p, ids_p) = (_measured(df, c) for df, c in ((q, query_id), (p, pool_id)))
     if dim is None:
         firsts = (df.select(F.size(vector)).first() for df in (q, p))
         dims = {row[0] for row in firsts if row is not None}
         if len(dims) > 1:
             raise ValueError(f"vectors differ in length: {sorted(dims)}")
         dim = dims.pop() if dims else 0
-    bytes_q, bytes_p = (n * (dim * 8 + 64) for n in (n_q, n_p))
+    bytes_q, bytes_p = (n * (dim * 8 + 64) + ids for n, ids in ((n_q, ids_q), (n_p, ids_p)))
     if strategy is None:
         if min(bytes_q, bytes_p) > broadcast_bytes:
-            strategy = "grid"
+            strategy = "rounds"
         else:
             strategy = "stream_pool" if bytes_q <= bytes_p else "stream_queries"
 
@@ -184,17 +104,17 @@ def nearest(
     )
 
     def classes(table: pa.Table | pa.RecordBatch) -> np.ndarray | None:
-        return _ids(table.column(2)) if by else None
+        return ids_of(table.column(2)) if by else None
 
     if strategy == "stream_pool":
         small = q.toArrow()
-        held = spark.sparkContext.broadcast((_ids(small.column(0)), _matrix(small.column(1), dim) if len(small) else np.empty((0, dim))))
+        held = spark.sparkContext.broadcast((ids_of(small.column(0)), matrix(small.column(1), dim) if len(small) else np.empty((0, dim))))
 
         def scan_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            running = _Running(*held.value, k, exclude_self)
+            running = Running(*held.value, k, exclude_self)
             for b in batches:
                 if b.num_rows:
-                    running.add(_ids(b.column(0)), _matrix(b.column(1), dim), classes(b))
+                    running.add(ids_of(b.column(0)), matrix(b.column(1), dim), classes(b))
             yield from running.batches(arrow)
 
         found = p.mapInArrow(scan_pool, schema)
@@ -202,8 +122,8 @@ def nearest(
         small = p.toArrow()
         held = spark.sparkContext.broadcast(
             (
-                _ids(small.column(0)),
-                _matrix(small.column(1), dim) if len(small) else np.empty((0, dim)),
+                ids_of(small.column(0)),
+                matrix(small.column(1), dim) if len(small) else np.empty((0, dim)),
                 classes(small),
             )
         )
@@ -211,32 +131,17 @@ def nearest(
         def scan_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    running = _Running(_ids(b.column(0)), _matrix(b.column(1), dim), k, exclude_self)
+                    running = Running(ids_of(b.column(0)), matrix(b.column(1), dim), k, exclude_self)
                     running.add(*held.value)
                     yield from running.batches(arrow)
 
         found = q.mapInArrow(scan_queries, schema)
-    elif strategy == "grid":
-        block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (dim * 8 + 64)))
-        nq, np_ = (max(1, math.ceil(n / block_rows)) for n in (n_q, n_p))
-
-        def block(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-            return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-                other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-            )
-
-        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return arrow.empty_table()
-            running = _Running(_ids(left.column(query_id)), _matrix(left.column(vector), dim), k, exclude_self)
-            running.add(
-                _ids(right.column(pool_id)), _matrix(right.column(vector), dim), _ids(right.column(by)) if by else None
-            )
-            return pa.Table.from_batches(list(running.batches(arrow)), schema=arrow)
-
-        qb = block(q, query_id, "__qb", nq, "__pb", np_)
-        pb = block(p, pool_id, "__pb", np_, "__qb", nq)
-        found = qb.groupBy("__qb", "__pb").cogroup(pb.groupBy("__qb", "__pb")).applyInArrow(pair, schema)
+    elif strategy == "rounds":
+        rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (dim * 8 + 64)))
+        if n_q and n_p:
+            found = in_rounds(q, p, k, query_id, pool_id, vector, by, exclude_self, dim, (n_q, n_p), schema, arrow, rows, chunk_bytes or broadcast_bytes, prune, on_round)
+        else:
+            found = spark.createDataFrame([], schema)
     else:
         raise ValueError(f"unknown strategy: {strategy!r}")
 

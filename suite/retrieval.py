@@ -63,9 +63,9 @@ def topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("topk_cosine_grid", f"WITH {TOP} SELECT query_id, pool_id, sim, rank FROM top")
 def topk_cosine_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by block pairs, the plan for two sides that are both too large to broadcast."""
+    """The same in rounds, the plan for two sides that are both too large to broadcast."""
     v = vectors(spark, sf)
-    found = nearest(queries_of(v), pool_of(v), K, exclude_self=True, strategy="grid", block_rows=200)
+    found = nearest(queries_of(v), pool_of(v), K, exclude_self=True, strategy="rounds", block_rows=200, chunk_bytes=200_000)
     return found
 
 

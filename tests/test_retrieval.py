@@ -37,7 +37,7 @@ def lists(df):
     return got
 
 
-STRATEGIES = ["stream_pool", "stream_queries", "grid"]
+STRATEGIES = ["stream_pool", "stream_queries", "rounds"]
 
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
@@ -75,8 +75,42 @@ def test_default_strategy_respects_the_broadcast_limit(spark):
     rng = np.random.default_rng(4)
     q, p = unit(rng, 30), unit(rng, 40)
     qs, ps = frames(spark, q, p)
-    assert "FlatMapCoGroups" in nearest(qs, ps, 3, broadcast_bytes=100)._jdf.queryExecution().toString()
-    assert lists(nearest(qs, ps, 3, broadcast_bytes=100, block_rows=7)) == lists(nearest(qs, ps, 3)) == brute(q, p, 3)
+    seen = []
+    got = nearest(qs, ps, 3, broadcast_bytes=100, block_rows=7, on_round=lambda *x: seen.append(x))
+    assert len(seen) > 1 and lists(got) == lists(nearest(qs, ps, 3)) == brute(q, p, 3)
+    # what is left to do at the end is to rank winners: no vector is read again, none was copied
+    plan = got._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "embedding" not in plan
+
+
+def clustered(rng, n, clusters, dim=16):
+    centre = rng.normal(size=(clusters, dim))
+    v = centre[rng.integers(0, clusters, n)] + rng.normal(size=(n, dim)) * 0.02
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("n_q,n_p", [(90, 400), (400, 90)])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_pruned_rounds_read_less_and_find_the_same(spark, n_q, n_p, exclude_self):
+    rng = np.random.default_rng(8)
+    both = clustered(rng, n_q + n_p, 8)
+    q, p = both[:n_q], both[n_q:]
+    qs, ps = frames(spark, q, p)
+    read = {True: [], False: []}
+    for prune in read:
+        got = nearest(qs, ps, 4, exclude_self=exclude_self, strategy="rounds", block_rows=15, chunk_bytes=3000, prune=prune, on_round=lambda *x: read[prune].append(x[1:]))
+        assert lists(got) == brute(q, p, 4, skip_self=exclude_self)
+    assert sum(n for n, _ in read[True]) < sum(n for n, _ in read[False])
+
+
+def test_rounds_on_vectors_of_any_length(spark):
+    rng = np.random.default_rng(9)
+    q, p = rng.normal(size=(40, 8)) * rng.uniform(0, 3, (40, 1)), rng.normal(size=(70, 8)) * rng.uniform(0, 3, (70, 1))
+    p[5] = p[6] = 0
+    q[3] = 0
+    qs, ps = frames(spark, q.astype("float32").astype(float), p.astype("float32").astype(float))
+    want = lists(nearest(qs, ps, 5, strategy="stream_pool"))
+    assert lists(nearest(qs, ps, 5, strategy="rounds", block_rows=6, chunk_bytes=900)) == want
 
 
 def test_bad_input(spark):
