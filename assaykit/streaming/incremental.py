@@ -1,63 +1,99 @@
-"""Incremental answer scoring: new answer files are parsed once and appended per run."""
+"""Incremental answer scoring: new answer files are parsed once and appended per run.
+
+What has been answered is keyed state: one flag for each (run, image_file) in Spark's state store. A micro-batch looks up its own
+keys and writes their new records; it never reads the sink, so its cost does not grow with what the sink holds. State
+and offsets are versioned together by the checkpoint, and the sink lists the files of each batch in its own log, so a
+batch that is run again, after a lost driver too, finds the state as it was before and adds nothing twice.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assaykit import schemas
-from assaykit.functions.answers import parse
 from assaykit.fixed_values import SUBTYPES
-from assaykit.operators.keys import unique_by
-from assaykit.sources.results import INGEST, ingest_place, read_runs
+from assaykit.functions.answers import parse
+from assaykit.sources.results import INGEST, ingest_place
+
+KEYS = ["run", "image_file"]
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def answer_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Answers as they arrive, each with the place it was read from."""
+    """Answers as they arrive, each with the place it was read from and its ``line`` among those of its task."""
     stream = spark.readStream.schema(schemas.ANSWERS).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    return stream.withColumn(INGEST, F.struct(*ingest_place()))
+    placed = stream.withColumn(INGEST, F.struct(*ingest_place()))
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            line = pa.array(np.arange(seen, seen + b.num_rows))
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, line], [*b.schema.names, "line"])
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    return placed.mapInArrow(numbered, T.StructType([*placed.schema.fields, T.StructField("line", T.LongType())]))
 
 
-def _stored_keys(spark: SparkSession, sink: str, batch: DataFrame) -> DataFrame | None:
-    """Keys in the sink for the batch's runs; None before anything is written."""
-    if not _exists(spark, sink):
-        return None
-    runs = batch.select("run").distinct()
-    return read_runs(spark, sink).select("run", "image_file").join(runs, "run", "left_semi")
+def _settle(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last answer of a new key by ingest order; nothing for a key that is settled."""
+    if state.exists:
+        return
+    best, place = None, None
+    for pdf in rows:
+        order = list(zip(pdf["time"], pdf["file"], pdf["block"], pdf["line"]))
+        at = max(range(len(order)), key=order.__getitem__)
+        if place is None or order[at] > place:
+            best, place = pdf.iloc[[at]], order[at]
+    state.update((True,))
+    yield best.drop(columns=["time", "file", "block", "line"])
 
 
-def append_new(spark: SparkSession, batch: DataFrame, sink: str) -> None:
-    """Parse and append the records whose (run, image_file) the sink does not hold.
+def new_answers(stream: DataFrame) -> DataFrame:
+    """One answer for each (run, image_file) that comes for the first time; later batches never change it."""
+    known = stream.filter(F.col("image_file").isNotNull() & F.col("run").isNotNull())
+    flat = known.select(*KEYS, *[c for c in schemas.ANSWERS.names if c not in KEYS], *[F.col(f"{INGEST}.{c}").alias(c) for c in ("time", "file", "block")], "line")
+    out = T.StructType([flat.schema[c] for c in flat.columns if c not in ("time", "file", "block", "line")])
+    return flat.groupBy(*KEYS).applyInPandasWithState(_settle, out, "settled boolean", "append", GroupStateTimeout.NoTimeout)
 
-    Inside a batch the last answer by ingest order counts; a key that the sink holds is settled, so running a
-    batch again adds nothing and a retry after a lost driver is safe. Any error but a missing sink rises.
-    """
-    keys = ["run", "image_file"]
-    place = [F.col(INGEST)] if INGEST in batch.columns else []
-    known = batch.filter(F.col("image_file").isNotNull()).withColumn("__order", F.struct(*place, F.monotonically_increasing_id().alias("line")))
-    fresh = unique_by(known, keys, "last", "__order").drop("__order", INGEST)
-    stored = _stored_keys(spark, sink, batch)
-    if stored is not None:
-        fresh = fresh.join(stored, keys, "left_anti")
-    records = parse(fresh, "raw_text").withColumnRenamed("any_hem", "pred_any_hem")
-    for k in SUBTYPES:
-        records = records.withColumnRenamed(k, f"pred_{k}")
-    records.write.mode("append").partitionBy("run").parquet(sink)
+
+def records(answers: DataFrame) -> DataFrame:
+    """Parsed records with their predictions named as in a result log."""
+    parsed = parse(answers, "raw_text")
+    return parsed.withColumnsRenamed({"any_hem": "pred_any_hem", **{k: f"pred_{k}" for k in SUBTYPES}})
 
 
 def score_incrementally(
     spark: SparkSession, source: str, sink: str, checkpoint: str, available_now: bool = True, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Start the job; with ``available_now`` it ends after the files present at start."""
-    writer = (
-        answer_stream(spark, source, files_per_batch)
-        .writeStream.foreachBatch(lambda batch, _: append_new(batch.sparkSession, batch, sink))
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    """Start the job; with ``available_now`` it ends after the files present at start.
+
+    Inside a micro-batch the last answer by ingest order counts; a key that came in an earlier one is settled. Answers without a
+    run or an image are left out. The state store is RocksDB, which keeps keys on disk.
+    """
+    held = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        writer = (
+            records(new_answers(answer_stream(spark, source, files_per_batch)))
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .partitionBy("run")
+            .option("path", sink)
+            .option("checkpointLocation", checkpoint)
+        )
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        if held is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, held)

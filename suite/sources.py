@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
-from assaykit.operators.scoring import resume_scoring
+from assaykit.operators.splits import todo
 from assaykit.plans.scoring import two_stage_run
+from assaykit.plans.waves import score_in_waves
 from assaykit.session import shared_folder
 from assaykit.sources import images as I
 from assaykit.sources import labels as L
@@ -157,17 +161,35 @@ _SCORED = f"WITH {PARSED} SELECT image_file, any_hem AS pred_any_hem, {', '.join
     oracle(_SCORED.replace("WHERE run = 'image'", "WHERE run = 'image' AND image_file IN (SELECT image_file FROM {results} WHERE run = 'base' AND NOT parsed)")),
 )
 def resumable_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Only images without a result reach the scoring function (here: it returns the stored answer)."""
+    """Three waves, of which the second fails; the job is called again and asks only what is left.
+
+    The scoring function returns the stored answer. Called again, it refuses images of the wave that is done.
+    """
     work = table(spark, sf, "answers").filter(F.col("run") == "image").withColumnRenamed("raw_text", "stored").drop("gen_seconds", "n_tokens")
     done = table(spark, sf, "results").filter((F.col("run") == "base") & F.col("parsed"))
-
-    def make_model():
-        def answer(batch):
-            return batch[["stored"]].rename(columns={"stored": "raw_text"}).assign(n_tokens=batch["stored"].str.len() // 4)
-
-        return answer
-
-    out = resume_scoring(work, done, make_model, "image")
+    left = todo(work, done)
+    waves, folder = 3, fresh(spark, "waves")
+    size = math.ceil(left.count() / waves)
+
+    def make_model(broken: int | None, settled: int | None):
+        def make():
+            def answer(batch):
+                wave = [int(hashlib.md5(f"image|{k}".encode()).hexdigest()[:3], 16) % waves for k in batch["image_file"]]
+                if broken in wave:
+                    raise RuntimeError("the model is gone")
+                if settled in wave:
+                    raise AssertionError("asked again for a wave that was done")
+                return batch[["stored"]].rename(columns={"stored": "raw_text"}).assign(n_tokens=batch["stored"].str.len() // 4)
+
+            return answer
+
+        return make
+
+    try:
+        score_in_waves(left, make_model(1, None), "image", folder, wave_rows=size)
+    except PythonException:
+        pass
+    out = score_in_waves(left, make_model(None, 0), "image", folder, wave_rows=size)
     return out.select("image_file", "pred_any_hem", *[f"pred_{k}" for k in LABELS], "refused", "parsed", "method")
 
 

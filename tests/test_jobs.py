@@ -16,7 +16,8 @@ from assaykit.operators.text import encode
 from assaykit.plans.evaluation import retrieval_decision
 from assaykit.plans.runs import RunSpec, experiment_grid, resolve_mode
 from assaykit.session import cut_lineage, shared_folder
-from assaykit.streaming.incremental import append_new, score_incrementally
+from assaykit.plans.waves import WaveLog, score_in_waves
+from assaykit.streaming.incremental import score_incrementally
 
 KB = [
     ("EDH", "lens shaped collection between skull and dura"),
@@ -189,12 +190,91 @@ def test_stream_adds_each_key_once(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 4
 
 
+def test_last_answer_of_a_batch_counts_and_earlier_batches_are_settled(spark, tmp_path):
+    src, sink, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    yes, no = "HEMORRHAGE: yes\nSUBTYPES: IPH", "HEMORRHAGE: no"
+    write_answers(src, "1.json", [("r", f"i{i}", no) for i in range(50)] + [("r", f"i{i}", yes) for i in range(0, 50, 2)] + [("r", None, yes)])
+    score_incrementally(spark, str(src), sink, state).awaitTermination()
+    write_answers(src, "2.json", [("r", f"i{i}", yes) for i in range(60)])
+    score_incrementally(spark, str(src), sink, state).awaitTermination()
+    got = {r.image_file: r.pred_any_hem for r in spark.read.parquet(sink).collect()}
+    assert got == {f"i{i}": int(i % 2 == 0 or i >= 50) for i in range(60)}
+
+
+def test_batches_never_read_the_sink(spark, tmp_path):
+    src, sink, state = tmp_path / "in", tmp_path / "out", str(tmp_path / "state")
+    write_answers(src, "1.json", [("r", f"i{i}", "HEMORRHAGE: no") for i in range(200)])
+    score_incrementally(spark, str(src), str(sink), state).awaitTermination()
+    for f in sink.rglob("*.parquet"):
+        f.write_bytes(b"not readable")  # whoever reads what is stored fails
+    for batch in range(2, 5):
+        write_answers(src, f"{batch}.json", [("r", "i7", "HEMORRHAGE: yes"), ("r", f"new{batch}", "HEMORRHAGE: yes")])
+        job = score_incrementally(spark, str(src), str(sink), state)
+        job.awaitTermination()
+        assert sum(p["numInputRows"] for p in job.recentProgress) == 2
+    assert {f.name for f in sink.iterdir()} >= {"run=r", "_spark_metadata"}
+
+
 def test_a_repeated_batch_adds_nothing(spark, tmp_path):
-    sink = str(tmp_path / "out")
-    batch = spark.createDataFrame([("r", "a", "HEMORRHAGE: no", 1.0, 2)], "run string, image_file string, raw_text string, gen_seconds double, n_tokens int")
-    append_new(spark, batch, sink)
-    append_new(spark, batch, sink)
-    assert spark.read.parquet(sink).count() == 1
+    src, sink, state = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    write_answers(src, "1.json", [("r", "a", "HEMORRHAGE: no"), ("r", "b", "HEMORRHAGE: no")])
+    score_incrementally(spark, str(src), sink, str(state)).awaitTermination()
+    # a driver lost after the batch was written, before it was marked as done
+    for f in [*(state / "commits").glob("[0-9]*"), *(state / "commits").glob(".[0-9]*")]:
+        f.unlink()
+    score_incrementally(spark, str(src), sink, str(state)).awaitTermination()
+    assert sorted(r.image_file for r in spark.read.parquet(sink).collect()) == ["a", "b"]
+
+
+# -- waves --------------------------------------------------------------------
+
+
+def counting_model(folder, broken=()):
+    def make():
+        def answer(batch):
+            for k in batch["image_file"]:
+                if k in broken:
+                    raise RuntimeError("gone")
+                with open(f"{folder}/asked", "a") as f:
+                    f.write(f"{k}\n")
+            return pd.DataFrame({"raw_text": ["HEMORRHAGE: yes\nSUBTYPES: SDH"] * len(batch), "n_tokens": 7})
+
+        return answer
+
+    return make
+
+
+def test_waves_keep_what_is_committed(spark, tmp_path):
+    names = [f"img{i}" for i in range(40)]
+    m, log = manifest(spark, names), str(tmp_path / "run")
+    with pytest.raises(Exception, match="gone"):
+        score_in_waves(m, counting_model(tmp_path, broken={"img11"}), "r", log, wave_rows=10)
+    held = WaveLog(spark, log)
+    kept = {r.image_file for r in held.records().collect()} if held.records() else set()
+    assert len(held.entries()) < 4 and "img11" not in kept
+    (tmp_path / "asked").write_text("")
+    committed = []
+    got = score_in_waves(m, counting_model(tmp_path), "r", log, wave_rows=7, on_commit=committed.append)
+    assert sorted(r.image_file for r in got.collect()) == sorted(names)
+    assert not kept & set((tmp_path / "asked").read_text().split())
+    assert sum(e["rows"] for e in committed) == 40 - len(kept)
+    # a longer manifest asks for the new images only; nothing left asks for none
+    (tmp_path / "asked").write_text("")
+    more = score_in_waves(manifest(spark, [*names, "new"]), counting_model(tmp_path), "r", log)
+    assert more.count() == 41 and (tmp_path / "asked").read_text().split() == ["new"]
+    assert score_in_waves(m.limit(0), counting_model(tmp_path), "r", str(tmp_path / "none")).count() == 0
+
+
+def test_a_lost_attempt_is_not_read_and_records_are_not_overwritten(spark, tmp_path):
+    log = WaveLog(spark, str(tmp_path))
+    spark.range(3).write.parquet(str(tmp_path / "attempt-lost"))
+    assert log.records() is None and log.entries() == []
+    spark.range(2).write.parquet(str(tmp_path / "attempt-a"))
+    log.commit("attempt-a", 2, 0)
+    assert log.records().count() == 2 and log.entries() == [{"number": 0, "attempt": "attempt-a", "rows": 2}]
+    with pytest.raises(RuntimeError, match="another job"):
+        log.commit("attempt-lost", 3, 0)
+    assert log.records().count() == 2
 
 
 # -- whole scoring runs -------------------------------------------------------
