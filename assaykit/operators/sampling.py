@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
 from assaykit.functions.keyed import draw_indices
+from assaykit.functions.labels import present_array
 from assaykit.operators.ordering import dense_index, smallest_by_hash, take_by_hash, with_hash_order
+from assaykit.operators.stratify import long_list_sample
 from assaykit.session import cut_lineage
 
+SHORT_LIST = 12
 _BIG = "decimal(38,0)"
 
 
@@ -48,8 +51,13 @@ def combination_quotas(
 def multilabel_sample(
     df: DataFrame, n: int, labels: Sequence[str], keys: Sequence[str], seed: int | str = 42
 ) -> DataFrame:
-    """``n`` rows with the label-combination shares of the input."""
+    """``n`` rows with the label-combination shares of the input.
+
+    Up to SHORT_LIST labels every combination has its quota; a longer list keeps the shares of labels and of pairs.
+    """
     labels = list(labels)
+    if len(labels) > SHORT_LIST:
+        return long_list_sample(df, n, present_array(labels), keys, seed)
     return take_by_hash(
         df, lambda combos: combination_quotas(combos, labels, F.lit(n)), labels, keys, seed, max_strata=2 ** len(labels)
     )

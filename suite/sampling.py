@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.operators import sampling as S
+from assaykit.operators.stratify import long_list_sample as long_list
 from suite import register
 from suite.derived import LABELS, oracle, spark_sql, table
 
@@ -40,6 +41,21 @@ def multilabel_sample(spark: SparkSession, sf: str) -> DataFrame:
     return S.multilabel_sample(pop, 3000, LABELS, ["image_id"]).select("image_id", *LABELS)
 
 
+# Orders as images, and the parts in them as up to 300 labels; nearly every order has a combination of its own.
+_MARKED = "SELECT l_orderkey, array_sort(collect_set(concat('p', cast(l_partkey % 300 AS string)))) AS marks FROM {lineitem} GROUP BY l_orderkey"
+
+
+@register("long_list_sample")
+def long_list_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A tenth of all orders with the shares of 300 labels and their pairs: per label its rows, those taken, and the deviation."""
+    rows = spark_sql(spark, sf, _MARKED)
+    n = rows.count() // 10
+    taken = long_list(rows, n, "marks", ["l_orderkey"]).select(F.explode("marks").alias("label"), F.lit(1).alias("taken"))
+    every = rows.select(F.explode("marks").alias("label"), F.lit(0).alias("taken")).unionByName(taken)
+    counts = every.groupBy("label").agg(F.count_if(F.col("taken") == 0).alias("n"), F.sum("taken").alias("taken"))
+    return counts.withColumn("deviation", F.round(F.col("taken") - F.col("n") * n / rows.count(), 6))
+
+
 def _enriched_sql(n: int, frac: float, topup: bool) -> str:
     want = round(n * frac)
     if topup:

@@ -1,12 +1,16 @@
 import hashlib
 import itertools
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assaykit.operators import sampling as S
 from assaykit.operators import splits as P
 from assaykit.operators.ordering import dense_index
+from assaykit.operators.sampling import multilabel_sample
+from assaykit.operators.stratify import long_list_sample
 from assaykit.sources.labels import parse_listing
 
 LABELS = ["IPH", "IVH"]
@@ -161,3 +165,48 @@ def test_overlap_counts(spark):
     a = spark.createDataFrame([(1, "p"), (2, "p")], "image int, patient string")
     b = spark.createDataFrame([(3, "p"), (4, "q")], "image int, patient string")
     assert {tuple(r) for r in P.overlap_counts(a, b, ["image", "patient"]).collect()} == {("image", 2, 2, 0), ("patient", 1, 2, 1)}
+
+
+# -- long label lists ---------------------------------------------------------
+
+
+def sparse_rows(spark, n=3000, labels=300, most=3):
+    rng = np.random.default_rng(0)
+    w = 1 / np.arange(1, labels + 1) ** 0.8
+    rows = [(i, [f"l{x}" for x in rng.choice(labels, rng.integers(0, most + 1), replace=False, p=w / w.sum())]) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, marks array<string>")
+
+
+def deviations(rows, taken, n):
+    """Rows away from the share, of the whole, each label and each pair."""
+    off = {}
+    for i, marks in rows:
+        m = sorted(marks)
+        for key in [(), *((a,) for a in m), *combinations(m, 2)]:
+            off[key] = off.get(key, 0.0) + (i in taken) - n / len(rows)
+    return off
+
+
+def test_long_list_keeps_labels_and_pairs(spark):
+    rows, df = sparse_rows(spark)
+    got = [r.id for r in long_list_sample(df, 300, "marks", ["id"]).collect()]
+    assert len(got) == len(set(got)) == 300
+    off = deviations(rows, set(got), 300)
+    labels, pairs = ([abs(v) for k, v in off.items() if len(k) == m] for m in (1, 2))
+    assert len(labels) > 280 and max(labels) < 1.5 and sum(v >= 1 for v in labels) <= 3
+    assert max(pairs) < 2 and sum(v >= 1 for v in pairs) < 0.01 * len(pairs)
+    assert sorted(r.id for r in long_list_sample(df.repartition(5), 300, "marks", ["id"]).collect()) == sorted(got)
+
+
+def test_long_list_in_blocks_and_edge_cases(spark):
+    rows, df = sparse_rows(spark, 1500)
+    got = [r.id for r in long_list_sample(df, 450, "marks", ["id"], block=300).collect()]
+    assert abs(len(got) - 450) <= 3
+    off = deviations(rows, set(got), 450)
+    assert np.mean([abs(v) for k, v in off.items() if len(k) == 1]) < 1
+    assert long_list_sample(df, 10_000, "marks", ["id"]).count() == 1500
+    assert long_list_sample(df.limit(0), 10, "marks", ["id"]).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, ["a", None, "a"]), (4, ["a"])], "id long, marks array<string>")
+    assert long_list_sample(odd, 2, "marks", ["id"]).count() == 2
+    flags = spark.range(400).select("id", *[((F.col("id") % (i + 2)) == 0).cast("int").alias(f"f{i}") for i in range(20)])
+    assert multilabel_sample(flags, 40, [f"f{i}" for i in range(20)], ["id"]).count() == 40
