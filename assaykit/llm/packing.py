@@ -15,7 +15,9 @@ by row number; an empty table gives an empty result; other columns are not looke
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ CAPACITY, END = 4096, 1
 GROUP, ISLANDS, EPOCHS, POPULATION, CROSSINGS = 2000, 2, 2, 4, 6
 SPARE = 48  # a bin with at most so many free tokens is well filled
 GAIN = 0.01  # a level that leaves most pieces open must save this share of their bins for another one to follow
-CACHE = 300_000  # words a worker remembers
+CACHE = 150_000  # words of a generation; a worker remembers two
 
 # How the tokenizer file splits a normalised text. Words between white space are split alone.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -48,23 +50,29 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Words are encoded once and remembered, up to CACHE of them."""
+    """Token ids as little-endian bytes. Words are remembered for two generations: those that come again outlive the others."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.split, self.plain = regex.compile(SPLIT), regex.compile(PLAIN)
+        self.split, self.plain = regex.compile(SPLIT), re.compile(PLAIN)
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        if piece not in self.pieces:
-            tokens = self.whole.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return self.pieces[piece]
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                tokens = self.whole.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+                ids = array("I", [t.id for t in tokens]).tobytes()
+            self.pieces[piece] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
@@ -77,14 +85,22 @@ class Encoder:
         if "<|" in text or not self.plain.fullmatch(text):
             ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
             return np.array(ids, "<u4").tobytes()
-        for kept in (self.words, self.pieces):
-            if len(kept) > CACHE:
-                kept.clear()
+        if len(self.words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        if len(self.pieces) > CACHE:
+            self.old_pieces, self.pieces = self.pieces, {}
         words = text.lower().split()
         found = list(map(self.words.get, words))
         if None in found:
-            self.words.update((w, self._word(w)) for w in set(words).difference(self.words))
-            found = map(self.words.__getitem__, words)
+            held, old = self.words, self.old_words
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = held.get(w)  # the same word, earlier in this text
+                    if ids is None:
+                        ids = old.get(w)
+                        ids = held[w] = self._word(w) if ids is None else ids
+                    found[i] = ids
         return b"".join(found)
 
 

@@ -55,8 +55,13 @@ def dechunked(framed: bytes) -> bytes:
         at += size + 2
 
 
+def _named(sha1: bytes) -> str:
+    """A digest as headers name it."""
+    return "sha1:" + base64.b32encode(sha1).decode()
+
+
 def _digest(payload: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return _named(hashlib.sha1(payload).digest())
 
 
 def record(kind: str, name: str, block: bytes, **fields: str) -> bytes:
@@ -145,82 +150,103 @@ def _page_of(head: dict[str, str]) -> int | None:
     return int(head["X-Page"]) if head["X-Page"] else None
 
 
-def _payload(head: dict[str, str], block: bytes) -> bytes:
+def _payload(head: dict[str, str], block: bytes) -> tuple[bytes, str]:
+    """The payload of a whole record, checked against its header, and its SHA-1 in hex."""
     http, _, body = block.partition(b"\r\n\r\n")
     payload = dechunked(body) if b"transfer-encoding: chunked" in http.lower() else body
-    if _digest(payload) != head["WARC-Payload-Digest"]:
+    sha1 = hashlib.sha1(payload)
+    if _named(sha1.digest()) != head["WARC-Payload-Digest"]:
         raise ValueError(f"{head['WARC-Record-ID']}: the payload is not the one that was archived")
-    return payload
+    return payload, sha1.hexdigest()
 
 
-_READ = "name string, page_id long, record_type string, refers_to string, payload binary, origin string, segment int, total long, block binary, digest string"
+_WHOLE = "name string, page_id long, record_type string, refers_to string, bytes long, sha1 string, payload binary"
+_SEGMENT = "origin string, segment int, total long, block binary, digest string"
+_READ = f"{_WHOLE}, {_SEGMENT}"
 _FIELDS = [x.split()[0] for x in _READ.split(", ")]
+_NUMBERS = {"page_id": "Int64", "segment": "Int32", "total": "Int64", "bytes": "Int64"}
+
 
+def _frame(rows: list[tuple], fields: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=fields)
+    return out.assign(**{c: out[c].astype(t) for c, t in _NUMBERS.items() if c in fields})
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_FIELDS)
-    return out.assign(page_id=out["page_id"].astype("Int64"), segment=out["segment"].astype("Int32"), total=out["total"].astype("Int64"))
 
+def _parsed(keep: bool):
+    """Whole records as they are, segments as they lie; payloads only where ``keep`` asks for them."""
+    none = (None,) * 5
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                rows = []
+                for head, block in parse(zlib.decompress(content, 47)):
+                    name, kind = head["WARC-Record-ID"], head["WARC-Type"]
+                    if "WARC-Segment-Number" in head:
+                        page = _page_of(head) if kind == "response" else None
+                        total = head.get("WARC-Segment-Total-Length")
+                        origin = head.get("WARC-Segment-Origin-ID", name)
+                        rows.append((name, page, kind, None, None, None, None, origin, int(head["WARC-Segment-Number"]), total and int(total), block, head.get("WARC-Payload-Digest")))
+                    elif kind == "revisit":
+                        rows.append((name, _page_of(head), kind, head["WARC-Refers-To"], None, None, None, *none))
+                    else:
+                        payload, sha1 = _payload(head, block)
+                        rows.append((name, _page_of(head), kind, None, len(payload), sha1, payload if keep else None, *none))
+                if rows:
+                    yield _frame(rows, _FIELDS)
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for content in pdf["content"]:
-            rows = []
-            for head, block in parse(zlib.decompress(content, 47)):
-                name, kind = head["WARC-Record-ID"], head["WARC-Type"]
-                digest = head.get("WARC-Payload-Digest")
-                if "WARC-Segment-Number" in head:
-                    page = _page_of(head) if kind == "response" else None
-                    total = head.get("WARC-Segment-Total-Length")
-                    rows.append((name, page, kind, None, None, head.get("WARC-Segment-Origin-ID", name), int(head["WARC-Segment-Number"]), total and int(total), block, digest))
-                elif kind == "revisit":
-                    rows.append((name, _page_of(head), kind, head["WARC-Refers-To"], None, None, None, None, None, digest))
-                else:
-                    rows.append((name, _page_of(head), kind, None, _payload(head, block), None, None, None, None, digest))
-            if rows:
-                yield _frame(rows)
+    return run
 
 
-def _assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _assembled(keep: bool):
     """Segments come sorted by (origin, segment); one record's blocks are held at a time."""
-    origin, first, blocks, total = None, None, [], None
-
-    def close():
-        if first is None or total is None or total != sum(map(len, blocks)):
-            raise ValueError(f"{origin}: segments are missing or of another length than {total}")
-        head = {"WARC-Record-ID": origin, "WARC-Payload-Digest": first[1]}
-        return (origin, first[0], "response", None, _payload(head, b"".join(blocks)), None, None, None, None, first[1])
-
-    for pdf in batches:
-        out = []
-        for name, page, segment, length, block, key, digest in zip(
-            pdf["name"], pdf["page_id"].astype("Int64"), pdf["segment"], pdf["total"].astype("Int64"), pdf["block"], pdf["origin"], pdf["digest"]
-        ):
-            if key != origin:
-                if origin is not None:
-                    out.append(close())
-                origin, first, blocks, total = key, None, [], None
-            if segment != len(blocks) + 1:
-                raise ValueError(f"{key}: segment {segment} follows {len(blocks)}")
-            if segment == 1:
-                first = (None if page is pd.NA else int(page), digest)
-            if length is not pd.NA:
-                total = int(length)
-            blocks.append(block)
-        if out:
-            yield _frame(out)
-    if origin is not None:
-        yield _frame([close()])
-
-
-def read_archives(spark, path: str) -> DataFrame:
-    """(name, page_id, record_type, refers_to, payload, digest): every record whole; revisits without payload."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        origin, first, blocks, total = None, None, [], None
+
+        def close():
+            if first is None or total is None or total != sum(map(len, blocks)):
+                raise ValueError(f"{origin}: segments are missing or of another length than {total}")
+            payload, sha1 = _payload({"WARC-Record-ID": origin, "WARC-Payload-Digest": first[1]}, b"".join(blocks))
+            return (origin, first[0], "response", None, len(payload), sha1, payload if keep else None)
+
+        for pdf in batches:
+            out = []
+            for page, segment, length, block, key, digest in zip(
+                pdf["page_id"].astype("Int64"), pdf["segment"], pdf["total"].astype("Int64"), pdf["block"], pdf["origin"], pdf["digest"]
+            ):
+                if key != origin:
+                    if origin is not None:
+                        out.append(close())
+                    origin, first, blocks, total = key, None, [], None
+                if segment != len(blocks) + 1:
+                    raise ValueError(f"{key}: segment {segment} follows {len(blocks)}")
+                if segment == 1:
+                    first = (None if page is pd.NA else int(page), digest)
+                if length is not pd.NA:
+                    total = int(length)
+                blocks.append(block)
+            if out:
+                yield _frame(out, _FIELDS[:7])
+        if origin is not None:
+            yield _frame([close()], _FIELDS[:7])
+
+    return run
+
+
+def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
+    """(name, page_id, record_type, refers_to, bytes, sha1, payload): every record whole.
+
+    The reader has checked each payload's length and digest, so these need no payload; revisits have none of the three. Without
+    ``payloads`` that column is null, and no payload leaves the reader.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    parsed = files.mapInPandas(_parsed, _READ)
-    single = parsed.where("origin is null")
-    segments = parsed.where("origin is not null").repartition("origin").sortWithinPartitions("origin", "segment")
-    whole = single.unionByName(segments.mapInPandas(_assembled, _READ))
-    return whole.select("name", "page_id", "record_type", "refers_to", "payload", "digest")
+    parsed = files.mapInPandas(_parsed(payloads), _READ)
+    wholes = [x.split()[0] for x in _WHOLE.split(", ")]
+    single = parsed.where("origin is null").select(*wholes)
+    segments = parsed.where("origin is not null").select("page_id", "origin", "segment", "total", "block", "digest")
+    assembled = segments.repartition("origin").sortWithinPartitions("origin", "segment").mapInPandas(_assembled(payloads), _WHOLE)
+    return single.unionByName(assembled)
 
 
 def archived(pages: DataFrame, least: int = LEAST, segment: int = SEGMENT) -> DataFrame:
@@ -231,10 +257,7 @@ def archived(pages: DataFrame, least: int = LEAST, segment: int = SEGMENT) -> Da
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least, segment)
-    back = read_archives(spark, path).select(
-        "name", "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1")
-    )
-    back = stored(back, "records")
+    back = stored(read_archives(spark, path, payloads=False).drop("payload"), "records")
     asked = back.where("refers_to is not null").select(F.col("refers_to").alias("name")).distinct()
     known = back.where("record_type = 'response'").join(asked, "name", "left_semi")
     known = known.select(F.col("name").alias("refers_to"), F.col("page_id").alias("to_page"), F.col("bytes").alias("to_bytes"), F.col("sha1").alias("to_sha1"))
