@@ -7,17 +7,19 @@ inputs give the same rows. Quotas are settled on a table of label combinations
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit import fixed_values as V
 from assaykit.functions.keyed import draw_indices
 from assaykit.functions.labels import present_array
 from assaykit.operators.ordering import dense_index, smallest_by_hash, take_by_hash, with_hash_order
 from assaykit.operators.stratify import long_list_sample
-from assaykit.session import cut_lineage
+from assaykit.session import cut_lineage, shared_folder, written
 
 SHORT_LIST = 12
 _BIG = "decimal(38,0)"
@@ -104,12 +106,13 @@ def enriched_sample(
 
 def ordered_acceptance(
     candidates: DataFrame,
-    available: DataFrame,
+    available: DataFrame | Callable[[DataFrame], DataFrame],
     targets: Sequence[int],
     key: str = "image_id",
     phase: str = "phase",
     seed: int | str = 42,
     max_misses: int | None = None,
+    on_stage: Callable[[int, int, int], None] | None = None,
 ) -> DataFrame:
     """Try candidates in keyed-hash order, phase by phase, until each target is met.
 
@@ -118,25 +121,68 @@ def ordered_acceptance(
     to this attempt; it runs on across phases). With ``max_misses`` the first streak
     of that length ends everything.
 
+    Candidates are read and hashed once and stored in hash order. Ranges of hash buckets are then
+    probed, as many as the hit rate so far makes likely to be enough, until the target or the miss
+    streak is reached: availability is looked up for those rows only, and ranges behind the
+    end are never tried. ``available`` holds the keys that are there, or is a function from a
+    table of keys to those of them that are. ``on_stage`` is told (phase, rows probed, hits).
+
     The order is global, yet no task sees the whole list: hits, attempts and the
     place of the last hit are prefix sums in two levels (bucket totals, then rows
     inside a bucket).
     """
-    present = available.select(key).distinct().withColumn("__hit", F.lit(1))
+    spark = candidates.sparkSession
     # another seed than the one that drew the candidates: selection must not decide the order
-    tried = with_hash_order(candidates.join(present, key, "left"), f"{seed}-order", [key]).withColumn(
-        "hit", F.coalesce(F.col("__hit"), F.lit(0))
-    ).drop("__hit")
-
-    inside = Window.partitionBy(phase, "__bucket").orderBy("__h", key)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    # attempts end with the target-th hit of the phase
+    hashed = with_hash_order(candidates, f"{seed}-order", [key])
+    listed = written(hashed.sortWithinPartitions(phase, "__bucket"), "candidates")
+    sizes: dict[int, list[tuple[str, int]]] = {}
+    for r in listed.groupBy(phase, "__bucket").count().orderBy(phase, "__bucket").collect():  # at most 4096 a phase
+        sizes.setdefault(int(r[phase]), []).append((r["__bucket"], r["count"]))
+    path = f"{shared_folder(spark)}/attempts-{uuid.uuid4().hex}"
+    schema = T.StructType([*listed.schema.fields, T.StructField("hit", T.IntegerType())])
+
+    def tried() -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+    listed.limit(0).withColumn("hit", F.lit(0)).write.parquet(path)
+    stop = None
+    for p, target in enumerate(targets):
+        at, hits, rows = 0, 0, 0
+        buckets = sizes.get(p, [])
+        while at < len(buckets) and hits < target and stop is None:
+            want = (target - hits) * (max(rows, 1) / max(hits, 1) if rows else 1.0) * 1.2 + 50
+            end, held = at, 0
+            while end < len(buckets) and held < want:
+                held += buckets[end][1]
+                end += 1
+            stage = listed.where((F.col(phase) == p) & F.col("__bucket").between(buckets[at][0], buckets[end - 1][0]))
+            keys = stage.select(key)
+            # the few keys of a stage go to the availability table, not the other way round
+            present = available(keys) if callable(available) else available.select(key).join(keys, key)
+            found = stage.join(present.select(key).distinct().withColumn("__hit", F.lit(1)), key, "left")
+            found.withColumn("hit", F.coalesce("__hit", F.lit(0))).drop("__hit").select(*schema.names).write.mode("append").parquet(path)
+            rows += held
+            new = tried().where((F.col(phase) == p) & F.col("__bucket").between(buckets[at][0], buckets[end - 1][0])).agg(F.sum("hit")).first()[0] or 0
+            hits += new
+            if on_stage:
+                on_stage(p, held, new)
+            at = end
+            if max_misses is not None:
+                stop = _streaks(_up_to_target(tried(), targets, phase, key), phase, key).filter(F.col("streak") >= max_misses).agg(F.min("pos")).first()[0]
+    result = _streaks(cut_lineage(_up_to_target(tried(), targets, phase, key)), phase, key)
+    if stop is not None:
+        result = result.filter(F.col("pos") <= stop)
+    return result.drop("__h", "__bucket")
+
+
+def _up_to_target(tried: DataFrame, targets: Sequence[int], phase: str, key: str) -> DataFrame:
+    """Attempts up to the target-th hit of their phase."""
+    upto = Window.partitionBy(phase, "__bucket").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = tried.groupBy(phase, "__bucket").agg(F.sum("hit").alias("__n"))
     earlier = Window.partitionBy(phase).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     hit_offset = hits.select(phase, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     target = F.element_at(F.array(*[F.lit(t).cast("long") for t in targets]), F.col(phase).cast("int") + 1)
-    attempted = (
+    return (
         tried.join(hit_offset, [phase, "__bucket"])
         .filter(F.col("__before") < target)
         .withColumn("__hits", F.col("__before") + F.sum("hit").over(upto))
@@ -144,10 +190,11 @@ def ordered_acceptance(
         .drop("__before", "__hits")
     )
 
-    # the attempts are few beside the candidates and are read several times from here on
-    attempted = cut_lineage(attempted)
 
-    # attempt numbers and miss streaks over (phase, bucket) in order
+def _streaks(attempted: DataFrame, phase: str, key: str) -> DataFrame:
+    """Attempts with ``pos`` and ``streak`` over (phase, bucket) in order."""
+    inside = Window.partitionBy(phase, "__bucket").orderBy("__h", key)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = attempted.withColumn("__row", F.row_number().over(inside))
     ahead = Window.orderBy(phase, "__bucket").rowsBetween(Window.unboundedPreceding, -1)  # bucket totals only
     totals = numbered.groupBy(phase, "__bucket").agg(
@@ -162,11 +209,7 @@ def ordered_acceptance(
         F.coalesce(F.col("__carried"), F.lit(-1)),
         F.coalesce(F.max(F.when(F.col("hit") == 1, F.col("pos"))).over(upto), F.lit(-1)),
     )
-    result = placed.withColumn("streak", F.col("pos") - last_hit)
-    if max_misses is not None:
-        stop = result.filter(F.col("streak") >= max_misses).agg(F.min("pos").alias("stop")).scalar()
-        result = result.filter(F.coalesce(F.col("pos") <= stop, F.lit(True)))
-    return result.drop("__h", "__bucket", "__row", "__offset", "__carried")
+    return placed.withColumn("streak", F.col("pos") - last_hit).drop("__row", "__offset", "__carried")
 
 
 def acceptance_candidates(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
+from assaykit.operators.membership import key_bitmap, may_be_in
+from assaykit.session import written
 
 
 def todo(manifest: DataFrame, done: DataFrame, keys: Sequence[str] = ("image_file",)) -> DataFrame:
@@ -20,29 +21,28 @@ def exclude_rows(index: DataFrame, manifest: DataFrame, keys: Sequence[str] = ("
     return index.join(manifest.select(*keys), list(keys), "left_anti")
 
 
+def touched_groups(listing: DataFrame, excluded: DataFrame, group: str = "study_id", member: str = "image_id") -> DataFrame:
+    """Groups that hold at least one excluded member, one row each, stored.
+
+    One scan of the listing's two columns: a bitmap of the excluded members sorts out nearly all rows where they lie, and only the others are
+    checked against the members themselves.
+    """
+    ids = written(excluded.select(member).distinct(), "excluded")
+    near = may_be_in(listing.select(member, group), member, key_bitmap(ids, member))
+    return written(near.join(ids, member, "left_semi").select(group).distinct(), "touched")
+
+
 def exclude_groups(
-    listing: DataFrame,
-    excluded: DataFrame,
-    group: str = "study_id",
-    member: str = "image_id",
-    max_excluded: int | None = None,
+    listing: DataFrame, excluded: DataFrame, group: str = "study_id", member: str = "image_id", touched: DataFrame | None = None
 ) -> DataFrame:
     """Drop every member of a group that holds at least one excluded member.
 
-    ``max_excluded`` is a bound on the excluded rows that the caller can vouch for, such
-    as the size of the sample they come from. Under a million it makes both joins
-    broadcast joins, and the listing is not shuffled at all.
-
-    The excluded groups are found first and reduced to one row each, so a group with
-    a third of all rows is one row on the build side; the anti-join keeps the large
-    side splittable under adaptive skew handling.
+    ``touched`` saves finding the groups again. They are stored, so that Spark knows their size: it broadcasts them where they are
+    small, and the listing then is not shuffled. A group with a third of all rows is one row there; adaptive
+    execution splits the other side where it is joined by shuffle.
     """
-    small = max_excluded is not None and max_excluded <= BROADCAST_ROWS
-    ids = excluded.select(member)
-    touched = listing.join(F.broadcast(ids) if small else ids, member, "left_semi").select(group).distinct()
-    if small:
-        touched = F.broadcast(touched)  # no more groups than excluded members
-    return listing.join(touched, group, "left_anti")
+    groups = touched_groups(listing, excluded, group, member) if touched is None else touched
+    return listing.join(groups, group, "left_anti")
 
 
 def candidates(listing: DataFrame, labels: DataFrame, key: str = "image_id") -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.operators import membership
 from assaykit.operators import sampling as S
 from assaykit.operators import splits as P
 from assaykit.operators.ordering import dense_index
+from assaykit.operators.quantiles import exact_quantile
 from assaykit.operators.sampling import multilabel_sample
 from assaykit.operators.stratify import long_list_sample
 from assaykit.sources.labels import parse_listing
@@ -210,3 +212,76 @@ def test_long_list_in_blocks_and_edge_cases(spark):
     assert long_list_sample(odd, 2, "marks", ["id"]).count() == 2
     flags = spark.range(400).select("id", *[((F.col("id") % (i + 2)) == 0).cast("int").alias(f"f{i}") for i in range(20)])
     assert multilabel_sample(flags, 40, [f"f{i}" for i in range(20)], ["id"]).count() == 40
+
+
+# -- staged acceptance, membership, order statistics --------------------------
+
+
+def test_acceptance_probes_no_more_than_it_needs(spark):
+    cand = spark.range(5000).select(F.col("id").cast("string").alias("image_id"), (F.col("id") % 2).cast("int").alias("phase"))
+    stages, asked = [], []
+
+    def lookup(keys):
+        asked.append(keys.count())
+        return keys.where(F.crc32("image_id") % 10 < 9)
+
+    out = S.ordered_acceptance(cand, lookup, [40, 60], on_stage=lambda *x: stages.append(x))
+    got = out.groupBy("phase").agg(F.sum("hit").alias("hits"), F.count("*").alias("n")).collect()
+    assert {r.phase: r.hits for r in got} == {0: 40, 1: 60}
+    assert sum(asked) == sum(n for _, n, _ in stages) < 600 < 5000
+    whole = S.ordered_acceptance(cand, lookup(cand.select("image_id")), [40, 60])
+    assert sorted(map(tuple, out.select("image_id", "pos", "streak").collect())) == sorted(map(tuple, whole.select("image_id", "pos", "streak").collect()))
+    # a streak of misses ends the search before later ranges and phases are tried
+    stages.clear()
+    few = S.ordered_acceptance(cand, lambda keys: keys.limit(0), [40, 60], max_misses=20, on_stage=lambda *x: stages.append(x))
+    assert few.count() == 20 and [p for p, *_ in stages] == [0]
+    # nobody is there at all: every candidate is tried
+    assert S.ordered_acceptance(cand, lambda keys: keys.limit(0), [40, 60]).count() == 5000
+
+
+def test_bitmap_passes_every_member_and_few_others(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("k"))
+    every = spark.range(30_000).select(F.col("id").cast("string").alias("k"), "id")
+    bitmap = membership.key_bitmap(keys, "k")
+    passed = {r.k for r in membership.may_be_in(every, "k", bitmap).select("k").collect()}
+    assert {str(i) for i in range(0, 3000, 3)} <= passed and len(passed) < 1000 + 0.1 * 30_000
+    assert membership.key_bitmap(keys, "k", limit_bytes=100) is None and membership.may_be_in(every, "k", None) is every
+    assert membership.may_be_in(every, "k", membership.key_bitmap(keys.limit(0), "k")).count() == 0
+    plan = membership.may_be_in(every, "k", bitmap)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_exclusion_scans_the_listing_twice(spark, tmp_path):
+    spark.range(2000).select((F.col("id") % 50).cast("string").alias("study_id"), F.col("id").cast("string").alias("image_id")).write.parquet(str(tmp_path / "l"))
+    listing = spark.read.parquet(str(tmp_path / "l"))
+    ids = spark.createDataFrame([("7",), ("8",), ("nowhere",), (None,)], "image_id string")
+    touched = P.touched_groups(listing, ids)
+    assert sorted(r.study_id for r in touched.collect()) == ["7", "8"]
+    out = P.exclude_groups(listing, ids, touched=touched)
+    assert out.count() == 48 * 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(str(tmp_path / "l")) == 1 or plan.count("FileScan") == 2
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 1.0])
+def test_exact_quantile(spark, q):
+    rng = np.random.default_rng(4)
+    parts = {
+        "hot": rng.lognormal(0, 6, 4000), "one": [3.25], "ties": [1.0] * 900 + [2.0] * 901, "two": [1.0, 4.0], "big": [-1.7e308, 1.7e308, 0.0, 1e-300],
+        None: rng.integers(-5, 5, 300).astype(float),
+    }
+    rows = [(g, float(v)) for g, vs in parts.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: r.quantile for r in exact_quantile(df, ["g"], "v", q, few=50, buckets=16).collect()}
+    assert got.keys() == parts.keys()
+    for g, vs in parts.items():
+        if g != "big" or q != 0.9:
+            assert got[g] == pytest.approx(float(np.quantile(np.array(vs), q)), rel=1e-12)
+    assert exact_quantile(df, [], "v", 0.5, few=50).first().quantile == pytest.approx(float(np.median([v for vs in parts.values() for v in vs])))
+
+
+def test_no_task_holds_a_group_for_its_median(spark):
+    df = spark.range(60_000).select(F.lit("all").alias("g"), (F.col("id") * 7919 % 60_013).cast("double").alias("v"))
+    out = exact_quantile(df, ["g"], "v", few=100, buckets=64)
+    assert out.first().quantile == pytest.approx(float(np.median([i * 7919 % 60_013 for i in range(60_000)])))
+    assert "percentile" not in out._jdf.queryExecution().toString()
