@@ -31,6 +31,7 @@ from assaykit.llm.common import spread_join, stored, table
 from assaykit.session import shared_folder
 
 LEAST, SEGMENT, CHUNK = 1000, 16_384, 4096
+BATCH = 4 << 20
 RECORDS = 500  # records of an archive, each of a segment at most: what one task holds of it
 _END = "\r\n\r\n"
 
@@ -96,15 +97,20 @@ def page_records(row: int, page_id, url: str, html: bytes, refers_to: int | None
 
 
 def _written(segment: int):
+    """Records of pages, put out in batches of about BATCH bytes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in zip(pdf["row"], pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["target"].astype("Int64")):
-                row, page_id, url, html, target = r
-                made = list(
-                    page_records(
-                        row, None if page_id is pd.NA else int(page_id), url, html.encode("utf-8", "surrogatepass"), None if target is pd.NA else int(target), segment
-                    )
-                )
+            made, held = [], 0
+            for row, page_id, url, html, target in zip(pdf["row"], pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["target"].astype("Int64")):
+                body = html.encode("utf-8", "surrogatepass")
+                for one in page_records(row, None if page_id is pd.NA else int(page_id), url, body, None if target is pd.NA else int(target), segment):
+                    made.append(one)
+                    held += len(one)
+                    if held >= BATCH:
+                        yield pd.DataFrame({"record": made})
+                        made, held = [], 0
+            if made:
                 yield pd.DataFrame({"record": made})
 
     return run
@@ -126,7 +132,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
     made = planned(pages, least).mapInPandas(_written(segment), "record binary")
     dealt = made.repartition(F.xxhash64("record"))
     one = dealt.select(F.col("record").cast("string").alias("value"))
-    one.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    one.write.option("lineSep", _END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
