@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from assaykit.llm.common import stored, table, whole
 FACTOR, MOST, WEIGHTS = 1.5, 2.0, (5.0, 2.0, 1.0)
 BLOCK_WORDS, BLOCK_DOCS, SHARD_WORDS = 100_000, 10_000, 2_000_000
 FILLS = 2  # passes that fill a last block
+BROADCAST_BYTES = 32 << 20
 DIGIT = 4096  # blocks summed together in the upper level of the running sum
 
 
@@ -103,19 +105,31 @@ def mix(
     seed: int = 7,
 ) -> DataFrame:
     """(__row, doc_id, size, source_size, target, shards): a row per document; ``shards`` has the shard of every
-    copy that the mix takes, so its length is the number of copies. ``__row`` numbers the rows of ``docs``, unless
-    they bring such a column. What is drawn depends on the rows' contents, not on their numbers."""
+    copy that the mix takes, so its length is the number of copies. ``__row`` numbers the rows of ``docs``.
+    What is drawn depends on the rows' contents, not on their numbers."""
+    dealt, _, planned = _planned(docs, F.monotonically_increasing_id(), factor, most, weights, block_words, shard_words, seed)
+    placed = _last_block(dealt.drop("passes").join(planned, ["rank", "block"]))
+    return placed.select("__row", "doc_id", "size", "source_size", "target", _shards().alias("shards"))
+
+
+def _shards() -> Column:
+    """The shards of a document's copies: whole passes, and the part of a pass where it is taken."""
+    held = F.filter("held", lambda h: (h["pass"] < F.col("passes")) | F.col("taken"))
+    return F.coalesce(F.transform(held, lambda h: h["shard"]), F.array().cast("array<long>"))
+
+
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("blocks"))
+
+
+def _planned(docs: DataFrame, row: Column, factor: float, most: float, weights: tuple[float, ...], block_words: int, shard_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows dealt to blocks, the recipe, and for each block the shards that hold it, pass by pass."""
     spark = docs.sparkSession
-    sized = stored(
-        docs.select(
-            (F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()).alias("__row"),
-            "doc_id",
-            "source",
-            n_words(whole()).alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"),
-        ),
-        "sized",
-    )
+    sized = stored(docs.select(row.alias("__row"), "doc_id", "source", n_words(whole()).alias("size"), _key(seed).alias("key")), "sized")
     recipe = stored(source_targets(sized, factor, most, weights), "targets")
     blocks = F.greatest(F.ceil(F.col("source_size") / block_words), F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(1))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -127,20 +141,17 @@ def mix(
         sized.alias("d")
         .join(recipe.alias("r"), F.expr("d.source <=> r.source"))
         .select(
-            "__row", "doc_id", "size", "key", "rank", "source_size", "target", "blocks", "passes", "part",
-            F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("blocks")).alias("block"),
+            "__row", "doc_id", "size", "key", "rank", "source_size", "target", "blocks", "passes", "part", _block(seed).alias("block")
         ),
         "dealt",
     )
     plan = _block_plan(dealt)
     owed = plan.groupBy("rank").agg(F.max("passes").alias("p"), F.max("blocks").alias("b"), F.sum(F.col("extra").cast("long")).alias("e"))
     rows = owed.orderBy("rank").collect()  # one row per source of the recipe
-    if not rows:
-        return dealt.select("__row", "doc_id", "size", "source_size", "target", F.array().cast("array<long>").alias("shards"))
-    quota = [0] * (max(r["rank"] for r in rows) + 1)
+    quota = [0] * (max((r["rank"] for r in rows), default=0) + 1)
     for r in rows:
         quota[r["rank"]] = int(r.p * r.b + r.e)
-    words = recipe.agg(F.sum("target")).first()[0]
+    words = recipe.agg(F.sum("target")).first()[0] or 0
     leaves = _leaves(spark, quota, max(1, math.ceil(words / shard_words)), seed)
     # places of a source: pass after pass over all its blocks, then the blocks of the part
     per = (
@@ -151,11 +162,7 @@ def mix(
         .groupBy("rank", "block")
         .agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("held"))
     )
-    planned = plan.select("rank", "block", "passes", "extra", "rest").join(per, ["rank", "block"], "left")
-    placed = dealt.drop("passes").join(planned, ["rank", "block"])
-    placed = _last_block(placed)
-    shards = F.transform(F.filter("held", lambda h: (h["pass"] < F.col("passes")) | F.col("taken")), lambda h: h["shard"])
-    return placed.select("__row", "doc_id", "size", "source_size", "target", F.coalesce(shards, F.array().cast("array<long>")).alias("shards"))
+    return dealt, recipe, stored(plan.select("rank", "block", "passes", "extra", "rest").join(per, ["rank", "block"], "left"), "planned")
 
 
 def _block_plan(dealt: DataFrame) -> DataFrame:
@@ -195,13 +202,42 @@ def _last_block(placed: DataFrame) -> DataFrame:
     return whole_blocks.unionByName(filled)
 
 
-def drawn(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
-    """The mix itself: the rows of ``docs`` once for every copy taken, by shard, shuffled inside each shard."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(numbered, seed=seed, **how)
-    copies = taken.select("__row", F.posexplode("shards").alias("__copy", "__shard"))
-    rows = numbered.join(copies, "__row").withColumn("__key", F.xxhash64(F.lit(seed), "__shard", "__copy", "doc_id", "text"))
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__key").drop("__row", "__copy", "__key")
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` to be broadcast if its rows are few enough; else left to the planner, which joins by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def drawn(
+    docs: DataFrame, seed: int = 7, factor: float = FACTOR, most: float = MOST, weights: tuple[float, ...] = WEIGHTS,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
+) -> DataFrame:
+    """The mix itself: the columns of ``docs`` once for every copy taken, and ``__shard``; shuffled inside each shard.
+
+    Texts move once, to their shards. A document finds its block by its own content and the block's shards in a small table; only
+    documents of a source's last block are looked up one by one. Rows are known by file and place there, so input that doesn't
+    come straight from files is stored first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = stored(docs, "numbered")
+    row = F.struct("_metadata.file_path", "_metadata.row_index")
+    dealt, recipe, planned = _planned(docs, row, factor, most, weights, block_words, shard_words, seed)
+    open_ = dealt.drop("passes").join(planned.where("rest is not null"), ["rank", "block"])
+    last = stored(_last_block(open_).select("__row", _shards().alias("shards")).where("size(shards) > 0"), "last-blocks")
+
+    rows = docs.select(F.struct("*").alias("__doc"), "source", _key(seed).alias("key"), row.alias("__row"))
+    sources = _small(recipe.select(F.col("source").alias("of"), "rank", "blocks"), 200)
+    blocks = planned.agg(F.sum(F.coalesce(F.size("held"), F.lit(0)) + 1)).first()[0] or 0
+    table_ = planned.withColumn("taken", F.col("extra")).select("rank", "block", "rest", _shards().alias("shards"))
+    if blocks * 32 <= BROADCAST_BYTES:
+        table_ = F.broadcast(table_)
+    placed = rows.join(sources, F.expr("source <=> of")).withColumn("block", _block(seed)).join(table_, ["rank", "block"])
+    sure = placed.where("rest is null").select("__doc", "key", "shards")
+    looked_up = placed.where("rest is not null").drop("shards").join(last, "__row").select("__doc", "key", "shards")
+    copies = sure.unionByName(looked_up).select("__doc", "key", F.posexplode("shards").alias("__copy", "__shard"))
+    order = F.xxhash64(F.lit(seed), "__shard", "__copy", "key")
+    return copies.withColumn("__order", order).repartition("__shard").sortWithinPartitions("__shard", "__order").select("__doc.*", "__shard")
 
 
 QUERY = "op8_mixing"

@@ -577,6 +577,24 @@ def test_broken_archives_raise(spark, tmp_path):
         warc.read_archives(spark, str(folder)).collect()
 
 
+def test_drawn_mix_equals_the_plan_and_keeps_clashing_columns(spark, tmp_path):
+    docs = spark.range(400).select(
+        (F.col("id") % 150).alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id") % 90, F.lit(" ")), (F.col("id") % 40).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 > 0, "hot").alias("source"),
+        *[F.col("id").alias(c) for c in ("rank", "block", "__row", "__shard_", "key", "blocks", "shards", "taken", "__doc", "pass")],
+    )
+    docs.write.parquet(str(tmp_path / "d"))
+    how = dict(block_words=300, shard_words=900)
+    want = mixing.mix(docs, **how).select("doc_id", "size", F.size("shards").alias("n"))
+    for given in (docs.repartition(5), spark.read.parquet(str(tmp_path / "d"))):  # computed, and straight from files
+        got = mixing.drawn(given, **how)
+        assert got.columns == [*docs.columns, "__shard"]
+        assert got.where("rank <> __row or block <> pass").count() == 0
+        assert got.count() == want.agg(F.sum("n")).first()[0]
+        by = {r.doc_id: r["sum(size)"] for r in got.select("doc_id", mixing.n_words(F.col("text")).alias("size")).groupBy("doc_id").sum("size").collect()}
+        assert {k: v for k, v in by.items() if v} == {r.doc_id: r.n for r in want.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("size")).alias("n")).where("n > 0").collect()}
+
+
 # -- pipeline -----------------------------------------------------------------
 
 
