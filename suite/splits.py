@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assaykit.functions.labels import answer_text, present_array, present_text, shares_label
 from assaykit.operators import sampling as S
 from assaykit.operators import splits as P
-from assaykit.plans.runs import RunSpec, experiment_grid
+from assaykit.plans.runs import RunSpec, experiment_grid, resolve_mode
 from assaykit.session import cut_lineage
 from suite import register
 from suite.derived import LABELS, oracle, spark_sql, table
@@ -132,6 +132,37 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# flags of two settings, as a launcher passes them; null means that the flag isn't given
+_MODES = [(two, image) for two in (None, False, True) for image in (None, False, True)]
+
+
+def _mode_sql(default_image: bool) -> str:
+    flag = lambda v: "NULL::BOOLEAN" if v is None else str(v).lower()
+    rows = " UNION ALL ".join(f"SELECT {flag(two)} AS two, {flag(image)} AS image" for two, image in _MODES)
+    kept = f"SELECT two, image, coalesce(two, false) AS t, coalesce(image, {str(default_image).lower()}) AS i FROM ({rows})"
+    named = f"SELECT two, image, CASE WHEN i THEN 'image' WHEN t THEN 'text-twostage' ELSE 'none' END AS context FROM ({kept}) WHERE NOT (t AND i)"
+    return (
+        "SELECT m.image_file, g.context || '-' || coalesce(g.two::VARCHAR, 'unset') || '-' || coalesce(g.image::VARCHAR, 'unset') AS run, g.context, "
+        f"(SELECT count(*) FROM ({kept}) WHERE t AND i) AS n_rejected FROM {{manifest}} m, ({named}) g"
+    )
+
+
+@register("mode_grid", oracle(_mode_sql(True)))
+def mode_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every image under every setting that two flags with defaults allow; settings with both are rejected and counted."""
+    specs, rejected = [], 0
+    for two, image in _MODES:
+        try:
+            mode = resolve_mode(two, image, default_image=True)
+        except ValueError:
+            rejected += 1
+            continue
+        names = ["unset" if v is None else str(v).lower() for v in (two, image)]
+        specs.append(RunSpec("-".join([mode, *names]), context=mode))
+    grid_ = experiment_grid(table(spark, sf, "manifest").select("image_file"), specs)
+    return grid_.select("image_file", "run", "context", F.lit(rejected).alias("n_rejected"))
+
+
 @register(
     "label_sets",
     oracle("SELECT image_file, present_subtypes, replace(present_subtypes, '; ', '|') AS label_set, "
