@@ -20,46 +20,79 @@ from assaykit.operators.metrics import (
     prf1,
 )
 from assaykit.operators.nearest import nearest
-from assaykit.operators.resample import bootstrap_ci, null_verdict, permutation_null
+from assaykit.operators.resample import cell_ci, null_verdict, permutation_null
 from assaykit.operators.retrieval import hit_rate
+from assaykit.session import cut_lineage
+
+
+HEALTH = ["n_failed", "n_refused", "parse_failure_rate", "refusal_rate"]
+METHODS = ("structured", "fallback", "failed")
+
+
+def run_state(
+    pairs: DataFrame, by: Sequence[str] = ("run",), policy: str = "negative", labels: Sequence[str] = V.SUBTYPES
+) -> DataFrame:
+    """One row per run that holds what every report on it needs, from one scan of ``pairs``; stored.
+
+    Comparison, summary and grids are cut from it by the functions below, whatever their number.
+    """
+    # results that don't say how they were parsed have no counts
+    method = F.col("method") if "method" in pairs.columns else F.lit(None).cast("string")
+    methods = [F.count_if(method == m).alias(f"__method_{m}") for m in METHODS]
+    sums = pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *class_sums(_classes(labels), policy), *health_sums(), *missed_sums(labels, policy), *methods
+    )
+    return cut_lineage(sums.withColumn("missed_rate", missed_rate()))
+
+
+def _classes(labels: Sequence[str]) -> dict[str, tuple[str, str]]:
+    return {V.ANY: DEFAULT_CLASSES[V.ANY], **{k: (k, f"pred_{k}") for k in labels}}
+
+
+def state_scores(state: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str] = V.SUBTYPES, carry: Sequence[str] = ()) -> DataFrame:
+    """(by…, class, n, tp, fp, fn, support, precision, recall, f1) of a state."""
+    return prf1(state.select(*by, "n", *carry, class_rows(_classes(labels))))
+
+
+def state_health(state: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
+    return state.select(*by, "n", *HEALTH)
+
+
+def state_missed(state: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str] = V.SUBTYPES) -> DataFrame:
+    return state.select(*by, "n_missed", "n_positive", *[f"missed_{k}" for k in labels], "missed_rate")
+
+
+def state_methods(state: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
+    """(by…, method_counts): how many answers each way of parsing settled; ways that occur."""
+    counts = F.create_map(*[x for m in METHODS for x in (F.lit(m), F.col(f"__method_{m}"))])
+    return state.select(*by, F.map_filter(counts, lambda _, n: n > 0).alias("method_counts"))
 
 
 def summarise_runs(
     results: DataFrame, manifest: DataFrame, by: Sequence[str] = ("run",), policy: str = "negative",
     labels: Sequence[str] = V.SUBTYPES, n_boot: int = V.N_BOOT, seed: int = 42,
 ) -> DataFrame:
-    """One nested row per run: rates, headline class, per-label map, macro F1, missed positives.
+    """One nested row per run: rates, ways of parsing, headline class, per-label map, macro F1, missed positives.
 
     Results and manifest are joined and read once: every figure comes from one
     aggregation per run, the intervals from its few result rows.
     """
     by = list(by)
-    health = ["n_failed", "n_refused", "parse_failure_rate", "refusal_rate"]
     missed = ["n_missed", "n_positive", "missed_rate", *[f"missed_{k}" for k in labels]]
-    classes = {V.ANY: DEFAULT_CLASSES[V.ANY], **{k: (k, f"pred_{k}") for k in labels}}
-    pairs = join_truth(results, manifest, truth=(V.ANY, *labels))
-    sums = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *class_sums(classes, policy), *health_sums(), *missed_sums(labels, policy)
-    )
-    per_class = prf1(
-        sums.withColumn("missed_rate", missed_rate()).select(*by, "n", *health, *missed, class_rows(classes))
-    )
-    scored = bootstrap_ci(per_class, [*by, "class"], n_boot, seed)
+    state = run_state(join_truth(results, manifest, truth=(V.ANY, *labels)), by, policy, labels)
+    scored = cell_ci(state_scores(state, by, labels, [*HEALTH, *missed]), [*by, "class"], n_boot, seed)
     cells = F.struct("precision", "recall", "f1", "tp", "fp", "fn", "support", "f1_lo", "f1_hi")
     label = F.col("class") != V.ANY
     # a run has one row per class: the collected map has len(labels) entries
     entries = F.collect_list(F.when(label, F.struct(F.col("class").alias("key"), cells.alias("value"))))
-    return (
-        scored.groupBy(*by, "n", *health, *missed)
-        .agg(
-            F.first(F.when(~label, cells), ignorenulls=True).alias("any_hemorrhage"),
-            F.map_from_entries(F.array_sort(entries)).alias("per_subtype"),
-            F.avg(F.when(label, F.col("f1"))).alias("macro_f1"),
-        )
-        .select(
-            *by, "n", F.lit(policy).alias("uncertain_policy"), *health, "any_hemorrhage", "per_subtype", "macro_f1",
-            F.struct(*missed).alias("missed"),
-        )
+    nested = scored.groupBy(*by, "n", *HEALTH, *missed).agg(
+        F.first(F.when(~label, cells), ignorenulls=True).alias("any_hemorrhage"),
+        F.map_from_entries(F.array_sort(entries)).alias("per_subtype"),
+        F.avg(F.when(label, F.col("f1"))).alias("macro_f1"),
+    )
+    return nested.join(state_methods(state, by), by).select(
+        *by, "n", F.lit(policy).alias("uncertain_policy"), *HEALTH, "method_counts", "any_hemorrhage", "per_subtype", "macro_f1",
+        F.struct(*missed).alias("missed"),
     )
 
 

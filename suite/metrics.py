@@ -175,6 +175,35 @@ def keyed_sql(n_boot: int, seed: int) -> str:
     """
 
 
+def _chain_sql(name: str, params: str, i: int) -> str:
+    """{name}: draw ``x`` of cell i for each (run, class, b), the least k whose cumulative probability reaches u; {params} has m and p."""
+    logs = "lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)"
+    return f"""{name}_p AS ({params}),
+    {name}_c AS (SELECT run, class, m, k, sum(CASE WHEN p <= 0 THEN (k = 0)::INT WHEN p >= 1 THEN (k = m)::INT ELSE exp({logs}) END) OVER (PARTITION BY run, class, m ORDER BY k) AS cdf
+      FROM (SELECT run, class, m, p, unnest(range(m + 1)) AS k FROM (SELECT DISTINCT run, class, m, p FROM {name}_p))),
+    {name} AS (SELECT q.run, q.class, q.b, q.m, coalesce(min(c.k), q.m) AS x FROM {name}_p q JOIN u ON u.run = q.run AND u.class = q.class AND u.b = q.b AND u.i = {i}
+      LEFT JOIN {name}_c c ON c.run = q.run AND c.class = q.class AND c.m = q.m AND c.cdf >= u.u GROUP BY q.run, q.class, q.b, q.m)"""
+
+
+def cell_ci_sql(n_boot: int, seed: int) -> str:
+    """``ci`` (run, class, f1_lo, f1_hi): intervals from multinomials drawn cell by cell."""
+    lo, hi = R.interval_positions(n_boot, 0.025, 0.975)
+    return f"""cells AS MATERIALIZED (SELECT run, class, n, tp, fp, fn FROM ({counts_sql()})),
+    u AS MATERIALIZED (SELECT run, class, b, i, ('0x' || substr(md5(concat_ws('|', '{seed}', run, class, b, i)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM cells, range({n_boot}) b(b), range(3) i(i)),
+    {_chain_sql("x1", "SELECT run, class, b, n AS m, tp::DOUBLE / n AS p FROM cells, (SELECT DISTINCT b FROM u)", 0)},
+    {_chain_sql("x2", "SELECT run, class, b, m - x AS m, CASE WHEN n > tp THEN fp::DOUBLE / (n - tp) ELSE 0 END AS p FROM x1 JOIN cells USING (run, class)", 1)},
+    {_chain_sql("x3", "SELECT run, class, b, m - x AS m, CASE WHEN n > tp + fp THEN fn::DOUBLE / (n - tp - fp) ELSE 0 END AS p FROM x2 JOIN cells USING (run, class)", 2)},
+    drawn_f1 AS (SELECT run, class, CASE WHEN x1.x > 0 THEN 2.0::DOUBLE * x1.x / (2 * x1.x + x2.x + x3.x) ELSE 0 END AS f1 FROM x1 JOIN x2 USING (run, class, b) JOIN x3 USING (run, class, b)),
+    ci AS MATERIALIZED (SELECT run, class, s[{lo + 1}] AS f1_lo, s[{hi + 1}] AS f1_hi FROM (SELECT run, class, list_sort(list(f1)) AS s FROM drawn_f1 GROUP BY run, class))"""
+
+
+@register("bootstrap_ci_cells", oracle(f"WITH {cell_ci_sql(_KEYED_BOOT, 42)} SELECT run, class, round(f1_lo, 6) AS f1_lo, round(f1_hi, 6) AS f1_hi FROM ci"))
+def bootstrap_ci_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals whose cost goes by confusion cells, drawn alike by both engines."""
+    return rounded(R.cell_ci(M.evaluate(table(spark, sf, "pairs")), n_boot=_KEYED_BOOT).select("run", "class", "f1_lo", "f1_hi"), "f1_lo", "f1_hi")
+
+
 @register(
     "bootstrap_ci_keyed",
     oracle(
@@ -279,12 +308,11 @@ def significance_report(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "interval_overlaps",
     oracle(
-        f"WITH {keyed_sql(_KEYED_BOOT, 42)}, o AS (SELECT run, class, f1, row_number() OVER (PARTITION BY run, class ORDER BY f1) - 1 AS r FROM scored), "
-        "ci AS (SELECT run, class, max(f1) FILTER (r = 5) AS lo, max(f1) FILTER (r = 195) AS hi FROM o GROUP BY run, class) "
-        "SELECT x.class, x.run AS a, y.run AS b, x.lo <= y.hi AND y.lo <= x.hi AS overlap FROM ci x JOIN ci y ON x.class = y.class AND x.run < y.run"
+        f"WITH {cell_ci_sql(_KEYED_BOOT, 42)} "
+        "SELECT x.class, x.run AS a, y.run AS b, x.f1_lo <= y.f1_hi AND y.f1_lo <= x.f1_hi AS overlap FROM ci x JOIN ci y ON x.class = y.class AND x.run < y.run"
     ),
 )
 def interval_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     counts = M.class_counts(table(spark, sf, "pairs"))
-    ci = R.keyed_ci(R.keyed_bootstrap(counts, n_boot=_KEYED_BOOT, seed=42), ["run", "class"], _KEYED_BOOT)
+    ci = R.cell_ci(counts, n_boot=_KEYED_BOOT)
     return R.interval_overlaps(ci, ["class"], "run").select("class", "a", "b", "overlap")

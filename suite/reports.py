@@ -9,48 +9,50 @@ from assaykit import fixed_values as V
 from assaykit.operators import metrics as M
 from assaykit.operators import reports as P
 from assaykit.operators import resample as R
-from assaykit.plans.evaluation import summarise_runs
+from assaykit.plans.evaluation import run_state, state_health, state_missed, state_scores, summarise_runs
 from suite import register
 from suite.answers import _PASS_SQL, CLASS_SQL, GATE_ANSWERS, REPORTS
 from suite.derived import LABELS, oracle, spark_sql, table
-from suite.metrics import MISSED_SUMMARY, _KEYED_BOOT, keyed_sql, rounded, scored_sql
+from suite.metrics import MISSED_SUMMARY, _KEYED_BOOT, cell_ci_sql, rounded, scored_sql
 
 _RUNS = "SELECT 'base' AS run, 'DOCS' AS dataset, 'No context' AS method UNION ALL SELECT 'text', 'DOCS', 'Text' UNION ALL SELECT 'image', 'DOCS', 'Image' UNION ALL SELECT 'later', 'DOCS', 'Not run yet'"
 _HEALTH = "SELECT run, count(*) AS n, avg((NOT parsed)::int) AS pf, avg(refused::int) AS rf FROM {results} GROUP BY run"
 
 
-def _table(spark: SparkSession, sf: str, scores: DataFrame) -> DataFrame:
-    pairs = table(spark, sf, "pairs")
-    return P.comparison(scores, M.parse_health(pairs), M.missed_summary(pairs), spark.sql(_RUNS))
+def _state(spark: SparkSession, sf: str) -> DataFrame:
+    return run_state(table(spark, sf, "pairs"), labels=LABELS)
+
+
+def _table(spark: SparkSession, state: DataFrame) -> DataFrame:
+    scores = R.cell_ci(state_scores(state, labels=LABELS).filter(F.col("class") == V.ANY), n_boot=_KEYED_BOOT)
+    return P.comparison(scores, state_health(state), state_missed(state, labels=LABELS), spark.sql(_RUNS))
+
+
+_CI = cell_ci_sql(_KEYED_BOOT, 42)
 
 
 @register(
     "run_comparison",
-    oracle(f"SELECT r.run, r.dataset, r.method, h.n, round(s.f1, 6) AS f1, round(s.precision, 6) AS precision, round(s.recall, 6) AS recall, "
+    oracle(f"WITH {_CI} SELECT r.run, r.dataset, r.method, h.n, round(s.f1, 6) AS f1, round(ci.f1_lo, 6) AS f1_lo, round(ci.f1_hi, 6) AS f1_hi, round(s.precision, 6) AS precision, round(s.recall, 6) AS recall, "
            f"m.n_missed, m.n_positive, m.n_missed + s.tp AS missed_of, m.missed_rate, round(h.pf, 6) AS parse_failure_rate, round(h.rf, 6) AS refusal_rate "
-           f"FROM ({_RUNS}) r LEFT JOIN ({scored_sql()}) s ON s.run = r.run AND s.class = 'any_hemorrhage' "
+           f"FROM ({_RUNS}) r LEFT JOIN ({scored_sql()}) s ON s.run = r.run AND s.class = 'any_hemorrhage' LEFT JOIN ci ON ci.run = r.run AND ci.class = 'any_hemorrhage' "
            f"LEFT JOIN ({_HEALTH}) h ON h.run = r.run LEFT JOIN ({MISSED_SUMMARY}) m ON m.run = r.run"),
 )
 def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Method by dataset; a registered run without results keeps its row."""
-    out = _table(spark, sf, M.evaluate(table(spark, sf, "pairs")))
-    cols = ["f1", "precision", "recall", "missed_rate", "parse_failure_rate", "refusal_rate"]
-    return rounded(out, *cols).select("run", "dataset", "method", "n", *cols, "n_missed", "n_positive", "missed_of")
+    """Method by dataset with intervals, from one scan; a registered run without results keeps its row."""
+    cols = ["f1", "f1_lo", "f1_hi", "precision", "recall", "missed_rate", "parse_failure_rate", "refusal_rate"]
+    return rounded(_table(spark, _state(spark, sf)), *cols).select("run", "dataset", "method", "n", *cols, "n_missed", "n_positive", "missed_of")
 
 
 @register(
     "comparison_markdown",
-    oracle(f"WITH {keyed_sql(_KEYED_BOOT, 42)}, o AS (SELECT run, f1, row_number() OVER (PARTITION BY run ORDER BY f1) - 1 AS r FROM scored WHERE class = 'any_hemorrhage'), "
-           "ci AS (SELECT run, max(f1) FILTER (r = 5) AS lo, max(f1) FILTER (r = 195) AS hi FROM o GROUP BY run) "
-           "SELECT r.dataset, r.method, concat('| ', r.dataset, ' | ', r.method, ' | ', h.n, printf(' | %.3f | [%.3f, %.3f] | %.3f | %.3f | %.1f%% (', s.f1, ci.lo, ci.hi, s.precision, s.recall, m.rate * 100), "
+    oracle(f"WITH {_CI} SELECT r.dataset, r.method, concat('| ', r.dataset, ' | ', r.method, ' | ', h.n, printf(' | %.3f | [%.3f, %.3f] | %.3f | %.3f | %.1f%% (', s.f1, ci.f1_lo, ci.f1_hi, s.precision, s.recall, m.rate * 100), "
            "m.n_missed, '/', m.n_missed + s.tp, printf(') | %.1f%% | %.1f%% |', h.pf * 100, h.rf * 100)) AS line "
-           f"FROM ({_RUNS}) r JOIN ({scored_sql()}) s ON s.run = r.run AND s.class = 'any_hemorrhage' JOIN ci ON ci.run = r.run "
+           f"FROM ({_RUNS}) r JOIN ({scored_sql()}) s ON s.run = r.run AND s.class = 'any_hemorrhage' JOIN ci ON ci.run = r.run AND ci.class = s.class "
            f"JOIN ({_HEALTH}) h ON h.run = r.run JOIN (SELECT *, n_missed / n_positive AS rate FROM ({MISSED_SUMMARY})) m ON m.run = r.run"),
 )
 def comparison_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    scores = M.evaluate(table(spark, sf, "pairs"), classes={V.ANY: (V.ANY, "pred_any_hem")})
-    ci = R.keyed_ci(R.keyed_bootstrap(scores, n_boot=_KEYED_BOOT, seed=42), ["run", "class"], _KEYED_BOOT)
-    return P.markdown_rows(_table(spark, sf, scores.join(ci, ["run", "class"])))
+    return P.markdown_rows(_table(spark, _state(spark, sf)))
 
 
 @register(
@@ -60,41 +62,50 @@ def comparison_markdown(spark: SparkSession, sf: str) -> DataFrame:
         + f" FROM ({scored_sql()}) GROUP BY run"),
 )
 def label_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.label_grid(M.evaluate(table(spark, sf, "pairs"))), *[f"{k}_f1" for k in LABELS])
+    return rounded(P.label_grid(state_scores(_state(spark, sf), labels=LABELS)), *[f"{k}_f1" for k in LABELS])
 
 
 @register(
     "model_grid",
-    oracle("SELECT class AS category, " + ", ".join(
-        f"round(max(f1) FILTER (run = '{r}'), 6) AS {r}_f1, round(max(precision) FILTER (run = '{r}'), 6) AS {r}_lo, round(max(recall) FILTER (run = '{r}'), 6) AS {r}_hi" for r in ("base", "image"))
-        + f" FROM ({scored_sql()}) WHERE class IN ('any_hemorrhage', 'IPH', 'SAH') GROUP BY class"),
+    oracle(f"WITH {_CI} SELECT s.class AS category, " + ", ".join(
+        f"round(max(s.f1) FILTER (s.run = '{r}'), 6) AS {r}_f1, round(max(ci.f1_lo) FILTER (s.run = '{r}'), 6) AS {r}_lo, round(max(ci.f1_hi) FILTER (s.run = '{r}'), 6) AS {r}_hi" for r in ("base", "image"))
+        + f" FROM ({scored_sql()}) s JOIN ci ON ci.run = s.run AND ci.class = s.class WHERE s.class IN ('any_hemorrhage', 'IPH', 'SAH') GROUP BY s.class"),
 )
 def model_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Category by model; precision and recall stand in for the interval ends."""
-    scores = M.evaluate(table(spark, sf, "pairs")).filter(F.col("class").isin("any_hemorrhage", "IPH", "SAH"))
+    """Category by model: F1 and its interval."""
+    kept = F.col("class").isin("any_hemorrhage", "IPH", "SAH") & F.col("run").isin("base", "image")
+    scores = R.cell_ci(state_scores(_state(spark, sf), labels=LABELS).filter(kept), n_boot=_KEYED_BOOT)
     bars = P.labelled_union({r: scores.filter(F.col("run") == r).drop("run") for r in ("base", "image")}, "model")
-    bars = bars.select(F.col("class").alias("category"), "model", "f1", F.col("precision").alias("f1_lo"), F.col("recall").alias("f1_hi"))
-    grid = P.model_grid(bars, ["base", "image"])
+    grid = P.model_grid(bars.withColumnRenamed("class", "category"), ["base", "image"])
     return rounded(grid, *[c for c in grid.columns if c != "category"])
 
 
+_CELLS = ["precision", "recall", "f1", "tp", "fp", "fn", "support", "f1_lo", "f1_hi"]
+_WHOLE = ("tp", "fp", "fn", "support")
+
+
+def _cell_sql(c: str) -> str:
+    one = lambda f: f"max({'ci' if f.startswith('f1_') else 's'}.{f}) FILTER (s.class = '{c}')"
+    return ", ".join(f"{one(f) if f in _WHOLE else f'round({one(f)}, 6)'} AS {c}_{f}" for f in _CELLS)
+
+
 @register(
     "run_summaries",
-    oracle(f"SELECT r.run, h.n, round(h.pf, 6) AS parse_failure_rate, round(h.rf, 6) AS refusal_rate, round(s.f1, 6) AS any_f1, s.tp AS any_tp, "
-           f"round(x.f1, 6) AS sdh_f1, x.support AS sdh_support, round(a.macro_f1, 6) AS macro_f1, m.n_missed, m.missed_SDH AS missed_sdh FROM (SELECT DISTINCT run FROM {{results}}) r "
-           f"JOIN ({_HEALTH}) h ON h.run = r.run JOIN ({scored_sql()}) s ON s.run = r.run AND s.class = 'any_hemorrhage' "
-           f"JOIN ({scored_sql()}) x ON x.run = r.run AND x.class = 'SDH' JOIN (SELECT run, avg(f1) AS macro_f1 FROM ({scored_sql()}) WHERE class <> 'any_hemorrhage' GROUP BY run) a ON a.run = r.run "
-           f"JOIN ({MISSED_SUMMARY}) m ON m.run = r.run"),
+    oracle(f"WITH {_CI}, w AS (SELECT s.run, {', '.join(map(_cell_sql, ['any_hemorrhage', *LABELS]))}, round(avg(s.f1) FILTER (s.class <> 'any_hemorrhage'), 6) AS macro_f1 "
+           f"FROM ({scored_sql()}) s JOIN ci ON ci.run = s.run AND ci.class = s.class GROUP BY s.run), "
+           "k AS (SELECT run, string_agg(method || '=' || c, ',' ORDER BY method) AS method_counts, sum(c)::BIGINT AS n FROM (SELECT run, method, count(*) AS c FROM {pairs} GROUP BY run, method) GROUP BY run), "
+           "h AS (SELECT run, count(*) FILTER (NOT parsed) AS n_failed, count(*) FILTER (refused) AS n_refused, round(avg((NOT parsed)::int), 6) AS parse_failure_rate, round(avg(refused::int), 6) AS refusal_rate FROM {pairs} GROUP BY run) "
+           f"SELECT w.*, k.n, k.method_counts, h.* EXCLUDE (run), m.* EXCLUDE (run, missed_rate), round(m.n_missed / m.n_positive, 6) AS missed_rate, 'negative' AS uncertain_policy "
+           f"FROM w JOIN k ON k.run = w.run JOIN h ON h.run = w.run JOIN ({MISSED_SUMMARY}) m ON m.run = w.run"),
 )
 def run_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """The nested summary of all runs in one job, read back field by field."""
-    out = summarise_runs(table(spark, sf, "results"), table(spark, sf, "manifest"))
-    flat = out.select(
-        "run", "n", "parse_failure_rate", "refusal_rate", F.col("any_hemorrhage.f1").alias("any_f1"), F.col("any_hemorrhage.tp").alias("any_tp"),
-        F.col("per_subtype")["SDH"]["f1"].alias("sdh_f1"), F.col("per_subtype")["SDH"]["support"].alias("sdh_support"), "macro_f1",
-        F.col("missed.n_missed").alias("n_missed"), F.col("missed.missed_SDH").alias("missed_sdh"),
-    )
-    return rounded(flat, "parse_failure_rate", "refusal_rate", "any_f1", "sdh_f1", "macro_f1")
+    out = summarise_runs(table(spark, sf, "results"), table(spark, sf, "manifest"), n_boot=_KEYED_BOOT)
+    cells = {c: F.col("any_hemorrhage") if c == V.ANY else F.col("per_subtype")[c] for c in [V.ANY, *LABELS]}
+    fields = [(cell[f] if f in _WHOLE else F.round(cell[f], 6)).alias(f"{c}_{f}") for c, cell in cells.items() for f in _CELLS]
+    methods = F.array_join(F.array_sort(F.transform(F.map_entries("method_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    flat = out.select("run", "n", "uncertain_policy", "n_failed", "n_refused", "parse_failure_rate", "refusal_rate", "macro_f1", methods.alias("method_counts"), *fields, "missed.*")
+    return rounded(flat, "parse_failure_rate", "refusal_rate", "macro_f1", "missed_rate")
 
 
 # -- audits -------------------------------------------------------------------

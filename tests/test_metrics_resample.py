@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from assaykit.operators import metrics as M
 from assaykit.operators import reports as P
 from assaykit.operators import resample as R
 from assaykit.operators.keys import unique_by
-from assaykit.plans.evaluation import retrieval_verdict, summarise_runs
+from assaykit.plans.evaluation import retrieval_verdict, run_state, state_health, state_methods, state_missed, state_scores, summarise_runs
 
 GT = {"IPH": [1, 1, 0, 1, 0], "IVH": [0, 1, 0, 1, 1], "SAH": [0, 0, 1, 0, 0]}
 PRED = {"IPH": [1, 0, 1, 1, 0], "IVH": [0, 1, 0, 0, 1], "SAH": [1, 0, 1, 0, 0]}
@@ -200,3 +201,50 @@ def test_gate_audit_passes_only_without_errors(spark):
     bad = df.union(spark.createDataFrame([("refuse", "yes")], df.schema))
     r = P.gate_audit(P.gate_outcomes(bad)).first()
     assert not r.ok and r.n_false_pass == 1 and r.false_refusal_rate == 0
+
+
+# -- intervals by cells, one state per run ------------------------------------
+
+
+def slow_quantile(n, p, u):
+    total = 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total >= u:
+            return k
+    return n
+
+
+def test_binomial_quantiles():
+    u = np.random.default_rng(1).random(200)
+    for n, p in [(1, 0.5), (7, 0.2), (40, 0.9), (200, 0.03), (0, 0.4), (5, 0.0), (5, 1.0)]:
+        got = R._quantiles_of_binomial(n, p, u)
+        want = [0 if n == 0 or p == 0 else n if p == 1 else slow_quantile(n, p, x) for x in u]
+        assert got.tolist() == want
+    # a run of any size costs the same, and keeps mean and spread
+    big = R._quantiles_of_binomial(10**10, 0.3, np.random.default_rng(2).random(4000))
+    assert abs(big.mean() - 3e9) < 4 * (2.1e9**0.5) / 4000**0.5 and abs(big.std() / 2.1e9**0.5 - 1) < 0.05
+
+
+def test_cell_intervals_agree_with_the_other_resamplers(spark):
+    c = counts(spark, 150, 60, 20, 25)
+    cells, default = R.cell_ci(c).first(), R.bootstrap_ci(c).first()
+    assert abs(cells.f1_lo - default.f1_lo) < 0.02 and abs(cells.f1_hi - default.f1_hi) < 0.02
+    again = R.cell_ci(c.repartition(3)).first()
+    assert (again.f1_lo, again.f1_hi) == (cells.f1_lo, cells.f1_hi)
+    drawn = R.cell_draws(150, [60, 20, 25], "k", 2000)
+    assert np.abs(drawn.mean(axis=0) - [60, 20, 25]).max() < 0.6 and (drawn.sum(axis=1) <= 150).all()
+    assert not R.cell_draws(10, [0, 0, 0], "k", 5).any() and (R.cell_draws(10, [10, 0, 0], "k", 5)[:, 0] == 10).all()
+
+
+def test_reports_scan_the_pairs_once(spark, tmp_path):
+    labels = ["IPH", "IVH"]
+    rows = [(f"r{i % 2}", str(i), i % 2, i % 3 == 0, True, ["structured", "fallback"][i % 5 == 0], i % 2, 0, i % 2, 1) for i in range(60)]
+    names = "run string, image_file string, pred_any_hem int, refused boolean, parsed boolean, method string, pred_IPH int, pred_IVH int, IPH int, IVH int"
+    spark.createDataFrame(rows, names).withColumn("any_hemorrhage", F.lit(1)).write.parquet(str(tmp_path / "p"))
+    state = run_state(spark.read.parquet(str(tmp_path / "p")), labels=labels)
+    for df in (state_scores(state, labels=labels), state_health(state), state_missed(state, labels=labels), state_methods(state)):
+        assert "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["run"]: r["method_counts"] for r in state_methods(state).collect()} == {"r0": {"structured": 24, "fallback": 6}, "r1": {"structured": 24, "fallback": 6}}
+    scores = {(r["run"], r["class"]): (r.tp, r.fp, r.fn) for r in state_scores(state, labels=labels).collect()}
+    assert scores[("r1", "IPH")] == (30, 0, 0) and scores[("r0", "IVH")] == (0, 0, 30)
