@@ -14,9 +14,9 @@ Shingles are 64-bit hashes, classes 128-bit hashes of sorted sets. Frequent shin
 (shingle, salt), the number of salts following from the frequency table.
 
 Defined cases: a document without words (null or empty text too) has an empty set and is linked with
-nothing; fewer than five words are one shingle; rows repeated with a doc_id are one document (their
-classes meet through the equal id only if the texts are equal); a null doc_id counts as the largest;
-an empty table gives an empty result.
+nothing; fewer than five words are one shingle; rows that share a doc_id but not the text are told apart, and linked
+only by their texts; a null doc_id counts as the largest, and a component of null ids alone has the name null; rows without
+words are named by their own doc_id; an empty table gives an empty result. Rows are known by 64-bit hashes of doc_id and text.
 """
 
 from __future__ import annotations
@@ -26,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from assaykit.llm.common import stored, table
+from assaykit.llm.common import spread_join, stored, table
 
 WORDS, NUM, DEN = 5, 3, 4  # shingle length; linked when the Jaccard index is at least NUM / DEN
 SLOTS, PART = 1 << 20, 1 << 12  # counters of the frequency table, and how many travel in a row
 SALT = 0xFFFF  # the bits of a token that hold its salt
 HOT = 50_000  # classes of a frequent shingle that one task takes
 REMEMBER = 1 << 20  # classes a task remembers as handed on already
-REMEMBER_WORDS = 1 << 18  # words whose hashes a worker remembers
+FLUSH = 1 << 17  # prefix shingles that a task hands on at once
+REMEMBER_WORDS = 1 << 17  # words whose hashes a worker remembers
 NOBODY = (1 << 63) - 1  # stands for a null doc_id
 
 _M = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -112,6 +114,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "doc_id": pdf["doc_id"].astype("Int64"),
+                "mark": pdf["mark"],
                 "n": sizes,
                 "cls": classes,
                 "key": pd.array(keys, "Int64"),
@@ -124,7 +127,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if counts.any():
         parts = [counts[i : i + PART].tobytes() for i in range(0, SLOTS, PART)]
         none = pd.array([None] * len(parts), "Int64")
-        yield pd.DataFrame({"doc_id": none, "n": 0, "cls": None, "key": none, "part": pd.array(range(len(parts)), "Int32"), "counts": parts})
+        yield pd.DataFrame({"doc_id": none, "mark": 0, "n": 0, "cls": None, "key": none, "part": pd.array(range(len(parts)), "Int32"), "counts": parts})
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,14 +137,20 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
 
+def row_mark() -> Column:
+    """Tells rows apart by doc_id and text; rows that are alike in both share it."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(NOBODY)).cast("long"), "text")
+
+
 def digests(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, cls, key) of every row, and the frequency table: SLOTS 4-byte counters whatever the corpus."""
-    both = stored(docs.select("doc_id", "text").mapInPandas(_digest, "doc_id long, n int, cls binary, key long, part int, counts binary"), "digests")
+    """(doc_id, mark, n, cls, key) of every row, and the frequency table: SLOTS 4-byte counters whatever the corpus."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_mark().alias("mark"), "text")
+    both = stored(rows.mapInPandas(_digest, "doc_id long, mark long, n int, cls binary, key long, part int, counts binary"), "digests")
     table_rows = both.where("part is not null").groupBy("part").applyInPandas(_add, "part int, counts binary").collect()
     counts = np.zeros(SLOTS, np.int32)
     for r in table_rows:
         counts[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.int32)
-    return both.where("part is null").select("doc_id", "n", "cls", "key"), counts
+    return both.where("part is null").select("doc_id", "mark", "n", "cls", "key"), counts
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,21 +172,34 @@ def dealt(tokens: np.ndarray, freq: np.ndarray, cls: bytes) -> np.ndarray:
 
 
 def _prefixes(shared_counts):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared_counts.value, set()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                s = shingle_set(text)
+        keys, centrals, parts, held = [], [], [], 0
+
+        def flush():
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(centrals, pa.int32()), tokens], ["key", "central", "tokens"])
+            keys.clear(), centrals.clear(), parts.clear()
+            return made
+
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingle_set(text.as_py())
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) < REMEMBER:
                     seen.add(c)
                 p, f = prefix(s, counts)
-                central = int(1000 * np.log1p(counts[_slot(s)]).mean())
-                out.append((short_key(c), central, dealt(p, f, c).view(np.int64)))
-            if out:
-                yield pd.DataFrame(out, columns=["key", "central", "tokens"])
+                keys.append(short_key(c))
+                centrals.append(int(1000 * np.log1p(counts[_slot(s)]).mean()))
+                parts.append(dealt(p, f, c).view(np.int64))
+                held += len(p)
+                if held >= FLUSH:
+                    yield flush()
+                    held = 0
+        if parts:
+            yield flush()
 
     return rows
 
@@ -188,7 +210,7 @@ def shared_prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     Three numbers travel for each prefix shingle: the salted shingle, the class, and how central the class is with the place.
     """
     spark = docs.sparkSession
-    each = docs.select("text").mapInPandas(
+    each = docs.select("text").mapInArrow(
         _prefixes(spark.sparkContext.broadcast(counts)), "key long, central int, tokens array<long>"
     )
     flat = each.select("key", "central", F.posexplode("tokens").alias("pos", "salted")).select(
@@ -269,11 +291,11 @@ def _marked(ids: DataFrame, key: str) -> DataFrame:
 
 
 def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text), one row an id, of at least the documents in ``ids``: the bitmap keeps most other texts from
+    """(id, text), one row an id (a row's mark), of at least the rows in ``ids``: the bitmap keeps most other texts from
     the shuffle. Callers join by ``id``, not by a semi join, which Spark would move below the bitmap."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << 25))
     marks = stored(_marked(ids, "id"), "bitmap")
-    rows = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), "text").withColumn("__bucket", F.bitmap_bucket_number(bit))
+    rows = docs.select(row_mark().alias("id"), "text").withColumn("__bucket", F.bitmap_bucket_number(bit))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("__map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     near = rows.join(F.broadcast(marks), "__bucket").where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1)
@@ -281,7 +303,7 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (other, hub) of document ids whose whole sets are linked, as (a, b).
+    """The pairs (other, hub) of row marks whose whole sets are linked, as (a, b).
 
     Each ``other`` text is sent once to each of its hubs; a hub's text goes to every salt of its pairs. Texts
     are shuffled twice: to those who ask for them, and from there to the hubs.
@@ -337,11 +359,15 @@ def _cross_pairs(shared: DataFrame) -> DataFrame:
     return met.select(F.col("id_a").alias("other"), F.col("id_b").alias("hub")).distinct()
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per input row."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, name, kept): one row per input row. ``name`` is the smallest doc_id of the row's component, NOBODY
+    where all are null; ``kept`` the mark of the row that stands for it: smallest doc_id, then mark. Both are null without words.
+
+    Classes are known by the mark of one of their rows, so rows that share a doc_id, or have none, are told apart by their texts.
+    """
     rows, counts = digests(docs)
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NOBODY)))
-    classes = stored(rows.where("n > 0").groupBy("cls", "key").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
+    top = F.min(F.struct(F.coalesce("doc_id", F.lit(NOBODY)).alias("low"), "mark")).alias("top")
+    classes = stored(rows.where("n > 0").groupBy("cls", "key").agg(top, F.first("n").alias("n")).withColumn("id", F.col("top.mark")), "classes")
     named = shared_prefixes(docs, counts)
     by_key = classes.select("key", "id", "n")
     shared = stored(
@@ -361,17 +387,32 @@ def join_components(docs: DataFrame) -> DataFrame:
     labelled = shared.join(parts, "id", "left").select("token", "pos", "id", "n", F.coalesce("component", "id").alias("component"))
     more = stored(verified(docs, _cross_pairs(stored(labelled.distinct(), "labelled"))), "links")
     parts = stored(components(links.unionByName(more)), "components")
-    named_rows = rows.join(classes.select("cls", F.col("id").alias("class_id")), "cls", "left")
-    out = named_rows.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
-    least = F.coalesce("component", "class_id", "id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(least != NOBODY, least).alias("component_id"))
+    # documents have their say only now: the smallest doc_id of all classes names the component
+    grouped = stored(classes.join(parts, "id", "left").select("cls", "top", F.coalesce("component", "id").alias("component")), "grouped")
+    names = grouped.groupBy("component").agg(F.min("top").alias("best"))
+    by_class = stored(spread_join(grouped, names, "component").select("cls", F.col("best.low").alias("name"), F.col("best.mark").alias("kept")), "names")
+    return rows.join(by_class, "cls", "left").select("doc_id", "mark", "n", "name", "kept")
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per input row."""
+    name = F.coalesce("name", "doc_id")
+    return _labelled(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(name != NOBODY, name).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document that names each component; documents without words stay."""
-    groups = join_components(docs)
-    keys = groups.where("doc_id is null or doc_id = component_id").select(F.coalesce("doc_id", F.lit(NOBODY)).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce("doc_id", F.lit(NOBODY))).join(keys, "__id", "left_semi").drop("__id")
+    """``docs`` with one row of each component, that of the smallest doc_id (null counts as the largest); rows without words stay.
+
+    Of rows alike in doc_id and text one stays.
+    """
+    rows = _labelled(docs)
+    asked = rows.where("n > 0 and mark = kept").groupBy("mark").agg(F.count("*").alias("__m"))
+    asked = stored(asked.unionByName(rows.where("n = 0").groupBy("mark").agg(F.lit(1).cast("long").alias("__m"))), "kept")
+    marked = docs.select(F.struct("*").alias("__doc"), row_mark().alias("mark")).join(asked, "mark")
+    once = marked.where("__m = 1")
+    # texts are shuffled to be made single only where some rows are alike
+    again = marked.where("__m > 1").dropDuplicates(["mark"])
+    return once.unionByName(again).select("__doc.*")
 
 
 QUERY = "op7_ngram_jaccard_join"

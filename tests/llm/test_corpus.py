@@ -397,6 +397,23 @@ def test_join_edges(spark):
     assert jaccard.join_components(empty(spark)).count() == 0
 
 
+def test_links_of_repeated_and_null_ids(spark):
+    """Rows that share a doc_id, or have none, are linked by their texts; one of each group stays."""
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    rows_ = [(1, t), (5, u), (5, t + " more"), (9, u + " more"), (None, u + " less"), (None, "v " * 9), (None, "v " * 9), (None, " ".join(f"z{i}" for i in range(40))), (None, " ".join(f"z{i}" for i in range(41))), (7, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("mark", F.lit("x")).withColumn("__m", F.lit(1))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(df).collect()), key=repr)
+    want = [(1, 56, 1), (5, 56, 5), (5, 57, 1), (9, 57, 5), (None, 57, 5), (None, 1, None), (None, 1, None), (None, 36, None), (None, 37, None), (7, 0, 7)]
+    assert got == sorted(want, key=repr)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    # one of the two groups of null ids each, 1 for t, 5 for u, and the row without words
+    texts = sorted(r.text for r in kept.collect())
+    assert len(texts) == 5 and t in texts and u in texts and "v " * 9 in texts and "" in texts
+    hub = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit(t + " "), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("")).alias("text"))
+    assert {r.component_id for r in jaccard.join_components(hub).collect()} == {1} and jaccard.keep_one(hub).count() == 1
+
+
 def test_suffix_bound_never_exceeds_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):
