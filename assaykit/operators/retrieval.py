@@ -217,15 +217,23 @@ def hit_rate(
 ) -> DataFrame:
     """Mean over queries of (neighbours sharing a label) / k — k as asked, not as found.
 
-    Queries without any neighbour count as zero.
+    Queries without any neighbour count as zero. Neighbours are counted per pool row and label set of
+    the query before the pool's labels are looked up, so a pool row that is near to a third of all
+    queries is a row for each label set in that join.
     """
-    matched = (
+    counted = (
         neighbours.select(query_id, pool_id, *by)
         .join(queries.select(query_id, F.col(labels).alias("__ql")), query_id)
-        .join(pool.select(pool_id, F.col(labels).alias("__pl")), pool_id)
+        .groupBy(pool_id, "__ql", *by)
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    matched = (
+        counted.join(pool.select(pool_id, F.col(labels).alias("__pl")), pool_id)
         .groupBy(*by)
-        .agg(F.count_if(F.arrays_overlap("__ql", "__pl")).alias("n_matched"))
+        .agg(F.sum(F.when(F.arrays_overlap("__ql", "__pl"), F.col("__n")).otherwise(0)).alias("n_matched"))
     )
+    if not by:
+        matched = matched.withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))  # no neighbours at all
     size = queries.agg(F.count(F.lit(1)).alias("n")).scalar()
     return matched.withColumn("n_query", size).withColumn(
         "hit_rate", F.col("n_matched") / (F.col("n_query") * F.lit(float(k)))
