@@ -2,13 +2,13 @@
 
 A k-mer of code points is chosen when the smallest of its inner s-mers (by hash) is the first or the last:
 the choice looks at the k-mer alone, so equal passages choose equal k-mers wherever they stand, at most
-k - s positions apart. ``anchors`` keeps the positions, for positional matching; ``fingerprint`` keeps the
-WIDTH smallest distinct hashes, a sketch whose overlap estimates the Jaccard index of all chosen k-mers
-(exact for texts with fewer).
+k - s positions apart. ``anchors`` keeps the positions; ``matches`` pairs the places of two texts that hold the
+same anchor, and the likeness of two texts is the share of their anchors that so match, over all of them. The
+``fingerprint`` column is the compact form that is stored: the WIDTH smallest distinct hashes.
 
 Defined cases: a null or empty text has the empty fingerprint, like another empty one 1, like others 0; a text
 shorter than k is one k-mer; the order of documents is descending doc_id, null last, rows repeated with one
-doc_id by the hash of their texts; the last document is followed by the first; an empty table gives an
+doc_id by the hash of their texts, which also splits a doc_id or null that holds many rows; the last document is followed by the first; an empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -75,24 +75,29 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return at, _grams(codes, k)[at]
 
 
+def firsts(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors, ascending by hash, each with its first place."""
+    h, i = np.unique(found[1], return_index=True)
+    return found[0][i], h
+
+
 def matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Pairs of positions at which two texts hold the same anchor (first place of each), by place in ``a``."""
-    ha, ia = np.unique(a[1], return_index=True)
-    hb, ib = np.unique(b[1], return_index=True)
-    _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    pairs = np.column_stack([a[0][ia[x]], b[0][ib[y]]])
+    """Pairs of places at which two texts hold the same anchor, by place in ``a``; both as ``firsts`` gives them."""
+    _, x, y = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
+    pairs = np.column_stack([a[0][x], b[0][y]])
     return pairs[np.argsort(pairs[:, 0], kind="stable")]
 
 
-def sketch(text: str | None, k: int = K, s: int = S, width: int = WIDTH) -> np.ndarray:
-    return np.unique(anchors(text, k, s)[1] >> np.uint64(64 - 4 * HEX))[:width]
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The share of two texts' distinct anchors that match, 0 to 1."""
+    if not len(a[1]) or not len(b[1]):
+        return float(len(a[1]) == len(b[1]))
+    shared = len(matches(a, b))
+    return shared / (len(a[1]) + len(b[1]) - shared)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)[:width]
-    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+def sketch(distinct: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> np.ndarray:
+    return np.unique(distinct[1] >> np.uint64(64 - 4 * HEX))[:width]
 
 
 def as_text(sketch: np.ndarray) -> str:
@@ -109,7 +114,7 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, width: int = WIDTH) ->
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"].astype("Int64"),
-                    "fingerprint": [as_text(sketch(t, k, s, width)) for t in pdf["text"]],
+                    "fingerprint": [as_text(sketch(firsts(f), width)) for f in found],
                     "positions": [p for p, _ in found],
                     "hashes": [h.view(np.int64) for _, h in found],
                 }
@@ -121,22 +126,30 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, width: int = WIDTH) ->
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows dealt into ranges of doc_id, each followed by a guest: the first row of the range after it.
 
-    Ranges come from quantiles of the ids; a few numbers for each range reach the driver, four ranges for
-    each shuffle partition. Texts are shuffled once.
+    Ranges come from quantiles of the ids; a few numbers for each range reach the driver, eight ranges for
+    each shuffle partition at most. An id that several quantiles name is split by the hash of its texts into
+    as many ranges, and so are rows without id. Texts are shuffled once.
     """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) or []
-    bounds = -np.array(sorted(set(cuts), reverse=True))
+    bounds, times = np.unique(-np.array(cuts), return_counts=True)
+    parts = np.append(times, [1, n])  # ranges at each bound, past the last one, and of the rows without id
+    starts = np.cumsum(parts) - parts
 
     @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(dtype="float64", na_value=np.inf)
-        return pd.Series(np.where(np.isinf(v), len(bounds) + 1, np.searchsorted(bounds, -v)).astype("int32"))
+    def bucket(x: pd.Series, tie: pd.Series) -> pd.Series:
+        v = -x.to_numpy(dtype="float64", na_value=-np.inf)
+        at = np.where(np.isinf(v), len(bounds) + 1, np.searchsorted(bounds, v))
+        # rows of an id in descending order of the hash; greater ids come before them, in the first of its ranges
+        down = ~(tie.to_numpy(dtype="int64").view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        inside = (down * parts[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        own = np.append(bounds, [np.nan, np.inf])[at] == v
+        return pd.Series((starts[at] + np.where(own, inside, 0)).astype("int32"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("bucket", bucket("doc_id"))
+    rows = rows.withColumn("bucket", bucket("doc_id", "tie"))
     first = F.max(F.struct("doc_id", "tie")).alias("first")
     tops = sorted((r.bucket, r.first.doc_id, r.first.tie) for r in rows.groupBy("bucket").agg(first).collect())
     if not tops:
@@ -156,19 +169,19 @@ def in_order(docs: DataFrame) -> DataFrame:
 def _edited(k: int, s: int, width: int):
     import hashlib
 
-    def row(doc_id, text, own, following, next_sketch):
+    def row(doc_id, text, own, following, next_anchors):
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
-        new = sketch(changed, k, s, width)
+        new = firsts(anchors(changed, k, s))
         digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), digest, as_text(own), as_text(new), likeness(own, new, width), likeness(own, next_sketch, width)
+        return doc_id, len(text), digest, as_text(sketch(own, width)), as_text(sketch(new, width)), likeness(own, new), likeness(own, next_anchors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # the row that waits for the one after it
         for pdf in batches:
             out = []
             for doc_id, text, bucket, guest in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["bucket"], pdf["guest"]):
-                own = sketch(text, k, s, width)
+                own = firsts(anchors(text, k, s))
                 if last is not None and last[0] == bucket:
                     out.append(row(*last[1:], text, own))
                 last = None if guest else (bucket, doc_id, text, own)
