@@ -3,8 +3,8 @@
 Every line is good or bad; its features describe it and the lines beside it, so the chain sees neighbours
 both in features and in transitions. Forward and backward passes give each line's probability of being
 good; the mean weighted by line length is the document's, calibrated on the learning rows by a logistic
-curve. Learning happens on the driver on a bounded sample of labelled rows (``SAMPLE`` documents, chosen by
-hash, ``LINES`` lines of each, spread evenly); scoring reads all texts whole, in tasks.
+curve. Learning happens on the driver on a bounded sample of labelled rows, each of them whole: at most ``SAMPLE``
+documents, chosen by hash, of at most ``LONGEST`` lines each and ``LINES`` together. Scoring reads all texts whole, in tasks.
 
 Defined cases: a null or empty text is one empty line and gets that line's score; rows are independent, so
 repeated rows get equal scores; a table without labels of both kinds to learn from gives every document 0.5;
@@ -19,12 +19,13 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import table, whole
+from assaykit.llm.common import stored, table, whole
 
-SAMPLE, LINES, STEPS, RATE, RIDGE = 3000, 64, 200, 0.1, 1e-3
+SAMPLE, LONGEST, LINES = 3000, 512, 150_000
+STEPS, RATE, RIDGE = 200, 0.1, 1e-3
 OWN, FEATURES = 15, 33  # features of a line by itself; with those of its neighbours, the equality with the line before, two edges and a constant
 _CLASSES = 9  # lower, upper, digit, space, point, mark, bar, symbol, other
 
@@ -182,27 +183,21 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS, rate
     return model
 
 
-def _spread_lines(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(w) <= LINES:
-        return x, w
-    keep = np.linspace(0, len(w) - 1, LINES).astype(int)
-    return x[keep], w[keep]
-
-
 def held_out():
     """Rows that are never learnt from: those whose remainder is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of ``labels.quality`` from at most ``sample`` documents; None where one kind of label is missing."""
+    """A model of ``labels.quality`` from at most ``sample`` whole documents; None where one kind of label is missing."""
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = docs.select("doc_id", whole().alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = chosen.where(F.size(F.split("text", "\n")) <= LONGEST)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [_spread_lines(*line_features(t)) for t in pdf["text"]]
+            made = [line_features(t) for t in pdf["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
@@ -216,7 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     # rows repeated with one doc_id would pass the bound: one of them is enough to learn from
     features = chosen.mapInPandas(run, "doc_id long, quality int, n int, x binary, w binary")
     features = features.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("quality", "n")], F.min(F.struct("x", "w")).alias("f"))
-    rows = sorted(features.collect(), key=lambda r: r.doc_id)
+    # at most ``sample`` rows: whole documents in the order of their hashes, as long as their lines fit together
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    features = stored(features, "line-features")
+    fits = features.select("doc_id", F.sum("n").over(order).alias("lines")).where(F.col("lines") <= LINES).select("doc_id")
+    rows = sorted(features.join(fits, "doc_id").collect(), key=lambda r: r.doc_id)
     got = [(np.frombuffer(r.f.x, np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(r.f.w, np.float32).astype(float), r.quality) for r in rows]
     return fit(got) if len({y for *_, y in got}) == 2 else None
 
