@@ -100,12 +100,12 @@ def exact_groups(docs: DataFrame, **how) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns stay."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    keys = rows.select(F.col("__row").alias("doc_id"), F.struct("doc_id", "__row").alias("__key"), "text")
-    groups = recipes(keys.select(F.col("__key").alias("doc_id"), "text"))
-    kept = groups.groupBy("recipe").agg(F.max("doc_id").alias("__top")).select(F.col("__top.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    """``docs`` without the rows whose text another row keeps; all columns stay, whatever their names."""
+    rows = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    key = F.struct(F.col("doc.doc_id").alias("id"), "row")
+    groups = recipes(rows.select(key.alias("doc_id"), F.col("doc.text").alias("text")))
+    kept = groups.groupBy("recipe").agg(F.max("doc_id").alias("top")).select(F.col("top.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 QUERY = "op5_exact_dedup"
