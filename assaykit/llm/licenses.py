@@ -4,7 +4,7 @@ Texts are normalised (A-Z lower-cased, everything but a-z and 0-9 a separator) a
 word bigrams. With a set of m bigrams and a template of n, Dice 2c/(m+n) can reach the threshold only if
 m lies in [t/(2-t) n, (2-t)/t n]; templates are joined by that size range, so a text meets only
 templates it could match. A match holds most bigrams of its template, so texts and stretches without any of a
-few of them are left alone before their bigrams are made. Built-in functions only.
+few of them, one word beside the other, are left alone before their bigrams are made. Built-in functions only.
 
 A licence that no whole line, paragraph or document gives is looked for in every stretch of as many bigrams as
 could match, within a line or over several. The best stretch begins and ends with a bigram of the template, as
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from assaykit.llm.common import ascii_lower, table, whole
 
 THRESHOLD = 0.8
-# The template list is a parameter that a user extends; the broadcast is bounded by this many words.
-MOST_TEMPLATE_WORDS = 1_000_000
+# The template list is a parameter that a user extends. Both broadcasts grow in proportion to its text: a template's
+# bigrams are sent once, and its keys, at most three for every two words, hold its name and a bigram at most.
+MOST_TEMPLATE_BYTES = 4 << 20
 
 # Customary wording of licence notices.
 TEMPLATES = {
@@ -71,19 +72,22 @@ def size_bounds(n: Column, threshold: float) -> tuple[Column, Column]:
     return F.ceil(threshold / (2 - threshold) * n - F.lit(1e-9)), F.floor((2 - threshold) / threshold * n + F.lit(1e-9))
 
 
-def template_keys(spark, templates: dict[str, str], threshold: float) -> DataFrame:
-    """A row per template and bigram count that could match it, and one per template and telling bigram; their
-    number depends on the templates alone."""
-    if sum(len(t.split()) for t in templates.values()) > MOST_TEMPLATE_WORDS:
-        raise ValueError("too many template words to broadcast")
+def known_templates(spark, templates: dict[str, str], threshold: float) -> DataFrame:
+    """A row per template: its bigrams, the bigram counts that could match it, and its telling bigrams."""
+    if sum(len(t.encode()) for t in templates.values()) > MOST_TEMPLATE_BYTES:
+        raise ValueError("too much template text to broadcast")
     tells = [F.array(*[F.lit(" ".join(p)) for p in telling_pairs({k: t}, threshold)]).cast("array<string>") for k, t in templates.items()]
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template"), a.alias("__tell")) for (k, t), a in zip(templates.items(), tells)])
     known = spark.range(1, numPartitions=1).select(F.inline(listed))
     known = known.select("license", "__tell", bigrams(words(F.col("template"))).alias("__b")).withColumn("__n", F.size("__b")).where("__n > 0")
     least, most = (c.cast("int") for c in size_bounds(F.col("__n"), threshold))
-    known = known.withColumn("__least", least).withColumn("__most", most)
+    return known.withColumn("__least", least).withColumn("__most", most)
+
+
+def template_keys(known: DataFrame) -> DataFrame:
+    """(license, key): a row per bigram count that could match a template and one per telling bigram."""
     sizes = F.transform(F.sequence("__least", "__most"), lambda m: m.cast("string"))
-    return known.withColumn("__key", F.explode(F.concat(sizes, "__tell")))
+    return known.select("license", F.explode(F.concat(sizes, "__tell")).alias("__key"))
 
 
 def longest_stretch(templates: dict[str, str], threshold: float) -> int:
@@ -120,18 +124,22 @@ def telling_pairs(templates: dict[str, str], threshold: float) -> list[tuple[str
 
 
 def may_match(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Whether a lower-cased text has both words of a pair, wherever they stand: never false for a match."""
-    by_word: dict[str, list[str]] = {}
+    """Whether a lower-cased text has a pair's words beside each other: never false for a match.
+
+    Most texts lack the longer word, which a plain search tells; only those with both words meet the pattern.
+    """
+    by_word: dict[str, list[tuple[str, str]]] = {}
     for a, b in pairs:
-        by_word.setdefault(max(a, b, key=len), []).append(min(a, b, key=len))
+        by_word.setdefault(max(a, b, key=len), []).append((a, b))
     either = lambda parts: reduce(lambda x, y: x | y, parts, F.lit(False))
-    return either(text.contains(w) & either(text.contains(v) for v in others) for w, others in by_word.items())
+    beside = lambda a, b: text.contains(min(a, b, key=len)) & text.rlike(f"(?<![a-z0-9]){a}[^a-z0-9]+{b}(?![a-z0-9])")
+    return either(text.contains(w) & either(beside(a, b) for a, b in found) for w, found in by_word.items())
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice): the best Dice of each row with each licence that reaches the threshold."""
     templates = templates or TEMPLATES
-    known = template_keys(docs.sparkSession, templates, threshold)
+    known = known_templates(docs.sparkSession, templates, threshold)
     pairs, reach = telling_pairs(templates, threshold), longest_stretch(templates, threshold)
     text, own = F.col("__l"), F.col("__p")
     as_unit = lambda units, is_whole: F.transform(units, lambda u: F.struct(u.alias("__u"), F.lit(is_whole).alias("__whole")))
@@ -144,7 +152,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     made = rows.select("doc_id", "__row", "__whole", pairs_of(words(F.col("__u"))).alias("__p"))
     tells = F.filter(F.array_distinct(own), lambda p: p.isin([" ".join(p) for p in pairs]))
     keys = F.when(F.col("__whole"), F.array(F.size(F.array_distinct(own)).cast("string"))).otherwise(tells)
-    met = made.withColumn("__key", F.explode(keys)).join(F.broadcast(known), "__key")
+    met = made.withColumn("__key", F.explode(keys)).join(F.broadcast(template_keys(known)), "__key").join(F.broadcast(known), "license")
     shared = F.size(F.array_intersect("__p", "__b"))
     # a block meets a template once, by the first of its telling bigrams
     met = met.where((shared >= F.col("__least")) & (F.col("__whole") | (F.get(F.array_intersect("__tell", "__p"), F.lit(0)) == F.col("__key"))))
@@ -159,22 +167,35 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 QUERY = "op2_license_scan"
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 _WORDS = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
-_PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_PAIRS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+_REACH = f"BETWEEN {THRESHOLD} / (2 - {THRESHOLD}) * {{n}} - 1e-9 AND (2 - {THRESHOLD}) / {THRESHOLD} * {{n}} + 1e-9"
 SQL = f"""
 WITH t(license, template) AS (VALUES {_VALUES}),
 tw AS (SELECT license, {_WORDS.format('template')} AS w FROM t),
-tb AS (SELECT license, {_PAIRS.format('w')} AS b FROM tw),
+tb AS MATERIALIZED (SELECT license, list_distinct({_PAIRS.format('w')}) AS b FROM tw),
+tx AS (SELECT license, len(b) AS n, unnest(b) AS g FROM tb),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
 u AS (
-  SELECT doc_id, unnest(list_distinct(list_concat(list_concat(string_split(x, chr(10)), string_split_regex(x, '\\n\\s*\\n')), [x]))) AS x
-  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+  SELECT r, unnest(list_distinct(list_concat(list_concat(string_split(x, chr(10)), string_split_regex(x, '\\n\\s*\\n')), [x]))) AS x FROM d
+),
+uw AS (SELECT r, {_WORDS.format('x')} AS w FROM u),
+ub AS (SELECT r, list_distinct({_PAIRS.format('w')}) AS a FROM uw WHERE len(w) > 1),
+units AS (
+  SELECT r, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice, true AS whole_unit
+  FROM ub JOIN tb ON len(a) {_REACH.format(n='len(b)')}
+),
+dw AS (SELECT r, {_WORDS.format('x')} AS w FROM d),
+dp AS MATERIALIZED (SELECT r, {_PAIRS.format('w')} AS p FROM dw WHERE len(w) > 1),
+gs AS (SELECT r, unnest(p) AS g, generate_subscripts(p, 1) AS i FROM dp),
+hits AS MATERIALIZED (SELECT r, license, n, i FROM gs JOIN tx USING (g)),
+ends AS (
+  SELECT x.r, license, x.i AS i, y.i AS j FROM hits x JOIN hits y USING (r, license) WHERE y.i - x.i + 1 {_REACH.format(n='x.n')}
 ),
-uw AS (SELECT doc_id, {_WORDS.format('x')} AS w FROM u),
-ub AS (SELECT doc_id, {_PAIRS.format('w')} AS a FROM uw WHERE len(w) > 1),
-s AS (
-  SELECT doc_id, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM ub JOIN tb ON len(a) BETWEEN {THRESHOLD} / (2 - {THRESHOLD}) * len(b) - 1e-9 AND (2 - {THRESHOLD}) / {THRESHOLD} * len(b) + 1e-9
-)
-SELECT doc_id, license, CAST(max(dice) AS DOUBLE) AS dice FROM s WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
+cut AS (SELECT r, license, b, list_distinct(list_slice(p, i, j)) AS a FROM ends JOIN dp USING (r) JOIN tb USING (license)),
+stretches AS (SELECT r, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice, false AS whole_unit FROM cut),
+s AS (SELECT * FROM units UNION ALL SELECT * FROM stretches)
+SELECT doc_id, license, CAST(coalesce(max(dice) FILTER (whole_unit), max(dice)) AS DOUBLE) AS dice
+FROM s JOIN d USING (r) WHERE dice >= {THRESHOLD} GROUP BY r, doc_id, license
 """
 
 
