@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -75,6 +76,25 @@ def test_keyed_interval_agrees_with_default(spark):
     assert abs(keyed.f1_lo - default.f1_lo) < 0.025 and abs(keyed.f1_hi - default.f1_hi) < 0.025
 
 
+def test_keyed_draws_are_shared_by_groups_and_spread_over_tasks(spark, monkeypatch):
+    sizes = {("r", "c"): (40, 9, 8, 7), ("r", None): (25, 0, 3, 4), (None, "d"): (7, 7, 0, 0), ("s", "d"): (0, 0, 0, 0)}
+    c = spark.createDataFrame([(*k, *v) for k, v in sizes.items()], "run string, class string, n long, tp long, fp long, fn long")
+    want = {}
+    for key, (n, *cells) in sizes.items():
+        for b in range(6 if n else 0):
+            at = [int(hashlib.md5(f"5|{b}|{j}".encode()).hexdigest()[:15], 16) % n for j in range(n)]
+            ends = np.cumsum([0, *cells])
+            want[*key, b] = tuple(sum(lo <= x < hi for x in at) for lo, hi in zip(ends, ends[1:]))
+    for stretch, groups in ((R._STRETCH, R._GROUPS), (10, 1)):
+        monkeypatch.setattr(R, "_STRETCH", stretch)
+        monkeypatch.setattr(R, "_GROUPS", groups)
+        rows = R.keyed_bootstrap(c, n_boot=6, seed=5).collect()
+        assert {(r.run, r["class"], r.b): (r.tp, r.fp, r.fn) for r in rows} == want
+    monkeypatch.setattr(R, "_TASK_DRAWS", 60)
+    tasks = R.keyed_bootstrap(c, n_boot=6, seed=5).select(F.spark_partition_id())
+    assert "REPARTITION_BY_NUM" in tasks._jdf.queryExecution().toString()  # adaptive execution leaves these tasks as they are
+
+
 def test_interval_is_the_same_under_repartitioning(spark):
     pairs = hand_example(spark)
     a = R.score_with_ci(pairs, classes=CLASSES).orderBy("class").collect()
