@@ -13,6 +13,7 @@ from assaykit.operators import reports as P
 from assaykit.operators import resample as R
 from assaykit.operators.keys import unique_by
 from assaykit.plans.evaluation import retrieval_verdict, run_state, state_health, state_methods, state_missed, state_scores, summarise_runs
+from suite import reports
 
 GT = {"IPH": [1, 1, 0, 1, 0], "IVH": [0, 1, 0, 1, 1], "SAH": [0, 0, 1, 0, 0]}
 PRED = {"IPH": [1, 0, 1, 1, 0], "IVH": [0, 1, 0, 0, 1], "SAH": [1, 0, 1, 0, 0]}
@@ -215,6 +216,24 @@ def test_markdown_line(spark):
     assert P.markdown_rows(table).first().line == "| D | M | 150 | 0.575 | [0.479, 0.663] | 0.500 | 0.700 | 25.0% (10/40) | 0.0% | 2.0% |"
 
 
+def test_comparison_lines_resample_row_by_row(spark, monkeypatch):
+    flags = [(str(i), *f) for i, f in enumerate([(1, 1)] * 31 + [(0, 1)] * 11 + [(1, 0)] * 17 + [(0, 0)] * 24)]
+    pairs = spark.createDataFrame(
+        [("base", k, g, *[0] * 5, p, *[0] * 5, False, True) for k, g, p in flags],
+        "run string, image_file string, any_hemorrhage int, IPH int, IVH int, SAH int, EDH int, SDH int, pred_any_hem int, pred_IPH int, pred_IVH int, "
+        "pred_SAH int, pred_EDH int, pred_SDH int, refused boolean, parsed boolean",
+    )
+    monkeypatch.setattr(reports, "_state", lambda *_: run_state(pairs))
+    line = {r.method: r.line for r in reports.comparison_markdown(spark, "").collect()}["No context"]
+    f1 = []
+    for b in range(200):  # rows in the order tp, fp, fn, rest
+        at = [int(hashlib.md5(f"42|{b}|{j}".encode()).hexdigest()[:15], 16) % 83 for j in range(83)]
+        tp, wrong = sum(x < 31 for x in at), sum(31 <= x < 59 for x in at)
+        f1.append(2 * tp / (2 * tp + wrong) if tp else 0.0)
+    lo, hi = (sorted(f1)[i] for i in (5, 195))
+    assert f"| 0.689 | [{lo:.3f}, {hi:.3f}] |" in line
+
+
 def test_gate_audit_passes_only_without_errors(spark):
     df = spark.createDataFrame([("answer", "YES"), ("refuse", "no")], "expected string, answer string")
     assert P.gate_audit(P.gate_outcomes(df)).first().ok
