@@ -67,7 +67,7 @@ def nearest(
     than k gives all of it. ``exclude_self`` skips a pool row with the query's own id.
     ``dim`` saves looking at a row when the vectors are computed, not stored. In rounds, which
     run at once, a block holds about ``block_rows`` rows (by default ``BLOCK_BYTES``), a chunk
-    ``chunk_bytes`` (by default ``broadcast_bytes``); ``prune`` only changes what is read, and
+    ``chunk_bytes`` (by default ``broadcast_bytes``), and where that makes many chunks a round takes several; ``prune`` only changes what is read, and
     ``on_round`` is told (round, blocks read, blocks there are).
     """
     if k < 1:
@@ -108,13 +108,13 @@ def nearest(
 
     if strategy == "stream_pool":
         small = q.toArrow()
-        held = spark.sparkContext.broadcast((ids_of(small.column(0)), matrix(small.column(1), dim) if len(small) else np.empty((0, dim))))
+        held = spark.sparkContext.broadcast((ids_of(small.column(0)), matrix(small.column(1), dim, narrow=True) if len(small) else np.empty((0, dim))))
 
         def scan_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             running = Running(*held.value, k, exclude_self)
             for b in batches:
                 if b.num_rows:
-                    running.add(ids_of(b.column(0)), matrix(b.column(1), dim), classes(b))
+                    running.add(ids_of(b.column(0)), matrix(b.column(1), dim, narrow=True), classes(b))
             yield from running.batches(arrow)
 
         found = p.mapInArrow(scan_pool, schema)
@@ -123,7 +123,7 @@ def nearest(
         held = spark.sparkContext.broadcast(
             (
                 ids_of(small.column(0)),
-                matrix(small.column(1), dim) if len(small) else np.empty((0, dim)),
+                matrix(small.column(1), dim, narrow=True) if len(small) else np.empty((0, dim)),
                 classes(small),
             )
         )
@@ -131,7 +131,7 @@ def nearest(
         def scan_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    running = Running(ids_of(b.column(0)), matrix(b.column(1), dim), k, exclude_self)
+                    running = Running(ids_of(b.column(0)), matrix(b.column(1), dim, narrow=True), k, exclude_self)
                     running.add(*held.value)
                     yield from running.batches(arrow)
 
@@ -139,7 +139,7 @@ def nearest(
     elif strategy == "rounds":
         rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (dim * 8 + 64)))
         if n_q and n_p:
-            found = in_rounds(q, p, k, query_id, pool_id, vector, by, exclude_self, dim, (n_q, n_p), schema, arrow, rows, chunk_bytes or broadcast_bytes, prune, on_round)
+            found = in_rounds(q, p, k, query_id, pool_id, vector, by, exclude_self, dim, (n_q, n_p), schema, arrow, rows, chunk_bytes or broadcast_bytes, prune, on_round, broadcast_bytes)
         else:
             found = spark.createDataFrame([], schema)
     else:

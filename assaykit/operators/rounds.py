@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.operators.ordering import smallest_by_hash
-from assaykit.operators.topk import Running, best, ids_of, matrix
+from assaykit.operators.topk import BLOCK_ROWS, Running, best, ids_of, matrix
 from assaykit.session import shared_folder, written
 
 SEEDS = 512
+ROUNDS = 12  # more rounds than these take several chunks each, as far as a broadcast may hold them
 _SLACK = 1e-6  # more than sums of rounded products can be off
 
 
@@ -133,11 +134,12 @@ def _range(side: Side, live: np.ndarray) -> DataFrame:
 def in_rounds(
     queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id: str, vector: str, by: str | None, exclude_self: bool,
     dim: int, sizes: tuple[int, int], schema: T.StructType, arrow: pa.Schema, block_rows: int, chunk_bytes: int, prune: bool = True,
-    on_round: Callable[[int, int, int], None] | None = None,
+    on_round: Callable[[int, int, int], None] | None = None, most_bytes: int = 0,
 ) -> DataFrame:
     """(query_id, pool_id, sim[, by]): rows among which are the k best of each query (and class); at most k rows a query, class and chunk or task.
 
-    Runs at once, a job or two a round. ``on_round`` is told the round, the blocks read, and the blocks there are. With ``by`` a class
+    Runs at once, a job or two a round. Each round reads the larger side, so chunks that would make more than ``ROUNDS`` of them
+    are taken together, up to ``most_bytes``. ``on_round`` is told the round, the blocks read, and the blocks there are. With ``by`` a class
     may have its k-th row anywhere, so nothing is pruned.
     """
     spark = queries.sparkSession
@@ -149,8 +151,9 @@ def in_rounds(
     streamed_queries = sizes[1] <= sizes[0]
     small, large = (p, q) if streamed_queries else (q, p)
 
+    together = max(chunk_bytes, min(most_bytes, -(-int(small.rows.sum()) * row_bytes // ROUNDS)))
     done = 0
-    for chunk in _chunks(small, row_bytes, chunk_bytes):
+    for chunk in _chunks(small, row_bytes, together):
         live = np.ones(len(large.rows), dtype=bool)
         if prune:
             reach = _reach(large.centre, large.radius, small, chunk)
@@ -190,11 +193,13 @@ def _past_pool(spark, held: pa.Table, small: Side, large: Side, chunk: slice, li
     parts = []
     for b in np.unique(block):
         rows = held.filter(pa.array(block == b))
-        parts.append((small.centre[b], small.radius[b], ids_of(rows.column(0)), matrix(rows.column(1), dim), ids_of(rows.column(2)) if by else None))
+        parts.append((small.centre[b], small.radius[b], ids_of(rows.column(0)), matrix(rows.column(1), dim, narrow=True), ids_of(rows.column(2)) if by else None))
     shared = spark.sparkContext.broadcast((parts, live, large.bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, live, bound = shared.value
+        centres, radii = np.stack([p[0] for p in parts]), np.array([p[1] for p in parts])
+        most = max(1, BLOCK_ROWS * len(parts) // max(1, sum(len(p[2]) for p in parts)))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -202,17 +207,23 @@ def _past_pool(spark, held: pa.Table, small: Side, large: Side, chunk: slice, li
             for b, rows in _by_block(batch, names.index("__block")):
                 if not live[b]:
                     continue
-                v, kth = matrix(rows.column(1), dim), rows.column(names.index("__kth")).to_numpy()
-                running, long = Running(ids_of(rows.column(0)), v, k, exclude_self), np.linalg.norm(v, axis=1)
-                # the most promising blocks come first and raise the bounds for the others
-                for centre, radius, pid, mat, cls in sorted(parts, key=lambda p: -float((v @ p[0]).max() + p[1])) if prune else parts:
-                    who = None
-                    if prune:
-                        least = np.maximum(np.maximum(kth, bound[b]), running.kth())
-                        who = np.flatnonzero(v @ centre + long * radius >= least - _SLACK)
-                        if not len(who):
-                            continue
-                    running.add(pid, mat, cls, who)
+                v, kth = matrix(rows.column(1), dim, narrow=True), rows.column(names.index("__kth")).to_numpy()
+                running = Running(ids_of(rows.column(0)), v, k, exclude_self)
+                if prune:
+                    reach = v @ centres.T + np.linalg.norm(v.astype(np.float64), axis=1)[:, None] * radii
+                    # the most promising blocks come first and raise the bounds for the others, which come many at once
+                    order, at, many = np.argsort(-reach.max(axis=0)), 0, 1
+                    while at < len(order):
+                        chosen = order[at : at + many]
+                        at, many = at + many, min(2 * many, most)
+                        least = np.maximum(np.maximum(kth, bound[b]), running.kth()) - _SLACK
+                        near = reach[:, chosen] >= least[:, None]
+                        who, met = np.flatnonzero(near.any(axis=1)), [parts[i] for i in chosen[near.any(axis=0)]]
+                        if len(who):
+                            running.add(np.concatenate([p[2] for p in met]), np.concatenate([p[3] for p in met]), None, who, least[who])
+                else:
+                    for _, _, pid, mat, cls in parts:
+                        running.add(pid, mat, cls)
                 for made in running.batches(arrow):
                     yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(made.num_rows, b, "int32"))], [*arrow.names, "__block"])
 
@@ -222,24 +233,26 @@ def _past_pool(spark, held: pa.Table, small: Side, large: Side, chunk: slice, li
 def _past_queries(spark, held: pa.Table, small: Side, large: Side, chunk: slice, live, k, dim, by, exclude_self, prune, arrow):
     """Stream the pool past a chunk of queries: each task keeps the queries' best rows so far."""
     shared = spark.sparkContext.broadcast(
-        (ids_of(held.column(0)), matrix(held.column(1), dim), held.column("__kth").to_numpy(), large.centre, large.radius, live)
+        (ids_of(held.column(0)), matrix(held.column(1), dim, narrow=True), held.column("__kth").to_numpy(), large.centre, large.radius, live)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, v, kth, centre, radius, live = shared.value
-        running, long = Running(qid, v, k, exclude_self), np.linalg.norm(v, axis=1)
+        running, long = Running(qid, v, k, exclude_self), np.linalg.norm(v.astype(np.float64), axis=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
             for b, rows in _by_block(batch, batch.schema.names.index("__block")):
                 if not live[b]:
                     continue
-                who = None
+                who = floor = None
                 if prune:
-                    who = np.flatnonzero(v @ centre[b] + long * radius[b] >= np.maximum(kth, running.kth()) - _SLACK)
+                    least = np.maximum(kth, running.kth()) - _SLACK
+                    who = np.flatnonzero(v @ centre[b] + long * radius[b] >= least)
                     if not len(who):
                         continue
-                running.add(ids_of(rows.column(0)), matrix(rows.column(1), dim), ids_of(rows.column(2)) if by else None, who)
+                    floor = least[who]
+                running.add(ids_of(rows.column(0)), matrix(rows.column(1), dim, narrow=True), ids_of(rows.column(2)) if by else None, who, floor)
         for made in running.batches(arrow):
             yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(made.num_rows, -1, "int32"))], [*arrow.names, "__block"])
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.operators import retrieval as X
+from assaykit.operators import topk
 from assaykit.operators.nearest import nearest
 from assaykit.operators.sampling import random_per_query
 
@@ -113,6 +114,44 @@ def test_rounds_on_vectors_of_any_length(spark):
     assert lists(nearest(qs, ps, 5, strategy="rounds", block_rows=6, chunk_bytes=900)) == want
 
 
+def test_few_rounds_however_small_the_chunks(spark):
+    rng = np.random.default_rng(11)
+    v = unit(rng, 600, 8)
+    qs, ps = frames(spark, v, v)
+    seen = []
+    got = nearest(qs, ps, 3, exclude_self=True, strategy="rounds", block_rows=5, chunk_bytes=700, on_round=lambda *x: seen.append(x))
+    assert lists(got) == brute(v, v, 3, skip_self=True)
+    assert len(seen) <= 16
+
+
+@pytest.mark.parametrize("scale", [1.0, 50.0])
+def test_rows_ruled_out_in_single_precision_change_nothing(scale):
+    rng = np.random.default_rng(12)
+    p = unit(rng, 6000) * np.float32(scale)
+    p[100:4000:13] = p[7]  # ties
+    p[4001] = p[7] + np.float32(1e-7)  # nearer than single precision can tell
+    q = np.vstack([p[:40], p[4001:4003]])
+    for who in (None, np.arange(0, 42, 2)):
+        running = topk.Running(np.arange(42), q, 5, True)
+        running.add(np.arange(6000), p, None)
+        sims, ids = running.best[None]
+        products = np.rint(q.astype(np.float64) @ p.astype(np.float64).T * 1e9)
+        for i in range(42):
+            order = sorted((j for j in range(6000) if j != i), key=lambda j: (-products[i, j], j))[:5]
+            assert ids[i].tolist() == order
+        if who is not None:
+            running.add(np.array([7000, 7001]), p[[7, 9]], None, who, sims[who, -1])
+            assert all(running.best[None][0][i, -1] >= sims[i, -1] for i in range(42))
+
+
+def test_known_rows_leave_few_products_in_double_precision(monkeypatch):
+    whole = []
+    monkeypatch.setattr(topk, "_whole_product", lambda q, p, *rest, do=topk._whole_product: (whole.append(len(p)), do(q, p, *rest)))
+    v = unit(np.random.default_rng(13), 30_000)
+    topk.Running(np.arange(50), v[:50], 5, True).add(np.arange(30_000), v, None)
+    assert sum(whole) <= topk.FIRST_ROWS
+
+
 def test_bad_input(spark):
     qs, ps = frames(spark, unit(np.random.default_rng(5), 2), unit(np.random.default_rng(5), 2, 8))
     with pytest.raises(ValueError, match="differ in length"):
