@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from assaykit import fixed_values as V
 
 FLAGS = "(?iudU)"
-_SPACE = r"[\s\x1c-\x1f]"
+# white space by Unicode, and the four separators that count as such
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _rx(pattern: str) -> str:
@@ -24,7 +25,7 @@ def _rx(pattern: str) -> str:
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only the ASCII blank."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACES))  # reads the ends only; a regex would try every space in between
 
 
 def strip_thinking(text: Column) -> Column:
@@ -35,8 +36,8 @@ def strip_thinking(text: Column) -> Column:
 # -- reading long texts -------------------------------------------------------
 # A regex walks a text character by character; a substring search is many times
 # faster. Every pattern here begins with one of a few literal beginnings, so a text
-# without any of them is not searched at all, and the prose scan, which needs several
-# passes, starts just before the first of them.
+# without any of them is not searched at all, and others are searched from just before the
+# first of them.
 
 BEGINNINGS = {
     "verdict": ["hemorrhage"],
@@ -80,8 +81,8 @@ def tail(text: Column, low: Column, odd: Column, beginnings: Sequence[str]) -> C
     return F.when(odd | _contains_any(low, beginnings), F.substring(text, start, F.lit(2**31 - 1)))
 
 
-def _searchable(text: Column, name: str) -> Column:
-    return searchable(text, F.lower(text), folding(text), BEGINNINGS[name])
+def _part(text: Column, name: str, low: Column | None = None, odd: Column | None = None) -> Column:
+    return tail(text, F.lower(text) if low is None else low, folding(text) if odd is None else odd, BEGINNINGS[name])
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,9 +95,12 @@ def passes_gate(answer: Column) -> Column:
     return F.coalesce(~F.upper(strip(answer)).startswith("NO"), F.lit(True))
 
 
-def verdict(text: Column) -> Column:
-    """The verdict line as 1 / 0 / -1, or null when absent or unknown."""
-    return _verdict(_searchable(text, "verdict"))
+def verdict(text: Column, low: Column | None = None, odd: Column | None = None) -> Column:
+    """The verdict line as 1 / 0 / -1, or null when absent or unknown.
+
+    Here and below, ``low`` and ``odd`` spare lower-casing a text again for each reading.
+    """
+    return _verdict(_part(text, "verdict", low, odd))
 
 
 def _verdict(part: Column) -> Column:
@@ -109,9 +113,9 @@ def _verdict(part: Column) -> Column:
     )
 
 
-def subtypes_line(text: Column) -> Column:
+def subtypes_line(text: Column, low: Column | None = None, odd: Column | None = None) -> Column:
     """The raw value of the subtypes line; empty when blank, null when absent."""
-    return _subtypes_line(_searchable(text, "subtypes"))
+    return _subtypes_line(_part(text, "subtypes", low, odd))
 
 
 def _subtypes_line(part: Column) -> Column:
@@ -119,8 +123,8 @@ def _subtypes_line(part: Column) -> Column:
     return _let(line, lambda found: strip(F.regexp_extract(found, _rx(V.SUBTYPES_LINE), 1)))
 
 
-def refused(text: Column) -> Column:
-    return _refused(_searchable(text, "refusal"))
+def refused(text: Column, low: Column | None = None, odd: Column | None = None) -> Column:
+    return _refused(_part(text, "refusal", low, odd))
 
 
 def _refused(part: Column) -> Column:
@@ -195,9 +199,9 @@ def parse(
         df.withColumn("__low", F.lower(t))
         .withColumn("__odd", folding(t))
         .withColumn("__noun", part("verdict"))
-        .withColumn("__hem", _verdict(F.col("__noun")))
-        .withColumn("__line", _subtypes_line(part("subtypes")))
-        .withColumn("__refused", _refused(part("refusal")))
+        .withColumn("__hem", _verdict(part("verdict", tail)))
+        .withColumn("__line", _subtypes_line(part("subtypes", tail)))
+        .withColumn("__refused", _refused(part("refusal", tail)))
         .withColumn("__hedged", F.col("__line").rlike(_rx(V.HEDGE)))
     )
     structured = F.col("__hem").isNotNull()

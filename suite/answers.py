@@ -95,9 +95,11 @@ def parse_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("verdict_lines", oracle(f"WITH lines AS ({_LINES}) SELECT run, image_file, hem, line, refused FROM lines"))
 def verdict_lines(spark: SparkSession, sf: str) -> DataFrame:
-    t = A.strip(F.col("raw_text"))
-    return table(spark, sf, "answers").select(
-        "run", "image_file", A.verdict(t).alias("hem"), A.subtypes_line(t).alias("line"), A.refused(t).alias("refused")
+    t, low, odd = F.col("t"), F.col("low"), F.col("odd")
+    answers = table(spark, sf, "answers").withColumn("t", A.strip(F.col("raw_text")))
+    answers = answers.withColumn("low", F.lower(t)).withColumn("odd", A.folding(t))
+    return answers.select(
+        "run", "image_file", A.verdict(t, low, odd).alias("hem"), A.subtypes_line(t, low, odd).alias("line"), A.refused(t, low, odd).alias("refused")
     )
 
 
@@ -107,9 +109,11 @@ def verdict_lines(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prose_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Prose reading of every label on every whole text, whatever its structure."""
-    t = F.col("raw_text")
-    return table(spark, sf, "answers").select(
-        "run", "image_file", *[A.scan_mentions(t, p).alias(k) for k, p in V.SUBTYPE_PATTERNS.items()]
+    t, low, odd = F.col("raw_text"), F.col("low"), F.col("odd")
+    answers = table(spark, sf, "answers").withColumn("low", F.lower(t)).withColumn("odd", A.folding(t))
+    parts = answers.withColumns({f"part_{k}": A.tail(t, low, odd, A.BEGINNINGS[k]) for k in V.SUBTYPE_PATTERNS})
+    return parts.select(
+        "run", "image_file", *[A.scan_mentions(F.col(f"part_{k}"), p).alias(k) for k, p in V.SUBTYPE_PATTERNS.items()]
     )
 
 

@@ -153,3 +153,28 @@ def test_response_classes(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", A.response_class(F.col("t")).alias("c")).collect()
     assert {r.t: r.c for r in rows} == cases
+
+
+def test_long_texts_are_read_from_their_first_telling_word(spark):
+    rng = random.Random(4)
+    bits = ["HEMORRHAGE: ", "hemorrhage - ", "yes", "no", "possible", "\n", "Subtypes: ", "IPH", "sub-dural", "SAH", "As an AI", " consult a doctor", "unable to determine",
+            "without ", "\u017fubtypes: EDH", "\u0130PH", " ", "\u2003", "filler words that say nothing " * 3]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(300)] + [None, "", "\x1c \u3000\x85"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("low", F.lower("t")).withColumn("odd", A.folding(F.col("t")))
+    t = F.col("t")
+    whole = [A._verdict(t), A._subtypes_line(t), A._refused(t), F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")]
+    short = [A.verdict(t), A.subtypes_line(t), A.refused(t, F.col("low"), F.col("odd")), A.strip(t)]
+    got = rows.select("i", *[(a.eqNullSafe(b)).alias(f"c{i}") for i, (a, b) in enumerate(zip(whole, short))]).collect()
+    assert all(all(r[1:]) for r in got)
+
+
+def test_every_unicode_space_is_stripped(spark):
+    made = spark.createDataFrame([(i, chr(i)) for i in range(1, 0xD800)], "id int, c string")
+    odd = made.filter((A.strip(F.col("c")) == "") != (F.regexp_replace("c", r"(?U)[\s\x1c-\x1f]", "") == ""))
+    assert odd.count() == 0
+
+
+def test_reading_costs_no_search_of_the_whole_text():
+    assert "regexp" not in str(A.strip(F.col("t")))
+    for read in (A.verdict, A.subtypes_line, A.refused):
+        assert "locate" in str(read(F.col("t"))) or "instr" in str(read(F.col("t")))
