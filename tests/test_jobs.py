@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from assaykit.plans.evaluation import retrieval_decision
 from assaykit.plans.runs import RunSpec, experiment_grid, resolve_mode
 from assaykit.session import cut_lineage, shared_folder
 from assaykit.plans.waves import WaveLog, score_in_waves
+from assaykit.streaming import incremental
 from assaykit.streaming.incremental import score_incrementally
 
 KB = [
@@ -201,6 +203,30 @@ def test_last_answer_of_a_batch_counts_and_earlier_batches_are_settled(spark, tm
     assert got == {f"i{i}": int(i % 2 == 0 or i >= 50) for i in range(60)}
 
 
+def test_settled_keys_are_looked_up_without_a_python_call_for_each(spark, tmp_path):
+    src, sink, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    write_answers(src, "1.json", [("r", f"i{i % 700}", f"HEMORRHAGE: {'yes' if i >= 700 else 'no'}") for i in range(1400)])
+    job = score_incrementally(spark, str(src), sink, state)
+    job.awaitTermination()
+    assert [o["operatorName"] for o in job.recentProgress[0]["stateOperators"]] == ["dedupe"]
+    got = spark.read.parquet(sink).collect()
+    assert len(got) == 700 and all(r.pred_any_hem == 1 for r in got)
+
+
+def test_the_last_answer_is_found_where_texts_wait_in_a_file(monkeypatch):
+    monkeypatch.setattr(incremental, "HELD_BYTES", 100)
+    # (run, image, text, time, file, block, line); batches don't come in ingest order
+    rows = [("r", "a", "x", 2, "f", 0, 9), ("r", "b", "x", 1, "f", 0, 0), ("s", "a", "x", 1, "f", 0, 1), ("r", "a", "y", 1, "g", 0, 9),
+            ("r", "b", "y", 1, "g", 0, 0), ("s", "a", None, 1, "f", 0, 2), ("r", "b", "z", 1, "f", 7, 5)]
+    names = ["run", "image_file", "raw_text", "time", "file", "block", "line"]
+    whole = pa.table(dict(zip(names, zip(*rows)))).set_column(3, "time", pa.array([r[3] for r in rows], pa.timestamp("us", "UTC")))
+    for size in (1, 2, 7):
+        out = list(incremental._last(names[:3])(iter(whole.to_batches(max_chunksize=size))))
+        got = sorted(tuple(r.values()) for b in out for r in b.to_pylist())
+        assert got == [("r", "a", "x"), ("r", "b", "y"), ("s", "a", None)]
+    assert list(incremental._last(names[:3])(iter([]))) == []
+
+
 def test_batches_never_read_the_sink(spark, tmp_path):
     src, sink, state = tmp_path / "in", tmp_path / "out", str(tmp_path / "state")
     write_answers(src, "1.json", [("r", f"i{i}", "HEMORRHAGE: no") for i in range(200)])
