@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -15,6 +16,7 @@ from assaykit.functions.answers import parse, passes_gate
 from assaykit.operators.splits import todo
 
 ScoreFn = Callable[[pd.DataFrame], pd.DataFrame]
+PIECE = 1000  # rows that are answered at once
 
 
 def gate(answers: DataFrame, answer: str = "gate_answer") -> tuple[DataFrame, DataFrame]:
@@ -28,8 +30,8 @@ def score(work: DataFrame, make_score_fn: Callable[[], ScoreFn], key: str = "ima
     """Answer every row of ``work``.
 
     ``make_score_fn`` runs once per task and returns a function from a batch to a frame
-    with ``raw_text`` and ``n_tokens`` in the same row order. Timing is per batch,
-    shared evenly over its rows.
+    with ``raw_text`` and ``n_tokens`` in the same row order. Batches have ``PIECE`` rows at
+    most. Timing is per batch, shared evenly over its rows.
     """
     kept = [key, *carry]
     schema = T.StructType(
@@ -39,15 +41,18 @@ def score(work: DataFrame, make_score_fn: Callable[[], ScoreFn], key: str = "ima
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = make_score_fn()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            begun = time.perf_counter()
-            out = answer(pdf)
-            each = (time.perf_counter() - begun) / len(pdf)
-            yield pdf[kept].assign(
-                raw_text=out["raw_text"].to_numpy(), gen_seconds=each, n_tokens=out["n_tokens"].to_numpy()
-            )
+        for whole in batches:
+            for at in range(0, len(whole), PIECE):
+                pdf = whole.iloc[at : at + PIECE].copy()
+                begun = time.perf_counter()
+                out = answer(pdf)
+                each = (time.perf_counter() - begun) / len(pdf)
+                yield pdf[kept].assign(
+                    raw_text=out["raw_text"].to_numpy(), gen_seconds=each, n_tokens=out["n_tokens"].to_numpy()
+                )
+                # a frame whose .str or .dt was used holds itself, and with it its texts, until cycles are collected
+                del pdf, out
+                gc.collect(1)
 
     return work.mapInPandas(run, schema)
 

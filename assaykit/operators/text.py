@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from assaykit.functions.keyed import hash_slot
 
 DIM = 64
+STEP = 1 << 18  # terms counted at once
 
 
 def terms(text: Column) -> Column:
@@ -27,19 +28,29 @@ def terms(text: Column) -> Column:
 def encode(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = DIM) -> DataFrame:
     """Append array<float>: term counts by slot, L2-normalised (all zero without terms).
 
-    Splitting and hashing stay in the JVM; one Arrow pass counts the slots.
+    Splitting and hashing stay in the JVM; one Arrow pass counts the slots, ``STEP`` terms at a time however long the texts.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for slots in batches:
-            lengths = np.array([len(s) for s in slots], dtype=np.int64)
-            flat = np.concatenate(slots.to_list()).astype(np.int64) if lengths.sum() else np.empty(0, np.int64)
-            cells = np.repeat(np.arange(len(lengths)), lengths) * dim + flat
-            table = np.bincount(cells, minlength=len(lengths) * dim).reshape(len(lengths), dim).astype(np.float64)
+            table = slot_counts(slots, dim)
             size = np.sqrt((table * table).sum(axis=1, keepdims=True))
-            table = np.divide(table, size, out=np.zeros_like(table), where=size > 0)
-            yield pd.Series(list(table.astype(np.float32)))
+            unit = np.divide(table, size, out=np.zeros_like(table), where=size > 0).astype(np.float32)
+            ends = np.arange(0, unit.size + 1, dim, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()))
 
     slots = F.transform(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")), lambda t: hash_slot(F.md5(t), dim))
     return df.withColumn(out, count(slots))
+
+
+def slot_counts(slots: pa.ListArray, dim: int) -> np.ndarray:
+    """A row of ``dim`` counts for each list of slots."""
+    flat, ends = slots.flatten(), np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False))
+    table = np.zeros((len(slots), dim))
+    for at in range(0, len(flat), STEP):
+        part = flat.slice(at, STEP).to_numpy(zero_copy_only=False)
+        row = np.searchsorted(ends, np.arange(at, at + len(part)), side="right")
+        first, last = row[0], row[-1] + 1
+        table[first:last] += np.bincount((row - first) * dim + part, minlength=(last - first) * dim).reshape(-1, dim)
+    return table

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assaykit import fixed_values as V
 from assaykit.operators import context as C
 from assaykit.operators import scoring as S
+from assaykit.operators import text
 from assaykit.operators.images import batch_encoder, embed
 from assaykit.operators.reports import expected_items, refusal_audit, refusal_records
 from assaykit.operators.text import encode
@@ -172,6 +173,37 @@ def test_checkpoint_folder_is_the_sessions(spark):
     assert cut_lineage(spark.range(5)).count() == 5
 
 
+def test_scoring_frees_its_frames_piece_by_piece(spark):
+    def make():
+        import weakref
+
+        seen = []
+
+        def answer(batch):
+            column = batch["text"]
+            length = column.str.len()  # the accessor makes the column hold itself
+            seen.append(weakref.ref(column))
+            alive = sum(r() is not None for r in seen)
+            return pd.DataFrame({"raw_text": [f"{len(batch)} {alive}"] * len(batch), "n_tokens": length})
+
+        return answer
+
+    work = spark.range(4500).repartition(1).select(F.col("id").alias("image_file"), F.lit("some text").alias("text"))
+    got = S.score(work, make).collect()
+    assert sorted(r.image_file for r in got) == list(range(4500)) and {r.n_tokens for r in got} == {9}
+    rows, alive = zip(*(map(int, r.raw_text.split()) for r in got))
+    assert max(rows) <= S.PIECE and max(alive) <= 2
+
+
+def test_terms_are_counted_in_steps(monkeypatch):
+    monkeypatch.setattr(text, "STEP", 7)
+    lists = [[], [1, 1, 3], [], [0] * 20, [2], [], [3, 2, 1, 0, 3], []]
+    got = text.slot_counts(pa.array(lists, pa.list_(pa.int32())), 4)
+    assert got.tolist() == [[float(x.count(k)) for k in range(4)] for x in lists]
+    assert text.slot_counts(pa.array([[9], *lists], pa.list_(pa.int32())).slice(1), 4).tolist() == got.tolist()
+    assert text.slot_counts(pa.array([[], []], pa.list_(pa.int32())), 4).tolist() == [[0.0] * 4] * 2
+
+
 # -- streaming ----------------------------------------------------------------
 
 
