@@ -457,6 +457,28 @@ def test_links_of_repeated_and_null_ids(spark):
     assert {r.component_id for r in jaccard.join_components(hub).collect()} == {1} and jaccard.keep_one(hub).count() == 1
 
 
+def test_pairs_that_share_too_few_prefix_shingles_are_not_verified(spark):
+    # sets of 100 that are linked share 86, so 12 of the 26 in their prefixes
+    spots = {1: range(12), 2: range(12), 3: [0, *range(50, 70)], 4: [0, *range(70, 90)], 5: range(200, 212), 6: range(200, 212)}
+    rows_ = [(t, pos, i, 100, i) for i, tokens in spots.items() for pos, t in enumerate(tokens)]
+    shared = spark.createDataFrame(rows_, "token long, pos int, id long, n int, component long")
+    tried = spark.createDataFrame([(6, 5)], "other long, hub long")
+    assert [tuple(r) for r in jaccard._cross_pairs(shared, tried).collect()] == [(1, 2)]
+
+
+def test_linked_sets_share_as_many_prefix_shingles_as_the_count_filter_asks(spark):
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 4, jaccard.SLOTS).astype(np.int32)
+    seen = []
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([base[rng.random(len(base)) > cut], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for cut in rng.random(2) / 5)
+        if len(a) and len(b) and jaccard.linked(a, b):
+            seen.append((len(a), len(b), len(np.intersect1d(jaccard.prefix(a, counts)[0], jaccard.prefix(b, counts)[0]))))
+    got = spark.createDataFrame(seen, "a int, b int, c int").select("c", jaccard.meetings("a", "b").alias("least")).collect()
+    assert len(got) > 50 and all(r.c >= r.least >= 1 for r in got)
+
+
 def test_suffix_bound_never_exceeds_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):
