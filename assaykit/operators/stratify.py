@@ -28,47 +28,78 @@ LABEL_WEIGHT = 400.0  # a label's deviation beside a pair's
 EFFORT = 16  # combinations tried per deviating label, and partners tried for each of their keys
 
 
-def _cost(d: np.ndarray) -> np.ndarray:
+def _cost(d: float) -> float:
     """Grows slowly up to a row's deviation, fast beyond."""
-    a = np.abs(d)
-    return a**2 + 50 * np.maximum(a - 0.9, 0) ** 2
-
-
-def settle(keys: list[np.ndarray], left: np.ndarray, off: np.ndarray, weight: np.ndarray, passes: int = 6) -> np.ndarray:
+    a = abs(d)
+    over = a - 0.9
+    return a * a + 50 * (over * over) if over > 0 else a * a
+
+
+def _total(terms: list[float]) -> float:
+    """The sum, rounded as numpy rounds it, so that the ties between choices fall the same way: up to 128 terms in eight lanes."""
+    n = len(terms)
+    if n > 128:
+        return float(np.add.reduce(terms))
+    if n < 8:
+        out, rest = 0.0, terms
+    else:
+        a, b, c, d, e, f, g, h = terms[:8]
+        for i in range(8, n - n % 8, 8):
+            a, b, c, d = a + terms[i], b + terms[i + 1], c + terms[i + 2], d + terms[i + 3]
+            e, f, g, h = e + terms[i + 4], f + terms[i + 5], g + terms[i + 6], h + terms[i + 7]
+        out, rest = ((a + b) + (c + d)) + ((e + f) + (g + h)), terms[n - n % 8 :]
+    for t in rest:
+        out += t
+    return out
+
+
+def settle(keys: Sequence[Sequence[int]], left: np.ndarray, off: np.ndarray, weight: np.ndarray, passes: int = 6) -> np.ndarray:
     """0 or 1 for each combination: ``left`` are their fractions, ``keys`` the labels and pairs they count for.
 
-    ``off`` holds each key's deviation before anything is chosen; it is changed as choices are made.
+    ``off`` holds each key's deviation before anything is chosen; it is changed as choices are made. A combination has a
+    few keys and choices come one after the other, so plain numbers are quicker here than arrays.
     """
     member: list[list[int]] = [[] for _ in off]
     for i, ks in enumerate(keys):
         for k in ks:
             member[k].append(i)
-    support = np.array([len(m) for m in member])
-    x = np.zeros(len(keys))
+    support = list(map(len, member))
+    x = [0] * len(keys)
+    left, d, w = left.tolist(), off.tolist(), weight.tolist()
+    cost = list(map(_cost, d))  # of each key as it is
 
     def gain(i: int, step: float) -> float:
-        ks = keys[i]
-        return float((weight[ks] * (_cost(off[ks] + step) - _cost(off[ks]))).sum())
+        terms = []
+        for k in keys[i]:
+            a = abs(d[k] + step)
+            over = a - 0.9
+            terms.append(w[k] * ((a * a + 50 * (over * over) if over > 0 else a * a) - cost[k]))
+        return _total(terms)
+
+    def move(i: int, step: float) -> None:
+        for k in keys[i]:
+            d[k] += step
+            cost[k] = _cost(d[k])
 
     def flip(i: int) -> None:
         step = 1 - 2 * x[i]
         x[i] += step
-        off[keys[i]] += step
+        move(i, step)
 
     def change(i: int) -> float:
         return gain(i, 1 - 2 * x[i])
 
-    for i in sorted(range(len(keys)), key=lambda i: (support[keys[i]].min(), i)):
-        x[i] = gain(i, 1 - left[i]) < gain(i, -left[i])
-        off[keys[i]] += x[i] - left[i]
+    for i in sorted(range(len(keys)), key=lambda i: (min(support[k] for k in keys[i]), i)):
+        x[i] = int(gain(i, 1 - left[i]) < gain(i, -left[i]))
+        move(i, x[i] - left[i])
     for _ in range(passes):
         better = [i for i in range(len(keys)) if change(i) < -1e-9 and (flip(i) or True)]
         if not better:
             break
-    for k in np.tile(np.flatnonzero((np.abs(off) >= 1 - 1e-9) & (weight > 1)), 2):
-        if abs(off[k]) < 1 - 1e-9:
+    for k in 2 * [k for k in range(len(d)) if abs(d[k]) >= 1 - 1e-9 and w[k] > 1]:
+        if abs(d[k]) < 1 - 1e-9:
             continue
-        side = float(off[k] < 0)
+        side = int(d[k] < 0)
         for i in sorted((i for i in member[k] if x[i] != side), key=change)[:EFFORT]:
             alone = change(i)
             flip(i)
@@ -80,7 +111,8 @@ def settle(keys: list[np.ndarray], left: np.ndarray, off: np.ndarray, weight: np
                 flip(j)
                 break
             flip(i)
-    return x
+    off[:] = d
+    return np.array(x, float)
 
 
 def _names(labels: Sequence[str]) -> list[str]:
@@ -93,10 +125,12 @@ def _settled(block: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"combination": [], "extra": []})
     block = block.sort_values("combination", ignore_index=True)
     place = {name: i for i, name in enumerate(goals["name"])}
-    keys = [np.array([place[n] for n in _names(list(labels))]) for labels in block["labels"]]
-    off = np.zeros(len(place))
-    for ks, r in zip(keys, block["left"]):
-        off[ks] += r
+    keys = [[place[n] for n in _names(list(labels))] for labels in block["labels"]]
+    held = [0.0] * len(place)
+    for ks, r in zip(keys, block["left"].tolist()):
+        for k in ks:
+            held[k] += r
+    off = np.array(held)
     weight = np.array([1.0 if "\x1e" in n else LABEL_WEIGHT for n in goals["name"]])
     weight[place[""]] *= 5
     x = settle(keys, block["left"].to_numpy(), off - goals["goal"].to_numpy(), weight)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import sampling as S
 from assaykit.operators.stratify import long_list_sample as long_list
+from assaykit.session import written
 from suite import register
 from suite.derived import LABELS, oracle, spark_sql, table
 
@@ -51,12 +52,14 @@ def long_list_sample(spark: SparkSession, sf: str) -> DataFrame:
 
     Which rows are taken SQL can't say; near is within two rows, or within a tenth of the share where that is more (several blocks). Tests look closer.
     """
-    rows = spark_sql(spark, sf, _MARKED)
-    n = rows.count() // 10
+    # the orders are put together once: counts, combinations, buckets and the sample all start from the stored rows
+    rows = written(spark_sql(spark, sf, _MARKED), "marked-orders")
+    total = rows.count()
+    n = total // 10
     taken = long_list(rows, n, "marks", ["l_orderkey"]).select(F.explode("marks").alias("label"), F.lit(1).alias("taken"))
     every = rows.select(F.explode("marks").alias("label"), F.lit(0).alias("taken")).unionByName(taken)
     counts = every.groupBy("label").agg(F.count_if(F.col("taken") == 0).alias("n"), F.sum("taken").alias("taken"))
-    share = F.col("n") * n / rows.count()
+    share = F.col("n") * n / total
     return counts.select("label", "n", (F.abs(F.col("taken") - share) <= F.greatest(F.lit(2.0), share / 10)).alias("near"))
 
 

@@ -1,18 +1,20 @@
 import hashlib
 import itertools
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import suite
 from assaykit.operators import membership
 from assaykit.operators import sampling as S
 from assaykit.operators import splits as P
 from assaykit.operators.ordering import dense_index
 from assaykit.operators.quantiles import exact_quantile
 from assaykit.operators.sampling import multilabel_sample
-from assaykit.operators.stratify import long_list_sample
+from assaykit.operators.stratify import _total, long_list_sample
 from assaykit.sources.labels import parse_listing
 
 LABELS = ["IPH", "IVH"]
@@ -200,6 +202,23 @@ def test_long_list_keeps_labels_and_pairs(spark):
     assert sorted(r.id for r in long_list_sample(df.repartition(5), 300, "marks", ["id"]).collect()) == sorted(got)
 
 
+def test_long_list_sums_as_numpy_does():
+    r = np.random.Generator(np.random.PCG64(4))
+    for n in range(1, 300):
+        terms = r.normal(size=n) * 10.0 ** r.integers(-4, 4, n)
+        assert _total(terms.tolist()) == terms.sum()
+
+
+def test_long_list_query_puts_the_orders_together_once(spark, tmp_path):
+    items = [(o, o * 7 + i) for o in range(200) for i in range(o % 5 + 1)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    suite.QUERIES or suite.load()
+    got = suite.QUERIES["long_list_sample"](spark, str(tmp_path))
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
+    counts = Counter(f"p{p % 300}" for _, p in {(o, p % 300) for o, p in items})
+    assert {r.label: r.n for r in got.collect()} == counts
+
+
 def test_long_list_in_blocks_and_edge_cases(spark):
     rows, df = sparse_rows(spark, 1500)
     got = [r.id for r in long_list_sample(df, 450, "marks", ["id"], block=300).collect()]
