@@ -249,6 +249,16 @@ def test_memory_of_cuts_and_pairs_is_bounded(own, other, monkeypatch):
     assert len(fresh.cuts) <= 10 and len(fresh.merges.known) <= 10
 
 
+def test_cuts_that_come_again_outlive_the_others(own, monkeypatch):
+    monkeypatch.setattr(bytepairs, "REMEMBERED", 50)
+    cuts, encoded = bytepairs.Cuts(own.merges), []
+    monkeypatch.setattr(own.merges, "encode", lambda cut: encoded.append(cut) or [0])
+    for i in range(1000):
+        cuts[" again"], cuts[f" once{i}"]
+    assert encoded.count(b" again") == 1 and len(encoded) == 1001
+    assert len(cuts) <= 50 and len(cuts.old) <= 50
+
+
 def test_round_trip(spark, own, other):
     texts = [*TEXTS, "<|endoftext|> is text", "a" * 50_000]
     got = {r.doc_id: r for r in bytepairs.round_trip(documents(spark, texts, extra=True), PATH, PATTERN).collect()}
