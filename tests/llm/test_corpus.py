@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -699,3 +700,21 @@ def test_pipeline_by_brute_force(spark):
     assert drawn == {i: n for i, n in copies.items() if n} and mixed.columns == columns
     packed = last(spark, mixed, SF).collect()
     assert sum(r.piece == 0 for r in packed) == mixed.count()
+
+
+def test_texts_reach_the_pipelines_python_as_arrow_batches():
+    texts = ["one two three four five six", "", "ONE two three four five six", "ein Satz, kürzer"]
+    n = len(texts)
+    rows = {"doc_id": pa.array([3, None, 1, 2], pa.int64()), "mark": pa.array(range(n), pa.int64()), "text": texts}
+    made = pa.Table.from_batches(jaccard._digest(iter([pa.RecordBatch.from_pydict(rows)])))
+    of_rows, counts = made.filter(pc.is_null(made["part"])), made.filter(pc.is_valid(made["part"]))
+    assert of_rows["doc_id"].to_pylist() == [3, None, 1, 2] and of_rows["n"].to_pylist() == [2, 0, 2, 1]
+    cls = of_rows["cls"].to_pylist()
+    assert cls[0] == cls[2] != cls[3] and cls[1] is None
+    assert sum(np.frombuffer(c, np.int32).sum() for c in counts["counts"].to_pylist()) == 5
+
+    asked = {"hub": [7, 7, 7], "salt": [0, 0, 0], "side": [0, 1, 1], "other": [7, 8, 9], "text": [texts[0], texts[2], texts[3]]}
+    batch = pa.RecordBatch.from_pydict(asked)
+    # a hub's own text and those to hold against it may lie in different batches
+    found = pa.Table.from_batches(jaccard._verify(iter([batch.slice(0, 1), batch.slice(1)])))
+    assert found.to_pydict() == {"a": [8], "b": [7]}
