@@ -1,7 +1,9 @@
 """The corpus operators against brute force, round trips and held-out rows, on small fixtures."""
 
+import gc
 import hashlib
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assaykit.llm import chat, crf, jaccard, licenses, mixing, packing, pii, queries, recipes, syncmers, warc
+from assaykit.llm import chat, common, crf, jaccard, licenses, mixing, packing, pii, queries, recipes, syncmers, warc
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -718,3 +720,37 @@ def test_texts_reach_the_pipelines_python_as_arrow_batches():
     # a hub's own text and those to hold against it may lie in different batches
     found = pa.Table.from_batches(jaccard._verify(iter([batch.slice(0, 1), batch.slice(1)])))
     assert found.to_pydict() == {"a": [8], "b": [7]}
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, monkeypatch):
+    """30 MB of texts: fewer rows than a batch may have, more bytes than the pipeline allows."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    monkeypatch.setattr(packing, "pack", lambda docs: docs.mapInArrow(sizes, "n long, bytes long"))
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("text"))
+    try:
+        got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 1.1 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(limit, "1m")  # what a user has set holds
+        assert max(r.bytes for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) < 1.1 * (1 << 20)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_a_worker_remembers_one_operators_things_and_gives_free_memory_back(monkeypatch):
+    encoder = weakref.ref(packing._encoder(packing.tokenizer_path()))
+    assert packing._encoder(packing.tokenizer_path()) is encoder()
+    jaccard.shingle_set("one two three four five six")
+    gc.collect()
+    assert encoder() is None
+
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(1))
+    rows = {"doc_id": pa.array([1], pa.int64()), "mark": pa.array([0], pa.int64()), "text": ["one two three four five six"]}
+    task = jaccard._digest(iter([pa.RecordBatch.from_pydict(rows)]))
+    assert next(task).num_rows == 1 and not done
+    assert len(list(task)) == 1 and done == [1]
