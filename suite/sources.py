@@ -14,7 +14,7 @@ from assaykit import fixed_values as V
 from assaykit.operators.splits import todo
 from assaykit.plans.scoring import two_stage_run
 from assaykit.plans.waves import score_in_waves
-from assaykit.session import shared_folder
+from assaykit.session import SHUFFLES_END, settings, shared_folder
 from assaykit.sources import images as I
 from assaykit.sources import labels as L
 from assaykit.sources import results as R
@@ -193,6 +193,9 @@ def resumable_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("image_file", "pred_any_hem", *[f"pred_{k}" for k in LABELS], "refused", "parsed", "method")
 
 
+_FAST_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 @register(
     "incremental_scoring",
     oracle(f"WITH {PARSED} SELECT CASE run WHEN 'base' THEN '007' WHEN 'image' THEN '010' ELSE run END AS run, image_file, any_hem AS pred_any_hem, {', '.join(f'{k} AS pred_{k}' for k in LABELS)}, method FROM parsed"),
@@ -205,9 +208,14 @@ def incremental_scoring(spark: SparkSession, sf: str) -> DataFrame:
     source, sink, state = (fresh(spark, n) for n in ("answers", "scored", "state"))
     number = F.when(F.col("run") == "base", "007").when(F.col("run") == "image", "010").otherwise(F.col("run")).alias("run")
     answers = table(spark, sf, "answers").select(number, "image_file", "raw_text", F.col("gen_seconds").cast("double"), "n_tokens")
-    answers.filter(F.col("run") != "010").write.json(source)
+
+    def arrive(rows: DataFrame) -> None:
+        with settings(spark, SHUFFLES_END):
+            rows.write.mode("append").options(**_FAST_GZIP).json(source)
+
+    arrive(answers.filter(F.col("run") != "010"))
     score_incrementally(spark, source, sink, state).awaitTermination()
-    answers.filter(F.col("run") != "007").write.mode("append").json(source)
+    arrive(answers.filter(F.col("run") != "007"))
     score_incrementally(spark, source, sink, state).awaitTermination()
     return R.read_runs(spark, sink).select("run", "image_file", "pred_any_hem", *[f"pred_{k}" for k in LABELS], "method")
 

@@ -1,14 +1,17 @@
 """Context and prompts, gate and resumable scoring, run specifications, the streaming job."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from assaykit import fixed_values as V
+from assaykit import schemas
 from assaykit.operators import context as C
 from assaykit.operators import scoring as S
 from assaykit.operators import text
@@ -17,10 +20,11 @@ from assaykit.operators.reports import expected_items, refusal_audit, refusal_re
 from assaykit.operators.text import encode
 from assaykit.plans.evaluation import retrieval_decision
 from assaykit.plans.runs import RunSpec, experiment_grid, resolve_mode
-from assaykit.session import cut_lineage, shared_folder
+from assaykit.session import SHUFFLES_END, cut_lineage, settings, shared_folder
 from assaykit.plans.waves import WaveLog, score_in_waves
 from assaykit.streaming import incremental
 from assaykit.streaming.incremental import score_incrementally
+from suite.sources import incremental_scoring
 
 KB = [
     ("EDH", "lens shaped collection between skull and dura"),
@@ -284,6 +288,65 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     assert sorted(r.image_file for r in spark.read.parquet(sink).collect()) == ["a", "b"]
 
 
+def test_texts_are_packed_one_by_one_and_come_back_whole(monkeypatch):
+    monkeypatch.setattr(incremental, "PIECE_BYTES", 10)
+    texts = ["a" * 5000, None, "", "\u00e9\U0001f600\n\x00", "b", "c" * 9, None, ""]
+    n = len(texts)
+    whole = pa.table({"run": ["r"] * n, "image_file": [f"i{i}" for i in range(n)], "raw_text": texts, "gen_seconds": [1.5] * n, "n_tokens": pa.array(range(n), pa.int32())})
+    for size in (1, 3, n):
+        packed = list(incremental._packed(iter(whole.to_batches(max_chunksize=size))))
+        rows = [r for b in packed for r in b.to_pylist()]
+        assert "raw_text" not in rows[0] and [r["line"] for r in rows] == list(range(n))
+        assert len(rows[0]["packed"]) < 100 and rows[1]["packed"] is None and rows[0]["n_bytes"] == 5000
+        back = list(incremental._unpacked(iter(packed)))
+        assert pa.Table.from_batches(back).select(whole.column_names).equals(whole)
+        assert back[0].schema.names == schemas.ANSWERS.names
+        # a piece ends with the text that fills it
+        assert all(sum(len((t or "").encode()) for t in b.column("raw_text").to_pylist()[:-1]) < 10 for b in back)
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+
+def test_a_batch_leaves_no_shuffle_files_and_a_packed_sink(spark, tmp_path):
+    src, sink = tmp_path / "in", tmp_path / "out"
+    write_answers(src, "1.json", [("r", f"i{i}", f"HEMORRHAGE: no\n{i}") for i in range(500)])
+    before = shuffle_files(spark)
+    score_incrementally(spark, str(src), str(sink), str(tmp_path / "state")).awaitTermination()
+    assert not shuffle_files(spark) - before
+    assert {r.raw_text for r in spark.read.parquet(str(sink)).collect()} == {f"HEMORRHAGE: no\n{i}" for i in range(500)}
+    for f in sink.rglob("part-*.parquet"):
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        assert {group.column(i).compression for i in range(group.num_columns)} == {"ZSTD"}
+
+
+def test_settings_hold_for_a_while(spark):
+    (key,) = SHUFFLES_END
+    for start in (None, "false"):
+        spark.conf.unset(key) if start is None else spark.conf.set(key, start)
+        with pytest.raises(KeyError), settings(spark, SHUFFLES_END):
+            assert spark.conf.get(key) == "true"
+            raise KeyError
+        assert spark.conf.get(key, None) == start
+    spark.conf.unset(key)
+
+
+def test_incremental_scoring_stores_less_than_its_texts_four_times_over(spark, tmp_path):
+    draw = np.random.default_rng(0)
+    words = ["".join(draw.choice(list("aeinorst"), 6)) for _ in range(5000)]
+    texts = [" ".join(draw.choice(words, 500)) for _ in range(300)]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = set(Path(shared_folder(spark)).iterdir())
+    out = incremental_scoring(spark, str(tmp_path))
+    assert sorted((r.run, r.image_file) for r in out.collect()) == sorted((r, f"img_{i}.png") for r in ("007", "010", "text") for i in range(300))
+    stored = [f for d in set(Path(shared_folder(spark)).iterdir()) - before for f in d.rglob("part-*")]
+    # four copies of the texts in answer files, three in the sink; before, the answer files alone held more
+    assert sum(f.stat().st_size for f in stored) < 4 * sum(map(len, texts))
+
+
 # -- waves --------------------------------------------------------------------
 
 
